@@ -48,3 +48,16 @@ def round_doubles(df: DataFrame, dp: int = 6, skip: tuple = ()) -> DataFrame:
     return df.select(*[rnd(f.name, dp).alias(f.name)
                        if f.dataType.simpleString() == "double" and f.name not in skip
                        else F.col(f.name) for f in df.schema.fields])
+
+
+def sig(c, digits: int = 9) -> Column:
+    """Round to ``digits`` significant digits (same arithmetic as ``sig_sql``), for
+    statistics whose summation order differs between engines."""
+    x = F.col(c) if isinstance(c, str) else c
+    e = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x / e, digits - 1) * e)
+
+
+def sig_sql(x: str, digits: int = 9) -> str:
+    e = f"pow(10.0, floor(log10(abs({x}))))"
+    return f"(CASE WHEN ({x}) = 0 THEN 0.0 ELSE round(({x}) / {e}, {digits - 1}) * {e} END)"

@@ -113,11 +113,13 @@ def provenance(has_geo: Column, address: Column, metro: Column) -> dict[str, Col
 
 
 def address_fill(listings: DataFrame, gazetteer: DataFrame, dp: int = 3) -> DataFrame:
-    """Empty addresses filled from a (lat, lon) gazetteer table on rounded
-    coordinates; existing addresses kept. The gazetteer is aggregated to one address per
-    cell first, so the join cannot multiply rows."""
-    cell = lambda lat, lon: [F.round(F.col(lat), dp).alias("_glat"),
-                             F.round(F.col(lon), dp).alias("_glon")]
+    """Empty addresses filled from a (lat, lon) gazetteer table by coordinate cell
+    (floor of coordinate x 10^dp, identical in every engine); existing addresses kept.
+    The gazetteer is aggregated to one address per cell first, so the join cannot
+    multiply rows."""
+    scale = float(10 ** dp)
+    cell = lambda lat, lon: [F.floor(F.col(lat) * scale).alias("_glat"),
+                             F.floor(F.col(lon) * scale).alias("_glon")]
     g = (gazetteer.select(*cell("latitude", "longitude"), F.col("address").alias("_gaddr"))
          .where(F.col("_gaddr").isNotNull())
          .groupBy("_glat", "_glon").agg(F.min("_gaddr").alias("_gaddr")))

@@ -69,12 +69,17 @@ LINKS_SCHEMA = T.StructType([T.StructField("source_group", T.StringType()),
 
 
 def load_links(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The stored (source_group, link) table, or an empty one."""
-    if not os.path.exists(path) and "://" not in path:
-        return spark.createDataFrame([], LINKS_SCHEMA)
-    if fmt == "csv":
-        return spark.read.option("header", True).schema(LINKS_SCHEMA).csv(path)
-    return spark.read.format(fmt).load(path)
+    """The stored (source_group, link) table, or an empty one if it does not exist."""
+    try:
+        if fmt == "csv":
+            return spark.read.option("header", True).schema(LINKS_SCHEMA).csv(path)
+        df = spark.read.format(fmt).load(path)
+        df.schema  # noqa: B018 - resolves the path now
+        return df
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+            return spark.createDataFrame([], LINKS_SCHEMA)
+        raise
 
 
 def save_links(df: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -51,14 +52,13 @@ RESULT_COLS = [f.name for f in RESULT_SCHEMA.fields]
 
 def scan_listings_csv(spark: SparkSession, path: str,
                       schema: T.StructType | None = None) -> DataFrame:
-    """A1: header CSV with declared types; empty field -> NULL, BOM stripped by Spark."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE") \
-        .option("emptyValue", None).option("nullValue", "")
-    if schema is not None:
-        reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", True)
-    return reader.csv(path)
+    """A1: header CSV with declared types (inference only when no schema is given); an
+    empty field is NULL - quoted or not - as in pandas; a BOM is stripped by Spark."""
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    df = reader.csv(path)
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in strings}) if strings else df
 
 
 def write_stage(df: DataFrame, path: str, fmt: str = "parquet",
@@ -68,7 +68,8 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet",
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        (w.option("header", True).option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.format(fmt).save(path)
 

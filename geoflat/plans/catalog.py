@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ["q_io", "q_clean", "q_scalar", "q_spatial", "q_stats", "q_text", "q_synth", "q_ml"]
+_MODULES = ["q_io", "q_clean", "q_scalar", "q_spatial", "q_stats", "q_text", "q_synth", "q_ml", "q_alias"]
 
 
 def query(name: str, sql: str | None = None):

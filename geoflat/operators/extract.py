@@ -71,25 +71,38 @@ def extract_coords(html: Column) -> Column:
     return F.try_element_at(ok, F.lit(1))
 
 
-def characteristics_block(lines: Column) -> Column:
-    """The lines after the LAST 'характеристики' line, up to the first stop word."""
+def lower_lines(lines: Column) -> Column:
+    """lower(trim(line)) for every line - computed once and reused by all lookups."""
+    return F.transform(lines, lambda x: F.lower(F.trim(x)))
+
+
+def _first_of(low: Column, words: list[str]) -> Column:
+    """Smallest 1-based position of any of ``words`` in ``low`` (NULL if none), with
+    plain ``array_position`` calls - no lambda per word."""
+    pos = [F.when(F.array_position(low, w) > 0, F.array_position(low, w)) for w in words]
+    return (pos[0] if len(pos) == 1 else F.least(*pos)).cast("int")
+
+
+def characteristics_block(lines: Column, low: Column | None = None) -> Column:
+    """The lines after the LAST 'характеристики' line, up to the first stop word.
+    ``low`` is ``lower_lines(lines)`` (pass a materialised column)."""
+    low = lower_lines(lines) if low is None else low
     n = F.size(lines)
-    idx = F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                               lambda i: F.lower(F.trim(F.try_element_at(lines, i))) == BLOCK_HEADER))
-    rest = F.slice(lines, idx + 1, F.greatest(n - idx, F.lit(0)))
-    stop = F.array_position(F.transform(rest, lambda x: _in(F.lower(F.trim(x)), BLOCK_STOP_WORDS)),
-                            True)
-    block = F.when(stop > 0, F.slice(rest, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(rest)
-    return F.when(idx.isNull() | (n == 0), F.array().cast("array<string>")).otherwise(block)
+    from_end = F.array_position(F.reverse(low), BLOCK_HEADER).cast("int")
+    idx = n - from_end + 1
+    rest_low = F.slice(low, idx + 1, F.greatest(n - idx, F.lit(0)))
+    stop = _first_of(rest_low, BLOCK_STOP_WORDS)
+    length = F.coalesce(stop - 1, n - idx)
+    return F.when(from_end > 0, F.slice(lines, idx + 1, F.greatest(length, F.lit(0)))).otherwise(
+        F.array().cast("array<string>"))
 
 
-def value_after_label(block: Column, labels: list[str]) -> Column:
+def value_after_label(block: Column, labels: list[str], block_low: Column | None = None) -> Column:
     """The element after the first line equal (case-insensitively) to a label; the
     last line cannot be a label."""
-    low = [x.lower().strip() for x in labels]
-    head = F.slice(block, 1, F.greatest(F.size(block) - 1, F.lit(0)))
-    pos = F.array_position(F.transform(head, lambda x: _in(F.lower(F.trim(x)), low)),
-                           True).cast("int")
+    bl = lower_lines(block) if block_low is None else block_low
+    head = F.slice(bl, 1, F.greatest(F.size(block) - 1, F.lit(0)))
+    pos = _first_of(head, [x.lower().strip() for x in labels])
     return F.when(pos > 0, F.trim(F.try_element_at(block, pos + 1)))
 
 
@@ -133,20 +146,19 @@ def address_line(lines: Column) -> Column:
     return F.coalesce(F.try_element_at(first, F.lit(1)), F.try_element_at(second, F.lit(1)))
 
 
-def metro_line(lines: Column) -> Column:
+def metro_line(lines: Column, low: Column | None = None) -> Column:
     """L10 + F24: in the <= 17 lines after 'на карте' (until a stop word) collect
     (station, minutes) from 'N мин' lines (station = previous line) and from
     'Station N мин' lines; return the candidate with the fewest minutes (first on tie)
     as struct(minutes, ord, station)."""
+    low = lower_lines(lines) if low is None else low
     n = F.size(lines)
-    start = F.array_position(F.transform(lines, lambda x: F.lower(F.trim(x)) == "на карте"),
-                             True).cast("int")
-    # 1-based positions start+1 .. min(start+17, n)
-    win = F.when(start + 1 <= n, F.sequence(start + 1, F.least(start + 17, n))).otherwise(
+    start = F.array_position(low, "на карте").cast("int")
+    last = F.least(start + 17, n)
+    stop = _first_of(F.slice(low, start + 1, F.greatest(last - start, F.lit(0))), METRO_STOP_WORDS)
+    end = F.when(stop.isNotNull(), start + stop - 1).otherwise(last)
+    win = F.when((start > 0) & (start + 1 <= end), F.sequence(start + 1, end)).otherwise(
         F.array().cast("array<int>"))
-    stop = F.array_position(F.transform(win, lambda i: _in(F.lower(F.trim(F.try_element_at(lines, i))),
-                                                           METRO_STOP_WORDS)), True)
-    win = F.when(stop > 0, F.slice(win, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(win)
 
     def cands(i):
         line = F.trim(F.try_element_at(lines, i))
@@ -168,12 +180,13 @@ def metro_line(lines: Column) -> Column:
     return F.when(start > 0, F.array_min(found))
 
 
-def card_fields(text: Column, lines: Column, block: Column) -> dict[str, Column]:
-    """L13 without link/group/html: every card field. ``lines`` and ``block`` must be
-    column references (materialised by ``card_rows``) so the expression stays small."""
-    v = {k: value_after_label(block, labs) for k, labs in CARD_LABELS.items()}
+def card_fields(text: Column, lines: Column, block: Column, low: Column | None = None,
+                block_low: Column | None = None) -> dict[str, Column]:
+    """L13 without link/group/html: every card field. Pass materialised columns so the
+    expression stays small."""
+    v = {k: value_after_label(block, labs, block_low) for k, labs in CARD_LABELS.items()}
     floor, floors_total = floor_pair(v["floor_info"])
-    metro = metro_line(lines)
+    metro = metro_line(lines, low)
     return {
         "price": extract_price(text, lines),
         "area_total": to_float_first(v["area_total"]),
@@ -196,8 +209,11 @@ def card_rows(cards: DataFrame, text: str = "text", html: str | None = None) ->
     and the characteristics block are materialised as columns first: every field reads
     them, and inlining them into each field would multiply the expression tree."""
     staged = (cards.withColumn("_lines", text_lines(F.col(text)))
-              .withColumn("_block", characteristics_block(F.col("_lines"))))
-    f = card_fields(F.col(text), F.col("_lines"), F.col("_block"))
+              .withColumn("_low", lower_lines(F.col("_lines")))
+              .withColumn("_block", characteristics_block(F.col("_lines"), F.col("_low")))
+              .withColumn("_block_low", lower_lines(F.col("_block"))))
+    f = card_fields(F.col(text), F.col("_lines"), F.col("_block"), F.col("_low"),
+                    F.col("_block_low"))
     coords = extract_coords(F.col(html)) if html else F.lit(None).cast(
         "struct<latitude:double,longitude:double>")
     tmp = staged.withColumns({"_f": F.struct(*[c.alias(k) for k, c in f.items()]),

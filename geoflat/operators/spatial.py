@@ -142,10 +142,11 @@ def grid_nearest(left: DataFrame, dim: DataFrame, lat: str, lon: str, dim_lat: s
             rep = F.broadcast(rep)
         q = todo.select("*", F.floor(F.col("_lat") / delta).alias("_cy"),
                         F.floor(F.col("_lon") / delta).alias("_cx"))
-        cand = q.join(rep, ["_cy", "_cx"])
+        cand = q.join(rep.drop("_pname"), ["_cy", "_cx"])
+        # fixed-width buffer (dist, ord) keeps this a hash aggregate; names join back later
         best = cand.groupBy(key, "_lat", "_lon", "_cy", "_cx").agg(F.min(F.struct(
             haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")).alias("dist"),
-            F.col("_pord").alias("ord"), F.col("_pname").alias("name"))).alias("_best"))
+            F.col("_pord").alias("ord"))).alias("_best"))
         if last:
             results.append(best.select(key, "_best"))
             break
@@ -167,7 +168,17 @@ def grid_nearest(left: DataFrame, dim: DataFrame, lat: str, lon: str, dim_lat: s
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
-    return out
+    if dim_name is None:
+        return out.select(key, F.struct(F.col("_best")["dist"].alias("dist"),
+                                        F.col("_best")["ord"].alias("ord"),
+                                        F.lit(None).cast("string").alias("name")).alias("_best"))
+    names = pts.select(F.col("_pord").alias("_o"), F.col("_pname").alias("_nm")).dropDuplicates(["_o"])
+    if small_dim:
+        names = F.broadcast(names)
+    out = out.join(names, F.col("_best")["ord"] == F.col("_o"), "left")
+    return out.select(key, F.struct(F.col("_best")["dist"].alias("dist"),
+                                    F.col("_best")["ord"].alias("ord"),
+                                    F.col("_nm").alias("name")).alias("_best"))
 
 
 # ------------------------------------------------------------ polyline distance

@@ -86,9 +86,11 @@ def nearest_per_category(left: DataFrame, dim: DataFrame, category: str,
                          dim_ord: str = "poi_id", key: str = "listing_id",
                          force: str | None = None) -> DataFrame:
     """Unrounded km to the nearest point of every category, one column each; NULL if
-    the category is empty or the listing has no coordinates. Each category picks its own
-    form by its own size."""
+    the category is empty or the listing has no coordinates. Small categories are
+    inlined; all the others go through ONE grid pass keyed by (listing, category) over a
+    narrow (key, lat, lon) projection, pivoted and joined back once."""
     out = left
+    big = []
     for c in categories:
         d = dim.where(F.col(category) == c)
         pts = None if force == "grid" else _small_points(d, dim_lat, dim_lon, dim_ord, None)
@@ -96,10 +98,16 @@ def nearest_per_category(left: DataFrame, dim: DataFrame, category: str,
             raw = out.withColumn("_nnraw", _nearest_unrolled(F.col(lat), F.col(lon), pts))
             out = raw.withColumn(out_names[c], _finish(F.col("_nnraw"))["dist"]).drop("_nnraw")
         else:
-            best = grid_nearest(left.select(key, lat, lon), d, lat, lon, dim_lat, dim_lon,
-                                dim_ord, None, key)
-            out = out.join(best.select(key, F.col("_best")["dist"].alias(out_names[c])), key, "left")
-    return out
+            big.append(c)
+    if not big:
+        return out
+    best = grid_nearest(left.select(key, lat, lon), dim.where(F.col(category).isin(*big)),
+                        lat, lon, dim_lat, dim_lon, dim_ord, None, key,
+                        group=category, groups=big)
+    wide = best.groupBy(key).agg(*[
+        F.max(F.when(F.col(category) == c, F.col("_best")["dist"])).alias(out_names[c])
+        for c in big])
+    return out.join(wide, key, "left")
 
 
 # ------------------------------------------------------------------ grid form
@@ -115,16 +123,25 @@ def _initial_cell(pts: DataFrame, per_cell: float = 2.0) -> float:
 
 def grid_nearest(left: DataFrame, dim: DataFrame, lat: str, lon: str, dim_lat: str,
                  dim_lon: str, dim_ord: str, dim_name: str | None, key: str,
-                 cell_deg: float | None = None, max_rounds: int = 24) -> DataFrame:
-    """Exact 1-NN by iterative grid blocking; returns (key, _best struct). Each round's
-    answers are checkpointed, so later rounds and the final union never recompute it."""
+                 cell_deg: float | None = None, max_rounds: int = 24,
+                 group: str | None = None, groups: list[str] | None = None) -> DataFrame:
+    """Exact 1-NN by iterative grid blocking; returns (key, [group,] _best struct). With
+    ``group`` every listing is answered once per value in ``groups`` (the dimension is
+    split by that column). The listing side is narrow (key, lat, lon); each round's
+    answers and the unresolved rest are checkpointed, so nothing upstream is recomputed."""
     name = F.col(dim_name).cast("string") if dim_name else F.lit(None).cast("string")
+    gcol = [F.col(group).alias("_g")] if group else []
     pts = dim.where(F.col(dim_lat).isNotNull() & F.col(dim_lon).isNotNull()).select(
         F.col(dim_lat).cast("double").alias("_plat"), F.col(dim_lon).cast("double").alias("_plon"),
-        F.col(dim_ord).cast("long").alias("_pord"), name.alias("_pname"))
+        F.col(dim_ord).cast("long").alias("_pord"), name.alias("_pname"), *gcol)
     todo = left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
         key, F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
-    delta = cell_deg or _initial_cell(pts)
+    if group:
+        gl = F.array(*[F.lit(g) for g in groups])
+        todo = todo.select("*", F.explode(gl).alias("_g"))
+    todo = cut_lineage(todo)
+    delta = cell_deg or _initial_cell(pts, 2.0 * (len(groups) if group else 1))
+    gk = ["_g"] if group else []
     small_dim = bounded_row_count(pts, BROADCAST_ROW_LIMIT // 9) is not None
     results = []
     offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
@@ -136,19 +153,19 @@ def grid_nearest(left: DataFrame, dim: DataFrame, lat: str, lon: str, dim_lat: s
         cx = F.floor(F.col("_plon") / delta)
         rep = (pts.select("*", F.explode(offsets).alias("_dy"))
                .select("*", F.explode(offsets).alias("_dx"))
-               .select("_plat", "_plon", "_pord", "_pname",
+               .select("_plat", "_plon", "_pord", "_pname", *gk,
                        (cy + F.col("_dy")).alias("_cy"), (cx + F.col("_dx")).alias("_cx")))
         if small_dim:  # 9 x a size-checked dimension: hash join without moving listings
             rep = F.broadcast(rep)
         q = todo.select("*", F.floor(F.col("_lat") / delta).alias("_cy"),
                         F.floor(F.col("_lon") / delta).alias("_cx"))
-        cand = q.join(rep.drop("_pname"), ["_cy", "_cx"])
+        cand = q.join(rep.drop("_pname"), [*gk, "_cy", "_cx"])
         # fixed-width buffer (dist, ord) keeps this a hash aggregate; names join back later
-        best = cand.groupBy(key, "_lat", "_lon", "_cy", "_cx").agg(F.min(F.struct(
+        best = cand.groupBy(key, *gk, "_lat", "_lon", "_cy", "_cx").agg(F.min(F.struct(
             haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")).alias("dist"),
             F.col("_pord").alias("ord"))).alias("_best"))
         if last:
-            results.append(best.select(key, "_best"))
+            results.append(best.select(key, *gk, "_best"))
             break
         # distance from the listing to the edge of its 3x3 block: anything outside is farther
         dphi = F.least(F.col("_lat") - (F.col("_cy") - 1) * delta,
@@ -159,8 +176,8 @@ def grid_nearest(left: DataFrame, dim: DataFrame, lat: str, lon: str, dim_lat: s
         r_lon = F.asin(F.least(F.lit(1.0), F.cos(F.radians(F.col("_lat")))
                                * F.sin(F.radians(F.least(dlam, F.lit(90.0)))))) * EARTH_RADIUS_KM
         best = cut_lineage(best.withColumn("_ok", F.col("_best")["dist"] < F.least(r_lat, r_lon)))
-        results.append(best.where("_ok").select(key, "_best"))
-        todo = todo.join(best.where("_ok").select(key), key, "left_anti")
+        results.append(best.where("_ok").select(key, *gk, "_best"))
+        todo = todo.join(best.where("_ok").select(key, *gk), [key, *gk], "left_anti")
         if todo.limit(1).count() == 0:
             break
         todo = cut_lineage(todo)
@@ -169,7 +186,7 @@ def grid_nearest(left: DataFrame, dim: DataFrame, lat: str, lon: str, dim_lat: s
     for r in results[1:]:
         out = out.unionByName(r)
     if dim_name is None:
-        return out.select(key, F.struct(F.col("_best")["dist"].alias("dist"),
+        return out.select(key, *[F.col(g).alias(group) for g in gk], F.struct(F.col("_best")["dist"].alias("dist"),
                                         F.col("_best")["ord"].alias("ord"),
                                         F.lit(None).cast("string").alias("name")).alias("_best"))
     names = pts.select(F.col("_pord").alias("_o"), F.col("_pname").alias("_nm")).dropDuplicates(["_o"])

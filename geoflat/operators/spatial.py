@@ -140,7 +140,7 @@ def grid_nearest(left: DataFrame, dim: DataFrame, lat: str, lon: str, dim_lat: s
         gl = F.array(*[F.lit(g) for g in groups])
         todo = todo.select("*", F.explode(gl).alias("_g"))
     todo = cut_lineage(todo)
-    delta = cell_deg or _initial_cell(pts, 2.0 * (len(groups) if group else 1))
+    delta = cell_deg or _initial_cell(pts, 0.5 * (len(groups) if group else 1))
     gk = ["_g"] if group else []
     small_dim = bounded_row_count(pts, BROADCAST_ROW_LIMIT // 9) is not None
     results = []

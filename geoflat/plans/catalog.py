@@ -52,12 +52,32 @@ def round_doubles(df: DataFrame, dp: int = 6, skip: tuple = ()) -> DataFrame:
 
 def sig(c, digits: int = 9) -> Column:
     """Round to ``digits`` significant digits (same arithmetic as ``sig_sql``), for
-    statistics whose summation order differs between engines."""
+    statistics whose summation order differs between engines. Only exact powers of ten
+    (10^0..10^22) are used: scale up by multiplying for small values, down by dividing
+    for large ones, so both engines round the same double."""
     x = F.col(c) if isinstance(c, str) else c
-    e = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x / e, digits - 1) * e)
+    k = F.floor(F.log10(F.abs(x)))
+    up = F.pow(F.lit(10.0), -k)
+    down = F.pow(F.lit(10.0), k)
+    small = F.round(x * up, digits - 1) / up
+    large = F.round(x / down, digits - 1) * down
+    return (F.when(x == 0, F.lit(0.0)).when(F.abs(k) > 22, x)
+            .when(k < 0, small).otherwise(large))
 
 
 def sig_sql(x: str, digits: int = 9) -> str:
-    e = f"pow(10.0, floor(log10(abs({x}))))"
-    return f"(CASE WHEN ({x}) = 0 THEN 0.0 ELSE round(({x}) / {e}, {digits - 1}) * {e} END)"
+    k = f"floor(log10(abs({x})))"
+    return (f"(CASE WHEN ({x}) = 0 THEN 0.0 WHEN abs({k}) > 22 THEN ({x}) "
+            f"WHEN {k} < 0 THEN round(({x}) * pow(10.0, -{k}), {digits - 1}) / pow(10.0, -{k}) "
+            f"ELSE round(({x}) / pow(10.0, {k}), {digits - 1}) * pow(10.0, {k}) END)")
+
+
+def exact_avg(c: str, scale: float) -> Column:
+    """Mean of values that carry a fixed number of decimals (``scale`` = 10^decimals):
+    the sum runs over exact integers, so it does not depend on summation order, and
+    ``exact_avg_sql`` gives the same double."""
+    return (F.sum(F.rint(F.col(c) * scale).cast("bigint")) / F.count(c)) / scale
+
+
+def exact_avg_sql(c: str, scale: float) -> str:
+    return f"((CAST(sum(round_even({c} * {scale!r}, 0)) AS BIGINT) / count({c})) / {scale!r})"

@@ -19,7 +19,7 @@ from ..sources.fixtures import CLUSTER_EXPR, oracle_with
 from ..sources.osm import (poi_from_osm, polylines_from_osm, read_ring_geojson,
                            write_geojson)
 from ..sources.tables import read_table
-from .catalog import query, rnd
+from .catalog import exact_avg, exact_avg_sql, query, rnd
 from .clean import clean_listings
 from .enrich import POI_OUT, POI_TYPES, enrich_listings
 from .oracle_sql import (center_sql, clean_ctes, seg_dist_sql, utm37_sql,
@@ -308,11 +308,12 @@ def q_enriched_listings(spark, sf_dir):
     "enriched", enriched=True).strip() + f"""
 , cc AS (SELECT *, {CLUSTER_EXPR} AS geo_generation_cluster FROM cleaned)
 SELECT geo_generation_cluster, count(*) AS count,
-       round(avg(latitude), 6) AS mean_latitude, round(avg(longitude), 6) AS mean_longitude,
+       round({exact_avg_sql("latitude", 1e4)}, 6) AS mean_latitude,
+       round({exact_avg_sql("longitude", 1e4)}, 6) AS mean_longitude,
        round(quantile_cont(price, 0.5), 6) AS median_price,
        round(quantile_cont(price_per_m2, 0.5), 6) AS median_price_per_m2,
-       round(avg(distance_to_center_km), 6) AS mean_center_km,
-       round(avg(distance_to_mkad_km), 6) AS mean_mkad_km,
+       round({exact_avg_sql("distance_to_center_km", 100.0)}, 6) AS mean_center_km,
+       round({exact_avg_sql("distance_to_mkad_km", 100.0)}, 6) AS mean_mkad_km,
        CAST(sum(has_metro_near) AS BIGINT) AS near_metro
 FROM cc GROUP BY geo_generation_cluster""")
 def q_enriched_cluster_summary(spark, sf_dir):
@@ -321,8 +322,8 @@ def q_enriched_cluster_summary(spark, sf_dir):
         "geo_generation_cluster", F.expr(CLUSTER_EXPR))
     s = cluster_summary(cl)
     extra = cl.groupBy("geo_generation_cluster").agg(
-        F.avg("distance_to_center_km").alias("mean_center_km"),
-        F.avg("distance_to_mkad_km").alias("mean_mkad_km"),
+        exact_avg("distance_to_center_km", 100.0).alias("mean_center_km"),
+        exact_avg("distance_to_mkad_km", 100.0).alias("mean_mkad_km"),
         F.sum("has_metro_near").cast("bigint").alias("near_metro"))
     out = s.join(extra, "geo_generation_cluster")
     return out.select("geo_generation_cluster", "count", "near_metro",

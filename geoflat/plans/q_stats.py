@@ -13,7 +13,7 @@ from ..operators.projection import numeric_columns
 from ..operators.ranks import exact_quantiles
 from ..sources import fixtures as X
 from ..sources.fixtures import oracle_with
-from .catalog import query, rnd, sig, sig_sql
+from .catalog import exact_avg, exact_avg_sql, query, rnd, sig, sig_sql
 from .clean import median_impute
 from .oracle_sql import with_cleaned
 from .q_clean import cleaned_listings, clustered_clean
@@ -274,11 +274,12 @@ def q_dataset_shape(spark, sf_dir):
 
 
 @query("map_center", sql=with_cleaned() + """
-SELECT round(avg(latitude), 6) AS center_lat, round(avg(longitude), 6) AS center_lon FROM cleaned""")
+SELECT round(""" + exact_avg_sql("latitude", 1e4) + """, 6) AS center_lat,
+       round(""" + exact_avg_sql("longitude", 1e4) + """, 6) AS center_lon FROM cleaned""")
 def q_map_center(spark, sf_dir):
     """mean latitude / longitude of the cleaned set."""
-    return cleaned_listings(spark, sf_dir).agg(rnd(F.avg("latitude")).alias("center_lat"),
-                                               rnd(F.avg("longitude")).alias("center_lon"))
+    return cleaned_listings(spark, sf_dir).agg(rnd(exact_avg("latitude", 1e4)).alias("center_lat"),
+                                               rnd(exact_avg("longitude", 1e4)).alias("center_lon"))
 
 
 @query("outlier_checks", sql=oracle_with("listings") + """

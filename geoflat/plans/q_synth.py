@@ -46,6 +46,14 @@ def augmented(spark, sf_dir) -> DataFrame:
     return J.mark_original(tr).unionByName(J.synth_interpolate(tr))
 
 
+def train_and_augmented(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The training set written once to the checkpoint folder, and the augmented set built
+    on it - before/after comparisons read both without recomputing the cleaning."""
+    from ..session import cut_lineage
+    tr = cut_lineage(train(spark, sf_dir))
+    return tr, J.mark_original(tr).unionByName(J.synth_interpolate(tr))
+
+
 # ------------------------------------------------------------------ oracle CTEs
 _PREP = with_cleaned() + """
 , gm AS (SELECT rooms, quantile_cont(kitchen_area, 0.5) AS gm FROM clustered_clean
@@ -339,21 +347,22 @@ ks AS (SELECT c.feature, max(abs(c.cum_a / mo.na - c.cum_b / ma.nb)) AS ks_stati
 
 @query("distribution_compare", sql=_DIST_SQL + f"""
 SELECT feature, {sig_sql('orig_mean')} AS orig_mean, {sig_sql('aug_mean')} AS aug_mean,
-       {sig_sql('(aug_mean - orig_mean) * 100 / abs(orig_mean)', 6)} AS mean_diff_pct,
+       round((aug_mean - orig_mean) * 100 / abs(orig_mean), 9) AS mean_diff_pct,
        {sig_sql('orig_std')} AS orig_std, {sig_sql('aug_std')} AS aug_std,
-       {sig_sql('(aug_std - orig_std) * 100 / abs(orig_std)', 6)} AS std_diff_pct,
+       round((aug_std - orig_std) * 100 / abs(orig_std), 9) AS std_diff_pct,
        {sig_sql('orig_min')} AS orig_min, {sig_sql('aug_min')} AS aug_min,
        {sig_sql('orig_max')} AS orig_max, {sig_sql('aug_max')} AS aug_max,
        {sig_sql('ks_statistic')} AS ks_statistic,
-       {sig_sql(_ks_pvalue_sql('ks_statistic', 'ks.na', 'ks.nb'), 6)} AS ks_pvalue
+       round({_ks_pvalue_sql('ks_statistic', 'ks.na', 'ks.nb')}, 12) AS ks_pvalue
 FROM mo JOIN ma USING (feature) JOIN ks USING (feature)""")
 def q_distribution_compare(spark, sf_dir):
     """F14 + F15: original train vs augmented set per feature (means, stds, ranges,
     relative differences, two-sample KS statistic and asymptotic p-value)."""
-    d = S.distribution_compare(train(spark, sf_dir), augmented(spark, sf_dir), CLEAN_NUM)
-    six = {"mean_diff_pct", "std_diff_pct", "ks_pvalue"}
-    return d.select("feature", *[sig(c, 6 if c in six else 9).alias(c) for c in d.columns
-                                 if c != "feature"])
+    tr, aug = train_and_augmented(spark, sf_dir)
+    d = S.distribution_compare(tr, aug, CLEAN_NUM)
+    fixed = {"mean_diff_pct": 9, "std_diff_pct": 9, "ks_pvalue": 12}
+    return d.select("feature", *[(rnd(c, fixed[c]) if c in fixed else sig(c, 9)).alias(c)
+                                 for c in d.columns if c != "feature"])
 
 
 @query("ks_two_sample", sql=_DIST_SQL + f"""
@@ -364,8 +373,8 @@ def q_ks_two_sample(spark, sf_dir):
     def long(df):
         return df.select(*[F.col(c).cast("double").alias(c) for c in CLEAN_NUM]).unpivot(
             [], CLEAN_NUM, "feature", "value")
-    ks = ks_statistic(long(train(spark, sf_dir)), long(augmented(spark, sf_dir)), ["feature"],
-                      "value")
+    tr, aug = train_and_augmented(spark, sf_dir)
+    ks = ks_statistic(long(tr), long(aug), ["feature"], "value")
     return ks.select("feature", sig("ks_statistic").alias("ks_statistic"), "n_a", "n_b")
 
 
@@ -379,8 +388,9 @@ SELECT feature_x, feature_y, {sig_sql('ca.c', 6)} AS corr_a, {sig_sql('cb.c', 6)
 FROM ca JOIN cb USING (feature_x, feature_y)""")
 def q_corr_matrix_join(spark, sf_dir):
     """Correlation matrix difference augmented - original (upper triangle)."""
-    a = S.corr_matrix(train(spark, sf_dir), CLEAN_NUM)
-    b = S.corr_matrix(augmented(spark, sf_dir), CLEAN_NUM)
+    tr, aug = train_and_augmented(spark, sf_dir)
+    a = S.corr_matrix(tr, CLEAN_NUM)
+    b = S.corr_matrix(aug, CLEAN_NUM)
     d = S.corr_diff(a, b)
     pos = {c: i for i, c in enumerate(CLEAN_NUM)}
     keep = F.create_map(*[x for c, i in pos.items() for x in (F.lit(c), F.lit(i))])

@@ -20,28 +20,29 @@ alike. An empty table gives an empty result. Other columns travel inside ``row``
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WORD, WS, packed, text_of
+from .common import WS, packed, text_of
 
-# Common words per language.
+# Common words per language, and some of all for other languages.
 COMMON_WORDS = {
-    "en": "the of and to a in is that it was for on are as with be at by this from".split(),
-    "de": "der die und in den von zu das mit des auf für ist im dem ein eine als auch er".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par sur au avec pas".split(),
+    "en": "the of and to in is that it for are".split(),
+    "de": "der die und in den von zu das mit nicht".split(),
+    "es": "de la que el en los del las por con".split(),
+    "fr": "de la le et les des en un une que".split(),
+    "*": "the of and to der die und de la que".split(),
 }
-# Character classes as the characters that each one counts.
+# Character classes as the characters that each one counts. White space is a
+# class too, and what no class counts (lower-case letters above all) is the last.
 CHAR_CLASSES = {
-    "lower": r"\p{Ll}", "upper": r"\p{Lu}", "letter": r"\p{L}&&[^\p{Ll}\p{Lu}]", "digit": r"\p{N}",
-    "space": r"\x20\x09-\x0D", "stop": r".,;:!?'\"()\-", "symbol": r"#*$%&|<>\[\]{}\\/=+~^_@`",
+    "upper": r"A-Z\u00C0-\u00D6\u00D8-\u00DE", "digit": r"0-9", "stop": r".,;:!?'\"()\-",
+    "symbol": r"#*$%&|<>\[\]{}\\/=+~^_@`",
 }
-MIN_CHARS, MIN_WORDS = 200, 60
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.62
+MIN_CHARS, MIN_WORDS = 400, 60
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.21, 0.245
 MIN_TEXT_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = r"#*$%&|<>"
 
@@ -50,25 +51,17 @@ def count_of(text: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("bigint")
 
 
-def _class_count(text: Column, chars: str) -> Column:
-    if "&&" in chars:
-        return F.length(F.regexp_replace(text, r"[\p{Ll}\p{Lu}\P{L}]+", "")).cast("bigint")
-    return count_of(text, chars)
-
-
-def repeated_words(windows: Column) -> Column:
-    """Words covered by windows whose key occurs at least twice. ``windows`` holds the key
-    of the window at each position; keys are sorted with their positions, so equal ones are
-    neighbours, and the covered words follow from the gaps between those positions."""
-    places = F.sort_array(F.transform(windows, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(places["k"], 1, F.size(places) - 1))
-    after = F.concat(F.slice(places["k"], 2, F.size(places)), F.array(F.lit(None).cast("bigint")))
-    twice = F.filter(F.arrays_zip(places.alias("p"), before.alias("b"), after.alias("a")),
-                     lambda x: (x["p"]["k"] == x["b"]) | (x["p"]["k"] == x["a"]))
-    at = F.sort_array(F.transform(twice, lambda x: x["p"]["i"]))
-    gaps = F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1),
-                      lambda nxt, cur: F.least(nxt - cur, F.lit(WINDOW)))
-    return F.aggregate(gaps, F.lit(WINDOW), lambda s, g: s + g).cast("bigint")
+def covered_words(places: Column) -> Column:
+    """Words covered by windows whose key occurs at least twice. ``places`` holds (key,
+    position) sorted, so equal keys are neighbours; the words follow from the gaps between
+    the repeated positions."""
+    twice = F.filter(places, lambda x, j: (x["k"] == F.get(places, j - 1)["k"])
+                     | (x["k"] == F.get(places, j + 1)["k"]))
+    at = F.sort_array(F.transform(twice, lambda x: x["i"]))
+    first = F.struct(F.lit(0).alias("covered"), F.lit(-WINDOW).alias("last"))
+    return F.aggregate(at, first, lambda s, i: F.struct(
+        (s["covered"] + F.least(i - s["last"], F.lit(WINDOW))).alias("covered"), i.alias("last")),
+        lambda s: s["covered"]).cast("bigint")
 
 
 def base_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -76,37 +69,44 @@ def base_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     text = text_of(F.col("row")[text_col])
     lang = F.col("row")[lang_col]
     df = packed(docs).withColumn("text", text)
-    bare = F.regexp_replace(F.col("text"), f"^{WS}+|{WS}+$", "")
     known = F.when(lang.isin(*COMMON_WORDS), lang).otherwise(F.lit("*"))
-    lists = COMMON_WORDS | {"*": sorted({w for ws in COMMON_WORDS.values() for w in ws})}
     word_list = reduce(lambda c, kv: c.when(F.col("known") == kv[0], F.array(*map(F.lit, kv[1]))),
-                       lists.items(), F)
-    pattern = reduce(lambda c, kv: c.when(F.col("known") == kv[0], F.lit(
-        r"(?<![\p{L}\p{N}])(?:" + "|".join(kv[1]) + r")(?![\p{L}\p{N}])")), lists.items(), F)
+                       COMMON_WORDS.items(), F)
+    spaced = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(" ")), "\n\t\r\x0b\x0c", F.col("text"))
+    marked = "".join([*CHAR_CLASSES.values(), SYMBOLS])
     df = df.withColumns({
-        "known": known,
-        "words": F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.split(bare, WS + "+"))
-        .otherwise(F.array().cast("array<string>")),
+        "known": known, "words": F.array_remove(F.split(spaced, " "), ""),
+        "marks": F.regexp_replace("text", f"[^{marked}]+", ""),
         "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    # every word with a space of its own on both sides, so that each is found by its own match
     df = df.withColumns({
-        "n_words": F.size("words").cast("bigint"), "word_list": word_list,
-        "hits": F.regexp_extract_all(F.lower("text"), pattern, F.lit(0)),
-        "windows": F.when(F.size("words") >= WINDOW, F.transform(
-            F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)),
-            lambda i: F.xxhash64(*[F.element_at("words", i + k) for k in range(WINDOW)])))
-        .otherwise(F.array().cast("array<bigint>"))})
-    classes = [_class_count(F.col("text"), c) for c in CHAR_CLASSES.values()]
+        "word_list": word_list, "hashes": F.transform("words", lambda w: F.xxhash64(w)),
+        "joined": F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))})
+    keys = F.transform("hashes", lambda h, i: F.xxhash64(
+        h, *[F.get("hashes", i + k) for k in range(1, WINDOW)]))
+    df = df.withColumn("windows", F.slice(keys, 1, F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0))))
+    df = df.withColumn("places", F.when(
+        F.size(F.array_distinct("windows")) < F.size("windows"),
+        F.sort_array(F.transform("windows", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))))
+    n_words, n_chars = F.size("words").cast("bigint"), F.length("text").cast("bigint")
+    word_chars = F.greatest(F.length("joined") - 2 * n_words, F.lit(0))
+    entries = len(COMMON_WORDS["*"])
+    word_hist = []
+    for i in range(entries):
+        w = F.get("word_list", F.lit(i))
+        left = F.replace("joined", F.concat(F.lit(" "), w, F.lit(" ")), F.lit(""))
+        word_hist.append(F.floor((F.octet_length("joined") - F.octet_length(left)) / (F.octet_length(w) + 2)))
     return df.select(
-        "row", "known", "n_words",
-        F.length(F.regexp_replace("text", WS + "+", "")).cast("bigint").alias("word_chars"),
-        count_of(F.col("text"), SYMBOLS).alias("n_symbols"),
+        "row", "known", n_words.alias("n_words"),
+        F.when(n_words > 0, word_chars).otherwise(0).cast("bigint").alias("word_chars"),
+        count_of(F.col("marks"), SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("windows")) < F.size("windows"),
-               repeated_words(F.col("windows"))).otherwise(0).cast("bigint").alias("n_repeat_words"),
-        F.length("text").cast("bigint").alias("n_chars"),
-        F.array(*classes).alias("char_hist"),
-        F.transform("word_list", lambda w: (
-            F.size("hits") - F.size(F.array_remove("hits", w))).cast("bigint")).alias("word_hist"))
+        F.when(F.col("places").isNotNull(), covered_words(F.col("places"))).otherwise(0)
+        .cast("bigint").alias("n_repeat_words"),
+        n_chars.alias("n_chars"),
+        F.array(n_chars - F.when(n_words > 0, word_chars).otherwise(0),
+                *[count_of(F.col("marks"), c) for c in CHAR_CLASSES.values()]).alias("char_hist"),
+        F.array(*word_hist).alias("word_hist"))
 
 
 def _shares(counts: Column, total: Column, with_rest: bool) -> Column:
@@ -153,9 +153,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     counts = cut_lineage(counts.withColumns({"chars": chars, "word_shares": words})
                          .drop("char_hist", "word_hist"))
     n_lists = {k: len(v) + 1 for k, v in COMMON_WORDS.items()}
-    n_lists["*"] = len({w for ws in COMMON_WORDS.values() for w in ws}) + 1
     long_chars, long_words = F.col("n_chars") >= MIN_CHARS, F.col("n_words") >= MIN_WORDS
-    char_refs = _references(counts, "chars", dict.fromkeys(n_lists, len(CHAR_CLASSES) + 1), long_chars)
+    char_refs = _references(counts, "chars", dict.fromkeys(n_lists, len(CHAR_CLASSES) + 2), long_chars)
     word_refs = _references(counts, "word_shares", n_lists, long_words)
     none = F.lit(None).cast("double")
 

@@ -11,12 +11,14 @@ buckets and star-shaped candidate edges, confirmed on full shingle sets.
 3. In every bucket the member with the largest total bucket size is the hub, and each other
    member gets one candidate edge to it, so edges grow with rows, not with pairs.
 4. Candidate edges are confirmed on the full sets; links join classes into components.
-5. A star may hide a link between two members that are both unlike the hub. Buckets that
-   still hold several components are therefore visited again with 32, 128, 512, ... members
-   as hubs (all of them once the bucket is that small), only across components, and only
-   pairs not confirmed before, until no such bucket is left. So nothing is capped, and
-   groups of thousands of copies, which become one component after the first star, never
-   expand into pairs.
+5. A star may hide a link between two members that are both unlike its hub. Buckets that then
+   still hold several components are joined into clusters of candidates, and every cluster is
+   finished exactly: its rows are dealt into blocks of bounded size, each pair of blocks is one
+   unit of work that counts all common shingles by a matrix product and returns a spanning
+   forest of the links between different components. Rows of the cluster's main component
+   are compared with the others only. So nothing is capped, no pairs are emitted, and
+   groups of thousands of copies, which become one component with the first star, cost one
+   edge a row.
 
 Sets are built again only for the members of shared buckets, and no fingerprint, link or
 component leaves the executors. Components are found by alternating large-star and
@@ -32,6 +34,7 @@ that link to them. An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -46,7 +49,7 @@ BANDS, BAND_ROWS = 32, 5
 BINS = BANDS * BAND_ROWS
 PERCENT = 80
 SEED = 0x9E3779B97F4A7C15
-FIRST_HUBS, HUB_GROWTH = 32, 4
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 300, 120_000, 4096
 WORD_TABLE = 300_000
 ATTEMPTS = 256
 
@@ -178,29 +181,28 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` (smallest node reachable) from ``a, b``, by large-star and
-    small-star steps. Each step is two aggregates and a join that AQE may split; the links
-    are checkpointed after each, and the loop ends when a pass changes nothing."""
+    """``node, component`` (smallest node reachable) of all nodes but the smallest ones, from
+    ``a, b``, by large-star and small-star steps: aggregates and joins that AQE may split. The
+    links are checkpointed after each pass, and the loop ends when one changes nothing."""
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                         .where("u <> v").distinct())
-    before = None
-    while True:
+
+    def state(df: DataFrame):
+        return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+
+    now, before = state(edges), None
+    while now != before and now["n"]:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.join(low, "u").where(F.col("v") > F.col("u"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        large = cut_lineage(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         edges = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                             .union(low.select("u", F.col("m").alias("v")))
                             .where("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-                        .alias("s")).first()
-        if now == before:
-            return edges.groupBy("u").agg(F.min("v").alias("component")) \
-                .withColumnRenamed("u", "node")
-        before = now
+        before, now = now, state(edges)
+    return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -219,13 +221,116 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int
             .select("a", "b"))
 
 
-def _new_pairs(members: DataFrame, hubs: DataFrame, tested: DataFrame) -> DataFrame:
-    """Distinct pairs (hub, member) of one bucket in different components, not yet tested."""
-    h = hubs.select("bucket", F.col("id").alias("hub"), F.col("component").alias("h_component"))
-    pairs = (members.join(h, "bucket").where((F.col("id") != F.col("hub"))
-                                             & (F.col("component") != F.col("h_component")))
-             .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-    return pairs.join(tested, ["a", "b"], "left_anti")
+def _star(members: DataFrame) -> DataFrame:
+    """Distinct pairs of each bucket's hub (its member with the largest total bucket size) and
+    another member."""
+    best = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("m"))).alias("h"))
+    hubs = best.select("bucket", (-F.col("h.m")).alias("hub"))
+    pairs = members.join(hubs, "bucket").where(F.col("id") != F.col("hub"))
+    return cut_lineage(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+
+
+def _with_components(members: DataFrame, links: DataFrame) -> DataFrame:
+    comp = components(links).withColumnRenamed("node", "id")
+    return members.drop("component").join(comp, "id", "left").withColumn(
+        "component", F.coalesce("component", "id"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of the buckets (of more than two rows) that hold several components."""
+    open_ = members.groupBy("bucket").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.max("members").alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > 2))
+    return members.join(open_.select("bucket"), "bucket", "left_semi")
+
+
+def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A spanning forest of the links between rows of part 0 and of part 1 (or among part 0,
+    if that is all) with different components."""
+    def side(part: int):
+        rows = pdf[pdf["part"] == part].sort_values("id")
+        sets = [np.asarray(x, dtype=np.int64) for x in rows["shingles"]]
+        n = np.array([len(x) for x in sets], dtype=np.int64)
+        return rows["id"].to_numpy(), rows["component"].to_numpy(), n, np.concatenate(
+            [np.zeros(0, np.int64), *sets]), np.repeat(np.arange(len(sets)), n)
+
+    left = side(0)
+    right = side(1) if (pdf["part"] == 1).any() else left
+    shared = np.intersect1d(left[3], right[3])
+    common = np.zeros((len(left[0]), len(right[0])), dtype=np.float32)
+    placed = []
+    for _, _, _, shingles, row in (left, right):
+        at = np.searchsorted(shared, shingles)
+        at[at == len(shared)] = 0
+        hit = shared[at] == shingles if len(shared) else np.zeros(len(shingles), dtype=bool)
+        order = np.argsort(at[hit], kind="stable")
+        placed.append((at[hit][order], row[hit][order]))
+    for low in range(0, len(shared), COLUMNS):
+        dense = []
+        for (at, row), (ids, *_) in zip(placed, (left, right), strict=True):
+            i, j = np.searchsorted(at, [low, low + COLUMNS])
+            x = np.zeros((len(ids), COLUMNS), dtype=np.float32)
+            x[row[i:j], at[i:j] - low] = 1
+            dense.append(x)
+        common += dense[0] @ dense[1].T
+    union = left[2][:, None] + right[2][None, :] - common
+    linked = (100 * common >= percent * union) & (left[1][:, None] != right[1][None, :])
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = c = parent.get(parent[c], parent[c])
+        return c
+
+    out = []
+    for i, j in np.argwhere(linked):
+        x, y = root(int(left[1][i])), root(int(right[1][j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(left[0][i]), int(right[0][j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _cluster_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components among candidates that share a bucket, directly or
+    through others."""
+    first = members.groupBy("bucket").agg(F.min("id").alias("a"))
+    near = members.select("bucket", F.col("id").alias("b")).join(first, "bucket").select("a", "b")
+    clusters = components(near.union(first.select("a", F.col("a").alias("b"))))
+    rows = members.select("id", "component").distinct().join(
+        clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id", "left")
+    rows = rows.withColumn("cluster", F.coalesce("cluster", "id")).join(
+        sets.dropDuplicates(["id"]), "id").withColumn("n", F.size("shingles"))
+    rows = cut_lineage(rows)
+    sums = rows.groupBy("cluster", "component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    total = sums.groupBy("cluster").agg(
+        F.max(F.struct("rows", "n", "component")).alias("main"),
+        F.sum("n").alias("all_n"), F.sum("rows").alias("all_rows"))
+
+    def blocks(n, rows):
+        return F.greatest(F.ceil(n / BLOCK_SHINGLES), F.ceil(rows / BLOCK_ROWS), F.lit(1)).cast("int")
+
+    total = total.select("cluster", F.col("main.component").alias("main"),
+                         blocks(F.col("all_n") - F.col("main.n"), F.col("all_rows") - F.col("main.rows")).alias("p"),
+                         blocks(F.col("main.n"), F.col("main.rows")).alias("q"))
+    dealt = rows.join(total, "cluster")
+    of = F.pmod(F.xxhash64("id"), F.when(F.col("component") == F.col("main"), F.col("q"))
+                .otherwise(F.col("p"))).cast("int")
+    dealt = dealt.withColumn("block", of)
+    k = F.lit(1).cast("int")
+    unit = lambda kind, x, y, part: F.struct(
+        F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(part).alias("part"))
+    me, p, q = F.col("block"), F.col("p"), F.col("q")
+    side_units = F.concat(
+        F.transform(F.sequence(F.lit(0), p - k), lambda o: F.when(o < me, unit("s", o, me, 1)).otherwise(
+            unit("s", me, o, 0))),
+        F.transform(F.sequence(F.lit(0), q - k), lambda o: unit("m", me, o, 0)))
+    main_units = F.transform(F.sequence(F.lit(0), p - k), lambda o: unit("m", o, me, 1))
+    units = dealt.select("cluster", "id", "component", "shingles", F.explode(
+        F.when(F.col("component") == F.col("main"), main_units).otherwise(side_units)).alias("u"))
+    return units.select("cluster", "u.*", "id", "component", "shingles").groupBy(
+        "cluster", "kind", "x", "y").applyInPandas(
+        lambda pdf: _block_links(pdf, percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -250,40 +355,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = banded.select("id").distinct()
     sets = cut_lineage(shingle_sets(narrow.join(wanted, "id", "left_semi"), k))
     members = banded.withColumn("component", F.col("id"))
-    best = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("m"))).alias("h"))
-    hubs = best.select("bucket", (-F.col("h.m")).alias("id"), (-F.col("h.m")).alias("component"))
-    tested = cut_lineage(members.sparkSession.createDataFrame([], "a bigint, b bigint"))
-    links, n_hubs = tested, FIRST_HUBS
-    while True:
-        pairs = cut_lineage(_new_pairs(members, hubs, tested))
-        found = cut_lineage(_confirmed(pairs, sets, classes, percent))
-        tested = cut_lineage(tested.union(pairs))
-        if found.limit(1).count():
-            links = cut_lineage(links.union(found))
-            comp = cut_lineage(components(links))
-            members = banded.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn(
-                "component", F.coalesce("component", "id"))
-        # buckets with several components whose members were not all hubs already
-        open_ = members.groupBy("bucket").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"),
-            F.max("members").alias("size")).where(
-            (F.col("lo") != F.col("hi")) & (F.col("size") > (2 if n_hubs == FIRST_HUBS
-                                                             else n_hubs // HUB_GROWTH)))
-        members = cut_lineage(members.join(open_.select("bucket"), "bucket", "left_semi"))
-        if not members.limit(1).count():
-            break
-        banded = members.drop("component")
-        turn = F.pmod(F.xxhash64("id", "bucket"), F.greatest(
-            F.lit(1), F.ceil(F.col("members") / F.lit(n_hubs))))
-        hubs = members.where(turn == 0)
-        n_hubs *= HUB_GROWTH
-
-    final = links if links is tested else comp
+    links = cut_lineage(_confirmed(_star(members), sets, classes, percent))
+    members = cut_lineage(_mixed(_with_components(members, links)))
+    links = cut_lineage(links.union(_cluster_links(members, sets, percent)))
+    final = components(links)
     class_of = classes.select(F.col("digest").alias("c_digest"), F.col("id").alias("rep"))
-    out = rows.join(class_of, F.col("digest") == F.col("c_digest"), "left")
-    if "component" in final.columns:
-        out = out.join(final, F.col("rep") == F.col("node"), "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("bigint"))
+    out = rows.join(class_of, F.col("digest") == F.col("c_digest"), "left").join(
+        final, F.col("rep") == F.col("node"), "left")
     return out.select("id", "n_shingles",
                       F.coalesce("component", "rep", "id").alias("component_id"))

@@ -9,7 +9,8 @@ texts are exempt (character classes below ``MIN_CHARS``, common words below ``MI
 as their histograms are mostly noise.
 
 Everything a document needs is computed inside its row; the only shuffle is the reference
-sum (languages x classes, partially aggregated). The word list of a language is a fixed
+sum (languages x classes, partially aggregated). The references take a first pass that reads
+the histograms alone; the verdicts take the second, so no text is ever written. The word list of a language is a fixed
 table; languages outside it are compared with the pooled list and the pooled reference.
 
 Defined cases: null or empty text has all counts 0 and fails the base rule (fewer than 10
@@ -24,7 +25,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .common import WS, packed, text_of
 
 # Common words per language, and some of all for other languages.
@@ -127,19 +127,24 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def _references(counts: DataFrame, hist: str, groups: dict[str, int], usable: Column) -> Column:
-    """Map of language -> mean relative histogram over all its usable documents, as a literal
-    (at most five languages and the pooled one, with fixed numbers of entries)."""
-    most = max(groups.values())
-    rows = counts.where(usable).groupBy("known").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.round(F.coalesce(F.get(hist, F.lit(i)), F.lit(0.0)) * 1e9).cast("bigint"))
-          .alias(f"s{i}") for i in range(most)]).collect()
-    found = {r["known"]: [r[f"s{i}"] / 1e9 / r["n"] for i in range(groups[r["known"]])] for r in rows}
-    if not found:
-        return None
-    return F.create_map(*[x for k, v in sorted(found.items())
-                          for x in (F.lit(k), F.array(*map(F.lit, v)))])
+def _references(counts: DataFrame, hists: dict[str, tuple[dict[str, int], Column]]) -> list[Column | None]:
+    """Per histogram (entries per language, usable rows): map of language -> mean relative
+    histogram over all its usable documents, as a literal (at most four languages and the
+    pooled one, with fixed numbers of entries), from one pass."""
+    sums = []
+    for hist, (groups, usable) in hists.items():
+        sums.append(F.sum(usable.cast("bigint")).alias(f"{hist}_n"))
+        for i in range(max(groups.values())):
+            share = F.coalesce(F.get(hist, F.lit(i)), F.lit(0.0))
+            sums.append(F.sum(F.when(usable, F.round(share * 1e9)).cast("bigint")).alias(f"{hist}_{i}"))
+    rows = counts.groupBy("known").agg(*sums).orderBy("known").collect()
+    out = []
+    for hist, (groups, _) in hists.items():
+        found = {r["known"]: [r[f"{hist}_{i}"] / 1e9 / r[f"{hist}_n"] for i in range(groups[r["known"]])]
+                 for r in rows if r[f"{hist}_n"]}
+        out.append(F.create_map(*[x for k, v in found.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+                   if found else None)
+    return out
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
@@ -150,12 +155,12 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     counts = base_counts(docs, text_col, lang_col)
     chars = F.when(F.col("n_chars") > 0, _shares(F.col("char_hist"), F.col("n_chars"), True))
     words = F.when(F.col("n_words") > 0, _shares(F.col("word_hist"), F.col("n_words"), True))
-    counts = cut_lineage(counts.withColumns({"chars": chars, "word_shares": words})
-                         .drop("char_hist", "word_hist"))
+    counts = counts.withColumns({"chars": chars, "word_shares": words})
     n_lists = {k: len(v) + 1 for k, v in COMMON_WORDS.items()}
     long_chars, long_words = F.col("n_chars") >= MIN_CHARS, F.col("n_words") >= MIN_WORDS
-    char_refs = _references(counts, "chars", dict.fromkeys(n_lists, len(CHAR_CLASSES) + 2), long_chars)
-    word_refs = _references(counts, "word_shares", n_lists, long_words)
+    char_refs, word_refs = _references(counts, {
+        "chars": (dict.fromkeys(n_lists, len(CHAR_CLASSES) + 2), long_chars),
+        "word_shares": (n_lists, long_words)})
     none = F.lit(None).cast("double")
 
     def distance(hist: str, refs: Column | None, usable: Column) -> Column:

@@ -120,7 +120,7 @@ def op9_packed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32("position_ids").alias("position_ids_crc32"), "seg_doc", "seg_piece", "seg_start")
 
 
-@query("op10_js_quality_rules")
+@query("op10_js_quality_rules", sql.op10())
 def op10_js_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents judged by base counts and by distribution divergence."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

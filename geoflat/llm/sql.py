@@ -69,3 +69,60 @@ FROM p WHERE page_id % 131 = 7 OR page_id % 97 = 11
 UNION ALL
 SELECT file, place + 1, page_id, 'extra', NULL, digest FROM p WHERE page_id % 173 = 3
 """
+
+
+def op10() -> str:
+    """The base counts and both distances, from the constants of ``quality_rules``."""
+    from . import quality_rules as q
+
+    ws, lists = r"[\x20\x09-\x0D]", q.COMMON_WORDS
+
+    def chars(allowed: str) -> str:
+        allowed = allowed.replace("'", "''").replace("\\u00", "\\x")
+        return f"length(regexp_replace(t, '[^{allowed}]+', '', 'g'))"
+
+    classes = ", ".join(chars(c) for c in q.CHAR_CLASSES.values())
+    words = "CASE known " + " ".join(
+        f"WHEN '{k}' THEN [" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in lists.items()) + " END"
+    known = ", ".join(f"'{k}'" for k in lists)
+
+    def half(x: str) -> str:
+        return f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((p + q) / 2)) ELSE 0 END"
+
+    return rf"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({known}) THEN lang ELSE '*' END AS known,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, ws[i:i + 4] AS k
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n
+        FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
+ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+b AS MATERIALIZED (
+  SELECT w.doc_id, known, t, ws, length(t) AS n_chars, len(ws) AS n_words,
+         length(regexp_replace(t, '{ws}+', '', 'g')) AS word_chars, {chars(q.SYMBOLS)} AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+         [length(t) - length(regexp_replace(t, '{ws}+', '', 'g')), {classes}] AS ch, {words} AS list
+  FROM w JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
+c AS (SELECT *, list_transform(list, lambda x: len(list_filter(ws, lambda y: y = x))) AS wh FROM b),
+h AS MATERIALIZED (
+  SELECT doc_id, known, 'c' AS kind, unnest(range(1, len(ch) + 2)) AS i, n_chars AS n,
+         list_append(ch, greatest(n_chars - list_sum(ch), 0)) AS counts
+  FROM c WHERE n_chars >= {q.MIN_CHARS}
+  UNION ALL
+  SELECT doc_id, known, 'w', unnest(range(1, len(wh) + 2)), n_words,
+         list_append(wh, greatest(n_words - list_sum(wh), 0)) FROM c WHERE n_words >= {q.MIN_WORDS}),
+s AS MATERIALIZED (SELECT doc_id, known, kind, i, CAST(counts[i] AS DOUBLE) / n AS p FROM h),
+ref AS (SELECT known, kind, i, sum(CAST(round(p * 1e9) AS BIGINT)) / 1e9 / count(*) AS q FROM s GROUP BY ALL),
+js AS (
+  SELECT doc_id, kind, sqrt(greatest(sum({half('p')} + {half('q')}) / 2, 0)) AS d
+  FROM s JOIN ref USING (known, kind, i) GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {q.MIN_TEXT_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {q.MIN_TEXT_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words
+            OR coalesce(jc.d > {q.MAX_CHAR_DISTANCE}, false) OR coalesce(jw.d > {q.MAX_WORD_DISTANCE}, false)) AS kept,
+       round(jc.d, 6) AS char_distance, round(jw.d, 6) AS word_distance
+FROM c LEFT JOIN (SELECT doc_id, d FROM js WHERE kind = 'c') jc USING (doc_id)
+       LEFT JOIN (SELECT doc_id, d FROM js WHERE kind = 'w') jw USING (doc_id)
+"""

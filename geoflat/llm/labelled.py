@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -30,9 +32,33 @@ def training_ids(labels: DataFrame, label: str, parts: int, held_out: int,
     return pool.orderBy(F.xxhash64("t_id"), "t_id").limit(rows)
 
 
+@dataclass
+class Sample:
+    """Labels and sparse features of the sample in flat arrays: row k has the entries from
+    ``offsets[k]`` to ``offsets[k + 1]``."""
+
+    y: np.ndarray
+    offsets: np.ndarray
+    idx: np.ndarray
+    val: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.y)
+
+    def row(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.offsets[k], self.offsets[k + 1])
+        return self.idx[at], self.val[at]
+
+    @classmethod
+    def of(cls, y, rows: list[tuple[np.ndarray, np.ndarray]]) -> "Sample":
+        return cls(np.asarray(y, dtype=np.float64), np.cumsum([0, *(len(i) for i, _ in rows)]),
+                   np.concatenate([np.zeros(0, np.int32), *(i for i, _ in rows)]),
+                   np.concatenate([np.zeros(0, np.float32), *(v for _, v in rows)]))
+
+
 def features_of_sample(docs: DataFrame, ids: DataFrame, featurize, id_col: str = "doc_id",
-                       text_col: str = "text") -> pd.DataFrame:
-    """``id, y, idx, val`` of the sample's documents, whole texts; ``featurize`` maps a text to
+                       text_col: str = "text") -> Sample:
+    """The sample's documents, whole texts, in order of the id; ``featurize`` maps a text to
     (indices, values). The sample's ids are broadcast (at most ``TRAIN_ROWS``), so no text
     is shuffled."""
     rows = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -52,7 +78,11 @@ def features_of_sample(docs: DataFrame, ids: DataFrame, featurize, id_col: str =
                 [b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(idx)),
                  pa.ListArray.from_arrays(offsets, pa.array(val))], schema=arrow)
 
-    return rows.mapInArrow(run, out).toPandas().sort_values("id", kind="stable").reset_index(drop=True)
+    got = rows.mapInArrow(run, out).toArrow()
+    got = got.take(pc.sort_indices(got.column("id"))).combine_chunks()
+    lists, values = got.column("idx").combine_chunks(), got.column("val").combine_chunks()
+    return Sample(got.column("y").to_numpy().astype(np.float64), lists.offsets.to_numpy(),
+                  lists.values.to_numpy(), values.values.to_numpy())
 
 
 def shift_to_threshold(z: np.ndarray, y: np.ndarray, threshold: float = 0.7) -> float:

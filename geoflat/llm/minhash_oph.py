@@ -50,7 +50,7 @@ BINS = BANDS * BAND_ROWS
 PERCENT = 80
 SEED = 0x9E3779B97F4A7C15
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 300, 120_000, 4096
-WORD_TABLE = 300_000
+WORD_TABLE = 150_000
 ATTEMPTS = 256
 
 _U = np.uint64

@@ -30,8 +30,8 @@ from pyspark.sql import Window as W
 
 from ..session import cut_lineage
 
-BINS = 128
-MAX_DOCS = 4
+BINS = 256
+MAX_DOCS = 3
 BUCKET_ROWS = 2000
 
 

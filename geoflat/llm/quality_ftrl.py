@@ -24,15 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import features_of_sample, shift_to_threshold, training_ids
+from .labelled import Sample, features_of_sample, shift_to_threshold, training_ids
 
 DIM_BITS = 20
 DIM = 1 << DIM_BITS
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.05, 0.5
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
-TRAIN_ROWS = 6_000
-WORD_TABLE = 200_000
+TRAIN_ROWS = 4_000
+WORD_TABLE = 100_000
 
 _U = np.uint64
 _RUNS = re.compile(r"[^\W\d_]+")
@@ -104,20 +104,23 @@ class FtrlModel:
         self.n[i] = n + g * g
 
 
-def train(sample: pd.DataFrame, epochs: int = EPOCHS, seed: int = 5) -> FtrlModel:
+def train(sample: Sample, epochs: int = EPOCHS, seed: int = 5) -> FtrlModel:
     """Both classes weigh the same in total; the order of examples is fixed."""
     model = FtrlModel()
-    y = sample["y"].to_numpy(dtype=np.float64)
+    y = sample.y
     if not len(y) or y.min() == y.max():
         return model
     share = y.mean()
-    rows = [(np.append(i, DIM).astype(np.int64), np.append(v, 0.2))
-            for i, v in zip(sample["idx"], sample["val"], strict=True)]
+
+    def row(k: int) -> tuple[np.ndarray, np.ndarray]:
+        i, v = sample.row(k)
+        return np.append(i, DIM), np.append(v, np.float32(0.2))
+
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
-            model.update(*rows[k], y[k], 0.5 / (share if y[k] else 1 - share))
-    z = np.array([model.weights(i) @ x for i, x in rows])
+        for k in rng.permutation(len(y)):
+            model.update(*row(k), y[k], 0.5 / (share if y[k] else 1 - share))
+    z = np.array([model.weights(i) @ x for i, x in map(row, range(len(y)))])
     model.shift = shift_to_threshold(z, y, THRESHOLD)
     return model
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 MAX_LEN = 4096
-TABLE_WORDS = 400_000
-TABLE_PARTS = 200_000
+TABLE_WORDS = 200_000
+TABLE_PARTS = 100_000
 
 _ENCODERS: dict[str, "Encoder"] = {}
 

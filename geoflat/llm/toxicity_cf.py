@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import features_of_sample, shift_to_threshold, training_ids
+from .labelled import Sample, features_of_sample, shift_to_threshold, training_ids
 
 HASH_BITS = 31              # wide enough that words practically never share an entry
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 TRAIN_ROWS = 6_000
 STEPS, ROUNDS, L1, L2, FAIRNESS = 300, 8, 0.1, 1e-4, 1.0
-WORD_TABLE = 200_000
+WORD_TABLE = 100_000
 
 # Identity terms; terms of one list are exchanged for each other.
 IDENTITY_TERMS = {
@@ -128,15 +128,15 @@ class ToxicityModel:
         self.kept, self.weights, self.bias = kept, weights, bias
 
 
-def train(sample: pd.DataFrame, pairs: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS,
+def train(sample: Sample, pairs: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS,
           fairness: float = FAIRNESS) -> ToxicityModel:
     """Accelerated proximal gradient over an active set: features whose gradient could pass
     the L1 penalty enter, the fit is repeated, and the set grows until no feature outside it
     violates the optimality condition."""
-    y = sample["y"].to_numpy(dtype=np.float64)
+    y = sample.y
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 0.0)
-    lists = [list(sample["idx"]), [a for a, _ in pairs], [b for _, b in pairs]]
+    lists = [[sample.row(k)[0] for k in range(len(y))], [a for a, _ in pairs], [b for _, b in pairs]]
     entries = np.unique(np.concatenate([np.zeros(0, np.int64), *(i for li in lists for i in li)]))
     dim = len(entries)
     x, left, right = (_Rows([np.searchsorted(entries, i) for i in li], dim) for li in lists)

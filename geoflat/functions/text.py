@@ -192,6 +192,3 @@ def metro_candidate_text(c) -> Column:
 
 # White-list page filters.
 WHITELIST_MENU_WORDS = ["список", "станции метро москвы", "по алфавиту", "главная", "меню"]
-CYRILLIC_CAPITALS = ["А", "Б", "В", "Г", "Д", "Е", "Ж", "З", "И", "Й", "К", "Л", "М",
-                     "Н", "О", "П", "Р", "С", "Т", "У", "Ф", "Х", "Ц", "Ч", "Ш", "Щ",
-                     "Э", "Ю", "Я"]

@@ -5,18 +5,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-# Crawl limits.
-MAX_PAGES_PER_GROUP = 1000
+from ..session import bounded_row_count
+from .ranks import cumulative_counts
+
+# Fixed value: pages without new links after which a group's crawl stops.
 ZERO_STREAK_LIMIT = 6
 
 
 def page_new_counts(log: DataFrame, grp: str = "grp", page: str = "page", pos: str = "pos",
-                    link: str = "link", max_pages: int = MAX_PAGES_PER_GROUP) -> DataFrame:
+                    link: str = "link", max_pages: int | None = None) -> DataFrame:
     """Per (group, page): links first seen in the group on that page (0 when none).
     First occurrences come from an aggregate, so a hot link combines map-side."""
-    log = log.where(F.col(page) <= max_pages)
+    if max_pages is not None:
+        log = log.where(F.col(page) <= max_pages)
     first = log.groupBy(grp, link).agg(F.min(F.struct(page, pos)).alias("_f"))
     new = first.groupBy(grp, F.col("_f")[page].alias(page)).agg(
         F.count(F.lit(1)).alias("new_count"))
@@ -27,26 +29,32 @@ def page_new_counts(log: DataFrame, grp: str = "grp", page: str = "page", pos: s
 
 def zero_streak_stop(log: DataFrame, grp: str = "grp", page: str = "page", pos: str = "pos",
                      link: str = "link", limit: int = ZERO_STREAK_LIMIT,
-                     max_pages: int = MAX_PAGES_PER_GROUP) -> DataFrame:
+                     max_pages: int | None = None) -> DataFrame:
     """Per group and page the new-link count, the zero streak, and whether the page is
-    read (pages after the one where the streak reaches ``limit`` are not). The window runs
-    over at most ``max_pages`` rows per group."""
+    read (pages after the one where the streak reaches ``limit`` are not). Every page counts
+    unless the caller gives ``max_pages``. A page's row number and the number of pages with
+    new links up to it are chunked prefix sums, so a long group is never one task's window;
+    pages with the same number of such pages before them form one run of zeros."""
     pc = page_new_counts(log, grp, page, pos, link, max_pages)
-    w = W.partitionBy(grp).orderBy(page).rowsBetween(W.unboundedPreceding, W.currentRow)
-    r = F.row_number().over(W.partitionBy(grp).orderBy(page))
-    pc = pc.withColumn("_r", r)
-    last_nz = F.max(F.when(F.col("new_count") > 0, F.col("_r"))).over(w)
-    pc = pc.withColumn("zero_streak", (F.col("_r") - F.coalesce(last_nz, F.lit(0))).cast("long"))
-    stop = F.min(F.when(F.col("zero_streak") >= limit, F.col(page))).over(
-        W.partitionBy(grp))
-    return pc.withColumn("stop_page", stop).select(
+    cum = cumulative_counts(pc, [grp], page, {
+        "new_count": F.col("new_count"), "r": F.lit(1), "nz": (F.col("new_count") > 0).cast("int")})
+    runs = cum.groupBy(F.col(grp).alias("_g"), F.col("cum_nz").alias("_nz")).agg(
+        F.min("cum_r").alias("_first"))
+    streak = F.col("cum_r") - F.when(F.col("cum_nz") > 0, F.col("_first")).otherwise(0)
+    cum = cum.join(runs, F.col(grp).eqNullSafe(F.col("_g")) & (F.col("cum_nz") == F.col("_nz"))).select(
+        grp, page, "new_count", streak.cast("long").alias("zero_streak"))
+    stops = cum.where(F.col("zero_streak") >= limit).groupBy(F.col(grp).alias("_g")).agg(
+        F.min(page).alias("stop_page"))
+    if bounded_row_count(stops) is not None:
+        stops = F.broadcast(stops)
+    return cum.join(stops, F.col(grp).eqNullSafe(F.col("_g")), "left").select(
         grp, page, "new_count", "zero_streak",
         (F.col("stop_page").isNull() | (F.col(page) <= F.col("stop_page"))).alias("read"))
 
 
 def first_seen(log: DataFrame, group_order: Column | None = None, grp: str = "grp",
                page: str = "page", pos: str = "pos", link: str = "link",
-               limit: int = ZERO_STREAK_LIMIT, max_pages: int = MAX_PAGES_PER_GROUP) -> DataFrame:
+               limit: int = ZERO_STREAK_LIMIT, max_pages: int | None = None) -> DataFrame:
     """G1: links collected per group on the pages actually read, then deduplicated across
     groups - a link belongs to the first group (``group_order``) that shows it."""
     read = zero_streak_stop(log, grp, page, pos, link, limit, max_pages).where("read").select(

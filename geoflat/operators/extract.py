@@ -286,9 +286,9 @@ def page_links(html: Column, page_url: Column, path_re: str = r"/realty/\d+/?$")
 
 def whitelist_tokens(html: Column) -> Column:
     """C17: texts of <li>/<a> elements, whitespace-normalised with ё -> е, 3..40 chars,
-    not a single capital letter, no menu words."""
-    from ..functions.text import CYRILLIC_CAPITALS, WHITELIST_MENU_WORDS, normalize_station
+    no menu words."""
+    from ..functions.text import WHITELIST_MENU_WORDS, normalize_station
     raw = F.regexp_extract_all(html, F.lit(r"(?is)<(?:li|a)\b[^>]*>(.*?)</(?:li|a)>"), 1)
     texts = F.transform(raw, lambda t: normalize_station(F.regexp_replace(t, r"<[^>]*>", " ")))
-    return F.filter(texts, lambda t: F.length(t).between(3, 40) & ~_in(t, CYRILLIC_CAPITALS)
+    return F.filter(texts, lambda t: F.length(t).between(3, 40)
                     & ~_has_any(F.lower(t), WHITELIST_MENU_WORDS))

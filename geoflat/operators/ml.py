@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import PRICE_BIN_LABELS, bin_cut, error_cols
 
-# A category column is one-hot encoded only if its distinct values are this few.
+# Up to so many values become columns; a wider category becomes one map column.
 ONE_HOT_LIMIT = 256
 
 
 def one_hot(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
-    """One 0/1 column per observed value (sorted), NULL -> all 0, source dropped.
+    """One 0/1 column per observed value (sorted), NULL -> all 0, source dropped; with more
+    than ``ONE_HOT_LIMIT`` values one map ``<prefix>_onehot`` of value -> 1 (NULL -> NULL).
     The values come from a distinct aggregate with a size check - never from the rows."""
     vals = df.select(col).where(F.col(col).isNotNull()).distinct().limit(ONE_HOT_LIMIT + 1)
     values = sorted(r[0] for r in vals.collect())
-    if len(values) > ONE_HOT_LIMIT:
-        raise ValueError(f"{col}: more than {ONE_HOT_LIMIT} categories")
     p = prefix or col
+    if len(values) > ONE_HOT_LIMIT:
+        one = F.map_from_arrays(F.array(F.col(col).cast("string")), F.array(F.lit(1)))
+        return df.withColumn(f"{p}_onehot", F.when(F.col(col).isNotNull(), one)).drop(col)
     return df.withColumns({f"{p}_{v}": F.coalesce((F.col(col) == v).cast("int"), F.lit(0))
                            for v in values}).drop(col)
 

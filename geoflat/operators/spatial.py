@@ -32,6 +32,8 @@ from ..session import BROADCAST_ROW_LIMIT, bounded_row_count, cut_lineage
 UNROLL_LIMIT = 32
 # Polylines are inlined up to this many segments.
 SEGMENT_LIMIT = 512
+# A longer polyline is broadcast in arrays of about so many segments.
+SEGMENT_CHUNK = 4096
 
 
 def _small_points(dim: DataFrame, lat: str, lon: str, ord_col: str, name_col: str | None,
@@ -199,25 +201,47 @@ def grid_nearest(left: DataFrame, dim: DataFrame, lat: str, lon: str, dim_lat: s
 
 
 # ------------------------------------------------------------ polyline distance
+def _distance_in_chunks(points: DataFrame, flat: DataFrame) -> DataFrame:
+    """Adds ``_rawd``, the least distance to any segment, chunk by chunk: each chunk of the
+    polyline is one row with one array, broadcast by its proven size."""
+    chunks = -(-flat.count() // SEGMENT_CHUNK)
+    dealt = cut_lineage(flat.withColumn("_c", F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), F.lit(chunks))))
+    out = points.withColumn("_rawd", F.lit(None).cast("double"))
+    for c in range(chunks):
+        row = dealt.where(F.col("_c") == c).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_segs"))
+        near = F.array_min(F.transform("_segs", lambda s: point_segment_distance(
+            F.col("_px"), F.col("_py"), s["x1"], s["y1"], s["x2"], s["y2"])))
+        out = out.crossJoin(F.broadcast(row)).withColumn("_rawd", F.least("_rawd", near)).drop("_segs")
+    return out
+
+
 def point_to_polyline(left: DataFrame, segments: DataFrame, out: str, crs: str = "utm37",
                       lat: str = "latitude", lon: str = "longitude",
                       first_feature_only: bool = False) -> DataFrame:
-    """E4 (UTM 37N) / E5 (Web Mercator, first feature only): unrounded km from the point
-    to the nearest segment. The polyline's size is checked, its vertices projected once
-    and inlined as literals; NULL coordinates give NULL."""
-    seg = segments.where(F.col("feature_id") == 0) if first_feature_only else segments
-    if bounded_row_count(seg, SEGMENT_LIMIT) is None:
-        raise ValueError("polyline has too many segments to inline; simplify it first")
+    """E4 (UTM 37N) / E5 (Web Mercator, the feature with the smallest id only): unrounded km
+    from the point to the nearest segment. A short polyline's vertices are projected once and
+    inlined as literals; a longer one travels as broadcast arrays of at most ``SEGMENT_CHUNK``
+    segments, so any length works. NULL coordinates give NULL; no segments is an error."""
+    seg = segments
+    if first_feature_only:
+        first = segments.agg(F.min("feature_id")).first()[0]
+        seg = segments.where(F.col("feature_id").eqNullSafe(F.lit(first)))
+    count = bounded_row_count(seg, SEGMENT_LIMIT)
+    if count == 0:
+        raise ValueError("the polyline has no segments")
     proj = project_utm37 if crs == "utm37" else project_webmercator
     x1, y1 = proj(F.col("lat1"), F.col("lon1"))
     x2, y2 = proj(F.col("lat2"), F.col("lon2"))
-    segs = seg.select(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).collect()
+    flat = seg.select(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
     px, py = proj(F.col(lat), F.col(lon))
     tmp = left.withColumns({"_px": px, "_py": py})
-    terms = [point_segment_distance(F.col("_px"), F.col("_py"), F.lit(s["x1"]), F.lit(s["y1"]),
-                                    F.lit(s["x2"]), F.lit(s["y2"])) for s in segs]
-    dist = terms[0] if len(terms) == 1 else F.least(*terms)
-    return (tmp.withColumn("_rawd", dist)
+    if count is None:
+        tmp = _distance_in_chunks(tmp, flat)
+    else:
+        terms = [point_segment_distance(F.col("_px"), F.col("_py"), F.lit(s["x1"]), F.lit(s["y1"]),
+                                        F.lit(s["x2"]), F.lit(s["y2"])) for s in flat.collect()]
+        tmp = tmp.withColumn("_rawd", terms[0] if len(terms) == 1 else F.least(*terms))
+    return (tmp
             .withColumn(out, F.when(F.col("_rawd").isNotNull() & F.col(lat).isNotNull()
                                     & F.col(lon).isNotNull(), F.col("_rawd") / 1000.0))
             .drop("_px", "_py", "_rawd"))

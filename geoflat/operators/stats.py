@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .ranks import cumulative_counts, exact_quantiles, ks_pvalue, ks_statistic
 
@@ -201,12 +202,19 @@ def cluster_stats(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
 
 
 def row_index(df: DataFrame, keys: list[str], order_col: str, name: str = "row_idx") -> DataFrame:
-    """0-based position inside the group by ``order_col`` (unique), computed with the
-    distributed cumulative count (no single task per group)."""
+    """0-based position inside the group by ``order_col``, computed with the distributed
+    cumulative count (no single task per group). Null keys are a group; rows that share a value
+    take consecutive positions; a null value has no position."""
     cum = cumulative_counts(df.select(*keys, order_col), keys, order_col)
-    idx = cum.select(*keys, order_col, (F.col("cum_n") - 1).alias(name),
+    idx = cum.select(*[F.col(k).alias(f"_i_{k}") for k in [*keys, order_col]],
+                     (F.col("cum_n") - F.col("n")).alias("_before"),
                      F.col("tot_n").alias(f"{name}_n"))
-    return df.join(idx, [*keys, order_col])
+    on = F.col(order_col) == F.col(f"_i_{order_col}")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_i_{k}"))
+    joined = df.join(idx, on, "left").drop(*[f"_i_{k}" for k in [*keys, order_col]])
+    among = F.row_number().over(W.partitionBy(*keys, order_col).orderBy(order_col)) - 1
+    return joined.withColumn(name, F.col("_before") + among).select(*df.columns, name, f"{name}_n")
 
 
 def ecdf(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -164,11 +164,6 @@ def q_nearest_balltree(spark, sf_dir):
                      rint_dp(F.col("_st")["dist"], 2).alias("metro_distance_km"))
 
 
-@query("mark_original", sql=None)
-def _placeholder(spark, sf_dir):  # replaced below
-    raise NotImplementedError
-
-
 def _mark_original_sql() -> str:
     from .q_synth import _PREP
     return _PREP + """
@@ -184,6 +179,4 @@ def q_mark_original(spark, sf_dir):
         "parent_geo_cluster")
 
 
-QUERIES["mark_original"] = q_mark_original
-ORACLES["mark_original"] = _mark_original_sql()
-_ = (house_age, oracle_with)
+query("mark_original", sql=_mark_original_sql())(q_mark_original)

@@ -25,10 +25,9 @@ def clustered_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_summary(df: DataFrame, cluster: str = "geo_generation_cluster") -> DataFrame:
     """per cluster size, mean lat/lon, exact median price and price per m2."""
-    # coordinates carry 4 decimals here: an integer-scaled mean is order-independent
     base = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("count"),
-                                   exact_avg("latitude", 1e4).alias("mean_latitude"),
-                                   exact_avg("longitude", 1e4).alias("mean_longitude"))
+                                   F.avg("latitude").alias("mean_latitude"),
+                                   F.avg("longitude").alias("mean_longitude"))
     long = df.select(cluster, F.col("price").cast("double").alias("price"),
                      F.col("price_per_m2").cast("double").alias("price_per_m2")) \
         .unpivot([cluster], ["price", "price_per_m2"], "_f", "_v")
@@ -46,8 +45,8 @@ def q_dataset_clean(spark, sf_dir):
 
 @query("cluster_summary", sql=with_cleaned() + """
 SELECT geo_generation_cluster, count(*) AS count,
-       round(""" + exact_avg_sql("latitude", 1e4) + """, 6) AS mean_latitude,
-       round(""" + exact_avg_sql("longitude", 1e4) + """, 6) AS mean_longitude,
+       round(avg(latitude), 6) AS mean_latitude,
+       round(avg(longitude), 6) AS mean_longitude,
        round(quantile_cont(price, 0.5), 6) AS median_price,
        round(quantile_cont(price_per_m2, 0.5), 6) AS median_price_per_m2
 FROM clustered_clean GROUP BY geo_generation_cluster""")

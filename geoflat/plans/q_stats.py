@@ -274,12 +274,11 @@ def q_dataset_shape(spark, sf_dir):
 
 
 @query("map_center", sql=with_cleaned() + """
-SELECT round(""" + exact_avg_sql("latitude", 1e4) + """, 6) AS center_lat,
-       round(""" + exact_avg_sql("longitude", 1e4) + """, 6) AS center_lon FROM cleaned""")
+SELECT round(avg(latitude), 6) AS center_lat, round(avg(longitude), 6) AS center_lon FROM cleaned""")
 def q_map_center(spark, sf_dir):
     """mean latitude / longitude of the cleaned set."""
-    return cleaned_listings(spark, sf_dir).agg(rnd(exact_avg("latitude", 1e4)).alias("center_lat"),
-                                               rnd(exact_avg("longitude", 1e4)).alias("center_lon"))
+    return cleaned_listings(spark, sf_dir).agg(rnd(F.avg("latitude")).alias("center_lat"),
+                                               rnd(F.avg("longitude")).alias("center_lon"))
 
 
 @query("outlier_checks", sql=oracle_with("listings") + """
@@ -315,9 +314,8 @@ def q_quantile_trim(spark, sf_dir):
 # ------------------------------------------------------------------ crawl log windows
 @query("zero_streak_stop", sql=oracle_with("crawl_log") + """
 , f AS (SELECT grp, link, min(page) AS p FROM (SELECT grp, link, page, pos,
-          row_number() OVER (PARTITION BY grp, link ORDER BY page, pos) AS rn FROM crawl_log
-          WHERE page <= 1000) WHERE rn = 1 GROUP BY grp, link),
-pg AS (SELECT DISTINCT grp, page FROM crawl_log WHERE page <= 1000),
+          row_number() OVER (PARTITION BY grp, link ORDER BY page, pos) AS rn FROM crawl_log) WHERE rn = 1 GROUP BY grp, link),
+pg AS (SELECT DISTINCT grp, page FROM crawl_log),
 nc AS (SELECT pg.grp, pg.page, CAST(count(f.link) AS BIGINT) AS new_count FROM pg
        LEFT JOIN f ON f.grp = pg.grp AND f.p = pg.page GROUP BY pg.grp, pg.page),
 st AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY page) AS r,
@@ -335,9 +333,9 @@ def q_zero_streak_stop(spark, sf_dir):
 
 
 @query("first_seen", sql=oracle_with("crawl_log") + """
-, f AS (SELECT grp, link, page, pos FROM crawl_log WHERE page <= 1000
+, f AS (SELECT grp, link, page, pos FROM crawl_log
         QUALIFY row_number() OVER (PARTITION BY grp, link ORDER BY page, pos) = 1),
-pg AS (SELECT DISTINCT grp, page FROM crawl_log WHERE page <= 1000),
+pg AS (SELECT DISTINCT grp, page FROM crawl_log),
 nc AS (SELECT pg.grp, pg.page, count(f.link) AS new_count FROM pg LEFT JOIN f
        ON f.grp = pg.grp AND f.page = pg.page GROUP BY pg.grp, pg.page),
 z AS (SELECT grp, page, row_number() OVER w - coalesce(max(CASE WHEN new_count > 0 THEN rn END)
@@ -427,13 +425,13 @@ def q_top_k_counts(spark, sf_dir):
 
 
 @query("union_by_name", sql=oracle_with("listings") + """
-SELECT listing_id, price, NULL::INTEGER AS is_synthetic FROM listings WHERE source_group = 'A'
-UNION ALL SELECT listing_id, NULL::DOUBLE AS price, 1 AS is_synthetic FROM listings WHERE source_group = 'N'""")
+SELECT listing_id, price, NULL::INTEGER AS is_synthetic FROM listings
+UNION ALL SELECT listing_id, NULL::DOUBLE AS price, 1 AS is_synthetic FROM listings""")
 def q_union_by_name(spark, sf_dir):
     """Stack two frames with different columns; missing -> NULL."""
     l = X.listings(spark, sf_dir)
-    a = l.where("source_group = 'A'").select("listing_id", "price")
-    b = l.where("source_group = 'N'").select("listing_id", F.lit(1).alias("is_synthetic"))
+    a = l.select("listing_id", "price")
+    b = l.select("listing_id", F.lit(1).alias("is_synthetic"))
     return a.unionByName(b, allowMissingColumns=True)
 
 

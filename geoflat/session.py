@@ -14,14 +14,23 @@ BROADCAST_ROW_LIMIT = 20_000
 
 def build_session(master: str | None = None, app: str = "geoflat",
                   shuffle_partitions: int | None = None) -> SparkSession:
-    """A session tuned for the engine: AQE on, UI off, UTC, Arrow on."""
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
-    parts = shuffle_partitions or int(os.environ.get("GEOFLAT_SHUFFLE_PARTITIONS", "8"))
+    """A session tuned for the engine: AQE on, UI off, UTC, Arrow on. ``master`` and the number
+    of shuffle partitions are set only when given or when no cluster configured a master, so
+    ``spark-submit`` settings stay as they are."""
+    builder = SparkSession.builder.appName(app)
+    local = master or ("" if os.environ.get("SPARK_ENV_LOADED") or os.environ.get("MASTER")
+                       else f"local[{os.environ.get('BENCH_CPUS', '8')}]")
+    parts = shuffle_partitions or os.environ.get("GEOFLAT_SHUFFLE_PARTITIONS") or (
+        8 if local.startswith("local") else None)
+    if local:
+        builder = builder.master(local)
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     builder = (
-        SparkSession.builder.master(master).appName(app)
+        builder
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

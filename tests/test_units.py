@@ -5,6 +5,7 @@ import math
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from geoflat.functions import numeric as N
@@ -76,3 +77,51 @@ def test_exact_split_size(spark):
     df = spark.createDataFrame([(f"id{i}",) for i in range(2585)], "listing_id string")
     n_test = J.train_test_split(df, "listing_id").where("split = 'test'").count()
     assert n_test == 517  # ceil(0.2 * 2585)
+
+
+def test_row_index_null_keys_and_ties(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), (None, 5), (None, 6)], "k string, v int")
+    got = sorted((r["k"] or "", r["row_idx"], r["row_idx_n"]) for r in S.row_index(df, ["k"], "v").collect())
+    assert got == [("", 0, 2), ("", 1, 2), ("a", 0, 3), ("a", 1, 3), ("a", 2, 3)]
+
+
+def test_long_polyline_equals_inlined(spark, monkeypatch):
+    pts = [(37.0 + 0.3 * math.cos(k / 100), 55.7 + 0.2 * math.sin(k / 100)) for k in range(701)]
+    seg = spark.createDataFrame([(7, k, *pts[k], *pts[k + 1]) for k in range(700)],
+                                "feature_id int, seg_id int, lon1 double, lat1 double, lon2 double, lat2 double")
+    left = spark.createDataFrame([(1, 55.75, 37.6), (2, None, 37.0), (3, 55.1, 36.2)],
+                                 "id int, latitude double, longitude double")
+    monkeypatch.setattr(SP, "SEGMENT_CHUNK", 300)
+    long_ = {r["id"]: r["d"] for r in SP.point_to_polyline(left, seg, "d", first_feature_only=True).collect()}
+    near = {}
+    for low in range(0, 700, 350):
+        part = seg.where((F.col("seg_id") >= low) & (F.col("seg_id") < low + 350))
+        for r in SP.point_to_polyline(left, part, "d").collect():
+            if r["d"] is not None:
+                near[r["id"]] = min(r["d"], near.get(r["id"], 1e9))
+    assert long_[2] is None and {k: v for k, v in long_.items() if v is not None} == near
+
+
+def test_empty_polyline_is_an_error(spark):
+    seg = spark.createDataFrame([], "feature_id int, lon1 double, lat1 double, lon2 double, lat2 double")
+    left = spark.createDataFrame([(1, 55.75, 37.6)], "id int, latitude double, longitude double")
+    with pytest.raises(ValueError):
+        SP.point_to_polyline(left, seg, "d")
+
+
+def test_wide_category_becomes_a_map(spark):
+    from geoflat.operators import ml
+    df = spark.range(300).select(F.concat(F.lit("c"), F.col("id")).alias("cat"), "id")
+    out = ml.one_hot(df, "cat")
+    assert out.columns == ["id", "cat_onehot"]
+    assert all(r["cat_onehot"] == {f"c{r['id']}": 1} for r in out.collect())
+
+
+def test_zero_streak_covers_every_page_unless_limited(spark):
+    from geoflat.operators import crawl
+    log = spark.createDataFrame([("g", p, 0, p if p % 9 else 0) for p in range(1, 1501)],
+                                "grp string, page int, pos int, link int")
+    got = crawl.zero_streak_stop(log).collect()
+    assert len(got) == 1500 and all(r["read"] for r in got)
+    assert {r["zero_streak"] for r in got} == {0, 1}
+    assert crawl.zero_streak_stop(log, max_pages=100).count() == 100

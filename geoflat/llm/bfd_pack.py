@@ -92,13 +92,13 @@ def _pack_shard(table: pa.Table, capacity: int, vocabulary: str, end_id: int, pa
     ids_of = table.column("id").combine_chunks()
     shard = table.column("shard")[0].as_py() if table.num_rows else 0
     pad = np.array([pad_id], dtype="<u4").tobytes()
+    count, zeros = np.arange(capacity, dtype="<u4").tobytes(), bytes(4 * capacity)
     for low in range(0, len(rows), 256):
         part = rows[low:low + 256]
         ends = [np.cumsum([0, *lengths[r]]) for r in part]
         matrix = [b"".join([data[i] for i in r]) + pad * (capacity - int(e[-1]))
                   for r, e in zip(part, ends, strict=True)]
-        position = [np.concatenate([*(np.arange(lengths[i]) for i in r),
-                                    np.zeros(capacity - int(e[-1]))]).astype("<u4").tobytes()
+        position = [b"".join([count[:len(data[i])] for i in r]) + zeros[:4 * (capacity - int(e[-1]))]
                     for r, e in zip(part, ends, strict=True)]
         offsets = pa.array(np.cumsum([0, *map(len, part)]), pa.int32())
         flat = [i for r in part for i in r]

@@ -22,6 +22,19 @@ MAX_LEN = 4096
 TABLE_WORDS = 200_000
 TABLE_PARTS = 100_000
 
+# Signs that, after letters, form one part with no rule of their own.
+_TAIL = b".,!?;:#*$%&|()\"-"
+
+
+def _byte_signs() -> list[str]:
+    """Byte-level alphabet: printable Latin-1 signs stand for themselves, the other bytes for
+    the code points from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+_SIGNS = _byte_signs()
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -56,9 +69,13 @@ class Encoder:
         if b"<|" in word:  # may hold a special token
             ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
             return np.array(ids, dtype="<u4").tobytes()
-        if word.isalpha():  # ASCII letters only: one part, lower-cased
-            if b"'" not in word:
-                return self._part(word.lower().decode())
+        core = word.rstrip(_TAIL)
+        tail = word[len(core):]
+        text = core.decode()
+        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+            # Latin letters are one part, and a run of other signs after them another
+            part = "".join([_SIGNS[b] for b in text.lower().encode()])
+            return self._part(part) + (self._part(tail.decode()) if tail else b"")
         t = self.tokenizer
         parts = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word.decode()))
         return b"".join([self._part(p) for p, _ in parts])

@@ -2,8 +2,8 @@
 
 The vocabulary file is a parameter. With this tokenizer the ids of a text are the ids of
 its white-space separated words in order (white space is dropped and no rule looks across
-it), so ids are kept per word and per part of a word in bounded tables of each Python
-worker; a test holds this against ``Tokenizer.encode`` on whole texts.
+it), so ids are kept per word in a bounded table of each Python worker; a test holds this
+against ``Tokenizer.encode`` on whole texts.
 
 Defined cases: null text counts as empty and gives the single id 1. A text is never cut
 except into pieces of ``max_len`` ids, the last of which may be shorter.
@@ -11,6 +11,8 @@ except into pieces of ``max_len`` ids, the last of which may be shorter.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 MAX_LEN = 4096
-TABLE_WORDS = 200_000
-TABLE_PARTS = 100_000
+TABLE_WORDS = 300_000
+TABLE_SIGNS = 20_000
 
 # Signs that, after letters, form one part with no rule of their own.
 _TAIL = b".,!?;:#*$%&|()\"-"
@@ -46,9 +48,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.signs: dict[bytes, bytes] = {}
 
     @classmethod
     def get(cls, vocabulary: str) -> "Encoder":
@@ -57,25 +60,28 @@ class Encoder:
         return _ENCODERS[vocabulary]
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
+        return _pack_ids([t.id for t in self.tokenize(part)])
+
+    def _tail(self, tail: bytes) -> bytes:
+        ids = self.signs.get(tail)
         if ids is None:
-            if len(self.parts) >= TABLE_PARTS:
-                self.parts.clear()
-            ids = np.array([t.id for t in self.model.tokenize(part)], dtype="<u4").tobytes()
-            self.parts[part] = ids
+            if len(self.signs) >= TABLE_SIGNS:
+                self.signs.clear()
+            ids = self.signs[tail] = self._part(tail.decode())
         return ids
 
     def _word(self, word: bytes) -> bytes:
         if b"<|" in word:  # may hold a special token
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            return np.array(ids, dtype="<u4").tobytes()
+            return _pack_ids(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        # Latin letters are one part, and a run of other signs after them another
         core = word.rstrip(_TAIL)
-        tail = word[len(core):]
+        if core.isalpha():  # of bytes: A-Z and a-z only
+            ids = self._part(core.lower().decode())
+            return ids if core == word else ids + self._tail(word[len(core):])
         text = core.decode()
         if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
-            # Latin letters are one part, and a run of other signs after them another
-            part = "".join([_SIGNS[b] for b in text.lower().encode()])
-            return self._part(part) + (self._part(tail.decode()) if tail else b"")
+            ids = self._part("".join([_SIGNS[b] for b in text.lower().encode()]))
+            return ids if core == word else ids + self._tail(word[len(core):])
         t = self.tokenizer
         parts = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word.decode()))
         return b"".join([self._part(p) for p, _ in parts])
@@ -87,14 +93,20 @@ class Encoder:
             return b"".join([table[w] for w in words])
         except KeyError:
             pass
-        if len(table) >= TABLE_WORDS:
-            table.clear()
+        if len(table) >= TABLE_WORDS // 2:  # words in use come back from the older table
+            self.older, self.words = table, {}
+            table = self.words
+        older = self.older
         for w in words:
             if w not in table:
-                table[w] = self._word(w)
+                table[w] = older.get(w) or self._word(w)
         return b"".join([table[w] for w in words])
 
 
+def _pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _pieces(batches, vocabulary: str, end_id: int | None, max_len: int, schema: pa.Schema):
     encoder = Encoder.get(vocabulary)
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()

@@ -13,8 +13,9 @@ Two physical forms, same answers (ties -> smallest ``ord``, i.e. first in file o
   cell, and the minimum per listing kept only if it is closer than the distance to the
   edge of the 3x3 block (then no point outside can be closer). Unresolved listings go to
   the next round with doubled cells; the last round's cells span the globe, so every
-  listing resolves exactly. The first cell size comes from the dimension's density; AQE's
-  skew join splits a hot cell of listings.
+  listing resolves exactly. Points near 180 degrees are offered on both sides of it. The
+  first cell size comes from the dimension's density; AQE's skew join splits a hot cell of
+  listings.
 """
 
 from __future__ import annotations
@@ -152,12 +153,17 @@ def grid_nearest(left: DataFrame, dim: DataFrame, lat: str, lon: str, dim_lat: s
         if last:
             delta = 360.0  # one cell: every point is a candidate, result is exact
         cy = F.floor(F.col("_plat") / delta)
-        cx = F.floor(F.col("_plon") / delta)
-        rep = (pts.select("*", F.explode(offsets).alias("_dy"))
+        # points near 180 degrees are also offered from the other side of it
+        turns = F.array(*[F.lit(t) for t in ((0.0,) if last else (0.0, 360.0, -360.0))])
+        seen = F.col("_plon") + F.col("_turn")
+        cx = F.floor(seen / delta)
+        rep = (pts.select("*", F.explode(turns).alias("_turn"))
+               .where((F.col("_turn") == 0) | (F.abs(seen) <= 180.0 + 2 * delta))
+               .select("*", F.explode(offsets).alias("_dy"))
                .select("*", F.explode(offsets).alias("_dx"))
                .select("_plat", "_plon", "_pord", "_pname", *gk,
                        (cy + F.col("_dy")).alias("_cy"), (cx + F.col("_dx")).alias("_cx")))
-        if small_dim:  # 9 x a size-checked dimension: hash join without moving listings
+        if small_dim:  # at most 27 x a size-checked dimension: hash join without moving listings
             rep = F.broadcast(rep)
         q = todo.select("*", F.floor(F.col("_lat") / delta).alias("_cy"),
                         F.floor(F.col("_lon") / delta).alias("_cx"))

@@ -161,6 +161,3 @@ def q_boosted_trees(spark, sf_dir):
     imp = K.feature_importance(m, feats)
     return spark.createDataFrame(imp, "feature string, importance double").crossJoin(
         f.agg(F.count(F.lit(1)).alias("training_rows")))
-
-
-_ = rnd

@@ -41,6 +41,20 @@ def test_nearest_tie_goes_to_first_station(spark):
         assert r == "a"
 
 
+def test_grid_nearest_crosses_180_degrees(spark):
+    rnd = random.Random(3)
+    left = [("east", 60.0, 179.99), ("west", -10.0, -179.99), ("pole", 89.9, 5.0), ("none", None, 1.0)]
+    left += [(f"l{i}", rnd.uniform(-85, 85), rnd.choice([-1, 1]) * rnd.uniform(170, 180)) for i in range(40)]
+    dim = [("a", 60.0, 179.5, 1), ("b", 60.0, -179.99, 2), ("c", -10.0, 179.9, 3), ("d", 89.9, -175.0, 4)]
+    dim += [(f"p{i}", rnd.uniform(-85, 85), rnd.uniform(-180, 180), 10 + i) for i in range(25)]
+    left = spark.createDataFrame(left, "listing_id string, latitude double, longitude double")
+    dim = spark.createDataFrame(dim, "name string, lat double, lon double, ord long")
+    got = [{r[0]: r[1] for r in SP.nearest_one(left, dim, out="nn", force=form)
+            .select("listing_id", "nn.name").collect()} for form in (None, "grid")]
+    assert got[0] == got[1]
+    assert [got[1][k] for k in ("east", "west", "pole", "none")] == ["b", "c", "d", None]
+
+
 def test_exact_quantiles_match_pandas_with_hot_group(spark):
     rnd = random.Random(7)
     rows = [("hot", float(rnd.randint(0, 50))) for _ in range(3000)]

@@ -13,6 +13,11 @@ sum (languages x classes, partially aggregated). The references take a first pas
 the histograms alone; the verdicts take the second, so no text is ever written. The word list of a language is a fixed
 table; languages outside it are compared with the pooled list and the pooled reference.
 
+``quality_rules_by_text`` judges by references that copies and junk do not move: each distinct
+text (white space aside) has one vote, the mean of its copies, texts that fail the base rules
+have none, and the pooled reference is made of the texts of all languages. Near copies still
+vote one by one. A language without any vote has null distances.
+
 Defined cases: null or empty text has all counts 0 and fails the base rule (fewer than 10
 words). A null or unknown language uses the pooled reference. Repeated rows are judged
 alike. An empty table gives an empty result. Other columns travel inside ``row``.
@@ -25,6 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import WS, packed, text_of
 
 # Common words per language, and some of all for other languages.
@@ -64,14 +70,17 @@ def covered_words(places: Column) -> Column:
         lambda s: s["covered"]).cast("bigint")
 
 
-def base_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``row`` and the counts of each text, with both histograms."""
+def base_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                pooled: bool = False) -> DataFrame:
+    """``row`` and the counts of each text, with both histograms; with ``pooled`` also the
+    histogram of the pooled words and the digest of the text without white space."""
     text = text_of(F.col("row")[text_col])
     lang = F.col("row")[lang_col]
     df = packed(docs).withColumn("text", text)
     known = F.when(lang.isin(*COMMON_WORDS), lang).otherwise(F.lit("*"))
+    lists = {k: v + [w for w in COMMON_WORDS["*"] if pooled and w not in v] for k, v in COMMON_WORDS.items()}
     word_list = reduce(lambda c, kv: c.when(F.col("known") == kv[0], F.array(*map(F.lit, kv[1]))),
-                       COMMON_WORDS.items(), F)
+                       lists.items(), F)
     spaced = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(" ")), "\n\t\r\x0b\x0c", F.col("text"))
     marked = "".join([*CHAR_CLASSES.values(), SYMBOLS])
     df = df.withColumns({
@@ -90,12 +99,18 @@ def base_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         F.sort_array(F.transform("windows", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))))
     n_words, n_chars = F.size("words").cast("bigint"), F.length("text").cast("bigint")
     word_chars = F.greatest(F.length("joined") - 2 * n_words, F.lit(0))
-    entries = len(COMMON_WORDS["*"])
     word_hist = []
-    for i in range(entries):
+    for i in range(max(map(len, lists.values()))):
         w = F.get("word_list", F.lit(i))
         left = F.replace("joined", F.concat(F.lit(" "), w, F.lit(" ")), F.lit(""))
         word_hist.append(F.floor((F.octet_length("joined") - F.octet_length(left)) / (F.octet_length(w) + 2)))
+    more = []
+    if pooled:
+        places = reduce(lambda c, kv: c.when(F.col("known") == kv[0], F.array(
+            *[F.lit(kv[1].index(w)) for w in COMMON_WORDS["*"]])), lists.items(), F)
+        more = [F.array(*word_hist).alias("all_words"), places.alias("pooled_at"),
+                F.sha2(F.array_join("words", ""), 256).alias("digest")]
+    entries = len(COMMON_WORDS["*"])
     return df.select(
         "row", "known", n_words.alias("n_words"),
         F.when(n_words > 0, word_chars).otherwise(0).cast("bigint").alias("word_chars"),
@@ -106,7 +121,7 @@ def base_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         n_chars.alias("n_chars"),
         F.array(n_chars - F.when(n_words > 0, word_chars).otherwise(0),
                 *[count_of(F.col("marks"), c) for c in CHAR_CLASSES.values()]).alias("char_hist"),
-        F.array(*word_hist).alias("word_hist"))
+        F.array(*word_hist[:entries]).alias("word_hist"), *more)
 
 
 def _shares(counts: Column, total: Column, with_rest: bool) -> Column:
@@ -137,7 +152,10 @@ def _references(counts: DataFrame, hists: dict[str, tuple[dict[str, int], Column
         for i in range(max(groups.values())):
             share = F.coalesce(F.get(hist, F.lit(i)), F.lit(0.0))
             sums.append(F.sum(F.when(usable, F.round(share * 1e9)).cast("bigint")).alias(f"{hist}_{i}"))
-    rows = counts.groupBy("known").agg(*sums).orderBy("known").collect()
+    return _as_maps(counts.groupBy("known").agg(*sums).orderBy("known").collect(), hists)
+
+
+def _as_maps(rows: list, hists: dict[str, tuple[dict[str, int], Column]]) -> list[Column | None]:
     out = []
     for hist, (groups, _) in hists.items():
         found = {r["known"]: [r[f"{hist}_{i}"] / 1e9 / r[f"{hist}_n"] for i in range(groups[r["known"]])]
@@ -147,28 +165,72 @@ def _references(counts: DataFrame, hists: dict[str, tuple[dict[str, int], Column
     return out
 
 
+def _text_references(counts: DataFrame, hists: dict[str, tuple[dict[str, int], Column]],
+                     pooled_shares: Column) -> list[Column | None]:
+    """As ``_references``, over one vote per distinct text; the pooled language has the votes of
+    all texts. The votes are grouped by digest before the sums, so copies meet in the map side."""
+    own = F.struct(F.col("known").alias("known"), F.col("word_shares").alias("word_shares"))
+    all_ = F.struct(F.lit("*").alias("known"), pooled_shares.alias("word_shares"))
+    votes = counts.withColumns({f"{h}_usable": usable for h, (_, usable) in hists.items()}).select(
+        "digest", "chars", *[f"{h}_usable" for h in hists],
+        F.explode(F.when(F.col("known") == "*", F.array(all_)).otherwise(F.array(own, all_))).alias("v"))
+    votes = votes.select("digest", "chars", "v.*", *[f"{h}_usable" for h in hists])
+    sums, means = [], []
+    for h, (groups, _) in hists.items():
+        n, usable = f"{h}_n", F.col(f"{h}_usable")
+        sums.append(F.sum(usable.cast("bigint")).alias(n))
+        means.append(F.sum((F.col(n) > 0).cast("bigint")).alias(n))
+        for i in range(max(groups.values())):
+            share = F.coalesce(F.get(h, F.lit(i)), F.lit(0.0))
+            sums.append(F.sum(F.when(usable, F.round(share * 1e9)).cast("bigint")).alias(f"{h}_{i}"))
+            means.append(F.sum(F.round(F.when(F.col(n) > 0, F.col(f"{h}_{i}") / F.col(n))).cast("bigint"))
+                         .alias(f"{h}_{i}"))
+    texts = votes.groupBy("known", "digest").agg(*sums)
+    return _as_maps(texts.groupBy("known").agg(*means).orderBy("known").collect(), hists)
+
+
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                   max_char_distance: float = MAX_CHAR_DISTANCE,
                   max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
     """One row per input row: ``row``, the counts, ``char_distance``, ``word_distance`` (null
     where the text is too short to judge), ``base_failed`` and ``kept``."""
-    counts = base_counts(docs, text_col, lang_col)
+    return _judged(base_counts(docs, text_col, lang_col), False, max_char_distance, max_word_distance)
+
+
+def quality_rules_by_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                          max_char_distance: float = MAX_CHAR_DISTANCE,
+                          max_word_distance: float = MAX_WORD_DISTANCE, keep_text: bool = True) -> DataFrame:
+    """As ``quality_rules``, with references of one vote per distinct text that passes the base
+    rules. The counts are checkpointed, so they are made once and not twice; without
+    ``keep_text`` the rows lose their text, which the checkpoint then does not hold."""
+    counts = base_counts(docs, text_col, lang_col, pooled=True)
+    if not keep_text:
+        counts = counts.withColumn("row", F.col("row").dropFields(f"`{text_col}`"))
+    return _judged(cut_lineage(counts), True, max_char_distance, max_word_distance)
+
+
+def _judged(counts: DataFrame, by_text: bool, max_char_distance: float, max_word_distance: float) -> DataFrame:
     chars = F.when(F.col("n_chars") > 0, _shares(F.col("char_hist"), F.col("n_chars"), True))
     words = F.when(F.col("n_words") > 0, _shares(F.col("word_hist"), F.col("n_words"), True))
     counts = counts.withColumns({"chars": chars, "word_shares": words})
     n_lists = {k: len(v) + 1 for k, v in COMMON_WORDS.items()}
     long_chars, long_words = F.col("n_chars") >= MIN_CHARS, F.col("n_words") >= MIN_WORDS
-    char_refs, word_refs = _references(counts, {
-        "chars": (dict.fromkeys(n_lists, len(CHAR_CLASSES) + 2), long_chars),
-        "word_shares": (n_lists, long_words)})
+    hists = {"chars": (dict.fromkeys(n_lists, len(CHAR_CLASSES) + 2), long_chars),
+             "word_shares": (n_lists, long_words)}
+    base_failed = ((F.col("n_words") < MIN_TEXT_WORDS)
+                   | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    if by_text:
+        pooled = F.transform("pooled_at", lambda i: F.get("all_words", i))
+        char_refs, word_refs = _text_references(
+            counts.where(~base_failed), hists, _shares(pooled, F.col("n_words"), True))
+    else:
+        char_refs, word_refs = _references(counts, hists)
     none = F.lit(None).cast("double")
 
     def distance(hist: str, refs: Column | None, usable: Column) -> Column:
         return none if refs is None else F.when(
             usable, js_distance(F.col(hist), F.element_at(refs, F.col("known"))))
 
-    base_failed = ((F.col("n_words") < MIN_TEXT_WORDS)
-                   | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     judged = counts.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         distance("chars", char_refs, long_chars).alias("char_distance"),

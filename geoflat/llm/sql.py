@@ -126,3 +126,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM c LEFT JOIN (SELECT doc_id, d FROM js WHERE kind = 'c') jc USING (doc_id)
        LEFT JOIN (SELECT doc_id, d FROM js WHERE kind = 'w') jw USING (doc_id)
 """
+
+
+def op10_by_text() -> str:
+    """As ``op10``, with one vote per distinct text that passes the base rules, and the pooled
+    reference over the texts of all languages."""
+    from . import quality_rules as q
+
+    pool = "[" + ", ".join(f"'{w}'" for w in q.COMMON_WORDS["*"]) + "]"
+    before, rest = op10().split("ref AS (", 1)
+    after = rest[rest.index("js AS ("):]
+    return before + rf"""
+ok AS MATERIALIZED (
+  SELECT doc_id, sha256(array_to_string(ws, '')) AS digest, n_words,
+         list_transform({pool}, lambda x: len(list_filter(ws, lambda y: y = x))) AS pc
+  FROM c WHERE NOT (n_words < {q.MIN_TEXT_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words)),
+pooled AS (
+  SELECT digest, n_words, unnest(range(1, len(pc) + 2)) AS i,
+         list_append(pc, greatest(n_words - list_sum(pc), 0)) AS counts
+  FROM ok WHERE n_words >= {q.MIN_WORDS}),
+votes AS (
+  SELECT known, digest, kind, i, p FROM s JOIN ok USING (doc_id) WHERE kind = 'c' OR known <> '*'
+  UNION ALL
+  SELECT '*', digest, kind, i, p FROM s JOIN ok USING (doc_id) WHERE kind = 'c' AND known <> '*'
+  UNION ALL
+  SELECT '*', digest, 'w', i, CAST(counts[i] AS DOUBLE) / n_words FROM pooled),
+one AS (SELECT known, digest, kind, i, round(sum(CAST(round(p * 1e9) AS BIGINT)) / count(*)) AS v
+        FROM votes GROUP BY ALL),
+ref AS (SELECT known, kind, i, sum(CAST(v AS BIGINT)) / 1e9 / count(*) AS q FROM one GROUP BY ALL),
+""" + after

@@ -366,6 +366,24 @@ def test_quality_rules_edges(edge):
     assert quality_rules.quality_rules(edge.limit(0)).count() == 0
 
 
+def test_quality_rules_by_text_votes(spark, docs):
+    rows = [(r["doc_id"], r["text"], "en") for r in docs.where("lang = 'en' AND length(text) > 1200").select(
+        "doc_id", "text").distinct().orderBy("doc_id").limit(20).collect()]
+    junk = " ".join(f"#{i:04d} | {i * 7919 % 10007}$ * {i * 31} &" for i in range(300))
+    copies = [(10 ** 6 + k, junk.replace(" ", "  ") if k % 2 else junk, "en") for k in range(len(rows) // 2 + 1)]
+    rows.append((-1, junk, "xx"))
+
+    def judged(data):
+        found = quality_rules.quality_rules_by_text(
+            spark.createDataFrame(data, "doc_id bigint, text string, lang string").coalesce(1))
+        return {r["id"]: (r["char_distance"], r["kept"]) for r in found.select(
+            F.col("row.doc_id").alias("id"), "char_distance", "kept").collect()}
+    alone, many = judged(rows + copies[:1]), judged(rows + copies)
+    assert all(abs(many[i][0] - alone[i][0]) < 0.02 for i, _, _ in rows)
+    assert not any(many[i][1] for i, _, _ in copies)
+    assert alone[-1][0] > quality_rules.MAX_CHAR_DISTANCE and not alone[-1][1]
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     assert content_sort.content_sort(none).count() == 0

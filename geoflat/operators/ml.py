@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import PRICE_BIN_LABELS, bin_cut, error_cols
+from ..session import cut_lineage
 
 # Up to so many values become columns; a wider category becomes one map column.
 ONE_HOT_LIMIT = 256
+# The seeds of the reference's 20 starts.
+KMEANS_SEEDS = tuple(range(42, 62))
 
 
 def one_hot(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
@@ -38,20 +41,28 @@ def standardize(df: DataFrame, cols: list[str], suffix: str = "_z") -> DataFrame
     }).drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
 
 
-def kmeans_geo(df: DataFrame, k: int = 25, seeds: tuple = (42,), max_iter: int = 20,
-               lat: str = "latitude", lon: str = "longitude",
-               out: str = "geo_generation_cluster") -> DataFrame:
-    """K2: k-means on standardised coordinates, best training cost over the seeds;
-    cluster ids renumbered by centroid (lat, lon) so they are stable across runs."""
-    z = standardize(df, [lat, lon])
-    feats = VectorAssembler(inputCols=[f"{lat}_z", f"{lon}_z"], outputCol="_fv").transform(z)
+def kmeans_best(feats: DataFrame, k: int, seeds: tuple, max_iter: int, **cols):
+    """(training cost, model) of the start with the lowest cost; the first of equal ones."""
     best = None
     for s in seeds:
-        m = KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="_fv", predictionCol="_raw").fit(feats)
+        m = KMeans(k=k, seed=s, maxIter=max_iter, **cols).fit(feats)
         cost = m.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, m)
-    model = best[1]
+    return best
+
+
+def kmeans_geo(df: DataFrame, k: int = 25, seeds: tuple = KMEANS_SEEDS, max_iter: int = 20,
+               lat: str = "latitude", lon: str = "longitude",
+               out: str = "geo_generation_cluster") -> DataFrame:
+    """K2: k-means on standardised coordinates, best training cost over the seeds (their points
+    are checkpointed once); cluster ids renumbered by centroid (lat, lon) so they are stable
+    across runs."""
+    z = standardize(df, [lat, lon])
+    va = VectorAssembler(inputCols=[f"{lat}_z", f"{lon}_z"], outputCol="_fv")
+    points = va.transform(cut_lineage(z.select(f"{lat}_z", f"{lon}_z"))).select("_fv")
+    _, model = kmeans_best(points, k, seeds, max_iter, featuresCol="_fv", predictionCol="_raw")
+    feats = va.transform(z)
     centers = sorted(((tuple(c), i) for i, c in enumerate(model.clusterCenters())))
     relabel = F.create_map(*[x for new, (_, old) in enumerate(centers)
                              for x in (F.lit(old), F.lit(new))])

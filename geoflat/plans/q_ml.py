@@ -46,9 +46,10 @@ def q_standardize(spark, sf_dir):
 
 @query("kmeans_geo")
 def q_kmeans_geo(spark, sf_dir):
-    """K2: 25 k-means clusters on scaled coordinates, stable ids (rows-only check)."""
+    """K2: 25 k-means clusters on scaled coordinates, best of 20 starts, stable ids (rows-only
+    check)."""
     c = cleaned_listings(spark, sf_dir).select("listing_id", "latitude", "longitude")
-    return K.kmeans_geo(c, k=25, seeds=(42,)).select("listing_id", "geo_generation_cluster")
+    return K.kmeans_geo(c, k=25).select("listing_id", "geo_generation_cluster")
 
 
 @query("ridge", sql=_RIDGE_SQL + f"SELECT listing_id, {sig_sql('price_pred', 6)} AS price_pred FROM errs")

@@ -139,3 +139,34 @@ def test_zero_streak_covers_every_page_unless_limited(spark):
     assert len(got) == 1500 and all(r["read"] for r in got)
     assert {r["zero_streak"] for r in got} == {0, 1}
     assert crawl.zero_streak_stop(log, max_pages=100).count() == 100
+
+
+def test_kmeans_geo_takes_the_best_of_all_starts(spark, monkeypatch):
+    import random
+
+    from pyspark.ml.clustering import KMeans
+    from geoflat.operators import ml as K
+    from geoflat.plans import q_ml
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, rng.gauss(i % 7, 0.2), rng.gauss(i % 5, 0.2)) for i in range(210)],
+                               "listing_id int, latitude double, longitude double").coalesce(1)
+    tried = []
+
+    class Counted(KMeans):
+        def fit(self, data):
+            m = super().fit(data)
+            tried.append(m.summary.trainingCost)
+            return m
+    monkeypatch.setattr(K, "KMeans", Counted)
+    monkeypatch.setattr(q_ml, "cleaned_listings", lambda *_: df)
+    rows = q_ml.q_kmeans_geo(spark, "").collect()
+    assert len(rows) == 210 and len(tried) == 20
+    z = {r["listing_id"]: (r["latitude_z"], r["longitude_z"])
+         for r in K.standardize(df, ["latitude", "longitude"]).collect()}
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["geo_generation_cluster"], []).append(z[r["listing_id"]])
+    assert set(groups) == set(range(25))
+    cost = sum((x - sum(p[0] for p in g) / len(g)) ** 2 + (y - sum(p[1] for p in g) / len(g)) ** 2
+               for g in groups.values() for x, y in g)
+    assert cost <= min(tried) + 1e-6

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +100,32 @@ def boosted_trees_fit(train: DataFrame, features: list[str], label: str, max_ite
     return va, GBTRegressor(**kw).fit(va.transform(train))
 
 
+def boosted_trees_best(train: DataFrame, holdout: DataFrame, features: list[str], label: str,
+                       max_iter: int = 700, **kw):
+    """K4: all ``max_iter`` trees fitted on ``train``, then cut to the iteration with the lowest mean
+    absolute error on ``holdout`` (the first of equal ones). Spark's own validation column would end
+    at the first iteration that gains too little. A tree moves a prediction by the step at most,
+    whatever the label's unit, so the label is fitted in units of its deviation. Returns
+    (assembler, model, label's unit, errors per iteration)."""
+    unit = train.agg(F.stddev_pop(label)).first()[0] or 1.0
+    scaled = {label: F.col(label) / unit}
+    va, full = boosted_trees_fit(train.withColumns(scaled), features, label, max_iter=max_iter, **kw)
+    errors = [e * unit for e in full.evaluateEachIteration(va.transform(holdout.withColumns(scaled)), "absolute")]
+    n = min(range(len(errors)), key=errors.__getitem__) + 1
+    jvm, old = train.sparkSession._jvm, full._java_obj
+    kind = jvm.org.apache.spark.ml.regression
+    trees = train.sparkSession.sparkContext._gateway.new_array(kind.DecisionTreeRegressionModel, n)
+    weights = train.sparkSession.sparkContext._gateway.new_array(jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(old.trees()[:n], list(old.treeWeights())[:n])):
+        trees[i], weights[i] = tree, weight
+    best = GBTRegressionModel(kind.GBTRegressionModel(old.uid(), trees, weights, old.numFeatures()))
+    return va, best.setFeaturesCol("_fv").setPredictionCol("prediction"), unit, errors
+
+
+def boosted_predict(va, model, unit: float, df: DataFrame) -> DataFrame:
+    return model.transform(va.transform(df)).drop("_fv").withColumn("prediction", F.col("prediction") * unit)
+
+
 def feature_importance(model, features: list[str], top: int = 15) -> list[tuple[str, float]]:
     """K5: (feature, importance) descending (name breaks ties), top n."""
     imp = model.featureImportances.toArray().tolist()

@@ -170,3 +170,29 @@ def test_kmeans_geo_takes_the_best_of_all_starts(spark, monkeypatch):
     cost = sum((x - sum(p[0] for p in g) / len(g)) ** 2 + (y - sum(p[1] for p in g) / len(g)) ** 2
                for g in groups.values() for x, y in g)
     assert cost <= min(tried) + 1e-6
+
+
+def test_boosted_trees_take_the_best_iteration_on_the_holdout(spark, monkeypatch):
+    import random
+
+    from geoflat.operators import ml as K
+    from geoflat.plans import q_ml
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, *[rng.random() for _ in q_ml.MODEL_FEATURES], rng.random() * 1e7)
+                                for i in range(60)], ["listing_id", *q_ml.MODEL_FEATURES, "price"]).coalesce(1)
+    asked, fit = [], K.boosted_trees_fit
+
+    def few(train, features, label, max_iter=700, **kw):
+        asked.append((train.count(), max_iter))
+        return fit(train, features, label, max_iter=8, depth=3, step=1.0)
+    monkeypatch.setattr(K, "boosted_trees_fit", few)
+    monkeypatch.setattr(q_ml, "model_features", lambda *_: df)
+    row = q_ml.q_boosted_trees(spark, "").first()
+    assert asked == [(row["training_rows"], 700)] and row["training_rows"] < 60
+    held = q_ml.F.pmod(q_ml.F.xxhash64("listing_id"), q_ml.F.lit(5)) == 0
+    va, m, unit, errors = K.boosted_trees_best(df.where(~held), df.where(held), q_ml.MODEL_FEATURES, "price")
+    assert len(errors) == 8 and m.getNumTrees == errors.index(min(errors)) + 1 == row["best_iteration"] < 8
+    assert len(m.featureImportances) == len(q_ml.MODEL_FEATURES)
+    p = K.predict_table(K.boosted_predict(va, m, unit, df.where(held)))
+    assert abs(K.regression_metrics(p).first()["mae"] - min(errors)) < 1e-3
+    assert abs(row["mae"] - min(errors)) < 1e-3

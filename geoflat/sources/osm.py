@@ -69,12 +69,16 @@ def polylines_from_osm(elements: DataFrame) -> DataFrame:
         p["x"].alias("lon"), p["y"].alias("lat"))).alias("coords"))
 
 
-def polylines_to_segments(lines: DataFrame, id_col: str = "way_id") -> DataFrame:
-    """(feature_id, seg_id, lon1, lat1, lon2, lat2) for consecutive vertex pairs."""
-    e = lines.select(F.col(id_col).alias("feature_id"), F.posexplode("coords").alias("i", "p"))
-    nxt = e.select("feature_id", (F.col("i") - 1).alias("i"), F.col("p").alias("q"))
-    return (e.join(nxt, ["feature_id", "i"])
-            .select("feature_id", F.col("i").alias("seg_id"),
+def polylines_to_segments(lines: DataFrame, id_col: str = "way_id",
+                          part_col: str | None = None) -> DataFrame:
+    """(feature_id, seg_id, lon1, lat1, lon2, lat2) for consecutive vertex pairs; with
+    ``part_col`` also ``part``, and vertices pair within a part only."""
+    ids = ["feature_id", "part"] if part_col else ["feature_id"]
+    named = [F.col(c).alias(n) for c, n in zip([id_col, part_col], ids)]
+    e = lines.select(*named, F.posexplode("coords").alias("i", "p"))
+    nxt = e.select(*ids, (F.col("i") - 1).alias("i"), F.col("p").alias("q"))
+    return (e.join(nxt, [*ids, "i"])
+            .select(*ids, F.col("i").alias("seg_id"),
                     F.col("p.lon").alias("lon1"), F.col("p.lat").alias("lat1"),
                     F.col("q.lon").alias("lon2"), F.col("q.lat").alias("lat2")))
 
@@ -104,7 +108,7 @@ FEATURE_SCHEMA = T.StructType([
 
 def read_ring_geojson(spark: SparkSession, path: str, seq: bool = False) -> DataFrame:
     """FeatureCollection (or a GeoJSON text sequence with ``seq=True``) of LineString /
-    MultiLineString features -> segments (feature_id, seg_id, lon1, lat1, lon2, lat2).
+    MultiLineString features -> segments (feature_id, part, seg_id, lon1, lat1, lon2, lat2).
     Raises if the file holds no features."""
     if seq:
         feats = spark.read.schema(FEATURE_SCHEMA).json(path).select(
@@ -123,8 +127,7 @@ def read_ring_geojson(spark: SparkSession, path: str, seq: bool = False) -> Data
                F.from_json("f.geometry.coordinates", multi_t))
         .otherwise(F.array(F.from_json("f.geometry.coordinates", line_t))).alias("parts"))
     parts = lines.select("feature_id", F.posexplode("parts").alias("part", "coords"))
-    pts = parts.select(F.col("feature_id") * 1000 + F.col("part"),
+    pts = parts.select("feature_id", "part",
                        F.transform("coords", lambda c: F.struct(c[0].alias("lon"),
                                                                 c[1].alias("lat"))).alias("coords"))
-    pts = pts.toDF("line_id", "coords")
-    return polylines_to_segments(pts, "line_id")
+    return polylines_to_segments(pts, "feature_id", "part")

@@ -196,3 +196,20 @@ def test_boosted_trees_take_the_best_iteration_on_the_holdout(spark, monkeypatch
     p = K.predict_table(K.boosted_predict(va, m, unit, df.where(held)))
     assert abs(K.regression_metrics(p).first()["mae"] - min(errors)) < 1e-3
     assert abs(row["mae"] - min(errors)) < 1e-3
+
+
+def test_geojson_parts_stay_one_feature(spark, tmp_path):
+    import json
+
+    from geoflat.operators.spatial import point_to_polyline
+    from geoflat.sources.osm import read_ring_geojson
+    parts = [[[37.0 + k / 1e4, 55.0], [37.0 + k / 1e4, 55.1]] for k in range(1001)]
+    feats = [{"type": "Feature", "properties": {}, "geometry": {"type": t, "coordinates": c}}
+             for t, c in [("MultiLineString", parts), ("LineString", [[38.0, 55.0], [38.0, 55.1]])]]
+    (tmp_path / "r.json").write_text(json.dumps({"type": "FeatureCollection", "features": feats}))
+    seg = read_ring_geojson(spark, str(tmp_path / "r.json"))
+    assert {r["feature_id"]: r["n"] for r in seg.groupBy("feature_id").agg(
+        F.count("*").alias("n")).collect()} == {0: 1001, 1: 1}
+    near = spark.createDataFrame([(55.05, 37.1)], "latitude double, longitude double")
+    two = seg.where("feature_id = 1 OR part IN (0, 1000)")
+    assert point_to_polyline(near, two, "km", crs="webmercator", first_feature_only=True).first()["km"] < 0.01

@@ -43,7 +43,7 @@ BLOCK_TAGS = frozenset(
     "legend li main menu nav ol option optgroup p pre search section select summary table tbody td "
     "tfoot th thead title tr ul video audio canvas".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea noscript template iframe object svg math xmp noembed".split())
+RAW_TAGS = frozenset("script style textarea noscript template iframe noembed".split())
 CLOSES_P = BLOCK_TAGS - frozenset("button option optgroup caption head body html".split())
 # A start tag of the first closes an open element of the second kind, unless the third is nearer.
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"),
@@ -125,10 +125,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 if tag not in BLOCK_TAGS and stack[k][0] in BLOCK_TAGS:
                     break
             continue
-        if tag in RAW_TAGS:
-            if not attrs.endswith("/") or tag not in ("svg", "math"):
-                close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else end
+        drawn = tag == "title" and any(t == "svg" for t, _ in stack)
+        if tag in RAW_TAGS or drawn:
+            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = close.end() if close else at if drawn else end
             continue
         if tag == "br":
             if current is not None:

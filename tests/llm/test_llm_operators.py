@@ -327,6 +327,18 @@ def test_main_text_of_known_layouts(spark):
     assert crf_extract.main_text(None, model) == "" == crf_extract.main_text("", model)
 
 
+def test_leaf_blocks_keep_objects_and_formulas():
+    def texts(page):
+        return [b.text for b in crf_extract.leaf_blocks(page)]
+    assert texts("<p>So <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> holds.</p><p>B</p>") == ["So x = 2 holds.", "B"]
+    assert texts("<p>A <object data=f>fallback</object> c</p>") == ["A fallback c"]
+    assert texts("<p>A <svg><title>t</title><style>s{}</style><text>drawn</text></svg> c</p>") == ["A drawn c"]
+    for tag in ("object", "math", "svg"):
+        assert texts(f"<div><p>A <{tag}>b</p><p>C</p></div><p>D</p>") == ["A b", "C", "D"]
+        assert texts(f"<p>A <{tag}/> b</p>") == ["A b"]
+    assert texts("<p>A<iframe>x</iframe><noscript>y</noscript><template>z</template> b</p>") == ["A b"]
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(4)
     for _ in range(20):

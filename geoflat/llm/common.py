@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROW_LIMIT, bounded_row_count
+from ..session import BROADCAST_ROW_LIMIT, bounded_row_count, ensure_checkpoint_dir
 
 # The white space of all contracts, space and the bytes 0x09 to 0x0D.
 WS = r"[\x20\x09-\x0D]"
@@ -49,6 +50,15 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "left",
     return df.join(small, on, how)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet into the shared checkpoint folder and read again: cuts the lineage
+    like a checkpoint, in a compressed form."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def uniform53(*parts: Column) -> Column:
     """Uniform double strictly inside (0, 1) from a 64-bit hash of the columns; the same
     for every run, task and partitioning."""

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bfd_pack, content_sort, crf_extract, minhash_oph, pareto_mix, pattern_pack,
-               quality_ftrl, quality_rules, sql, toxicity_cf, warc_merkle)
+from . import (bfd_pack, content_sort, crf_extract, license_scan, minhash_oph, pareto_mix,
+               pattern_pack, quality_ftrl, quality_rules, sql, toxicity_cf, turn_repair,
+               warc_merkle, whitening)
 from ..session import cut_lineage
 from .common import ship_package, table
 from .labelled import fold
@@ -140,3 +141,27 @@ def _rules(judged: DataFrame) -> DataFrame:
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"),
         F.round("word_distance", 6).alias("word_distance"))
+
+
+@query("op11_license_diagonals", sql.op11())
+def op11_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the licence phrases and notices found in them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.license_scan(docs).select(
+        "row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query("op12_turn_repair", sql.op12())
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged as their hashes say, with their faults and cheapest repair."""
+    hurt = turn_repair.damaged(table(spark, sf_dir, "conversations"))
+    _, summary = turn_repair.repair(hurt, lost=F.col("lost"))
+    return summary.withColumnRenamed("conv", "conv_id")
+
+
+@query("op13_whitened_embeddings")
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened along their first four components."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows).select(
+        "row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")

@@ -155,3 +155,134 @@ one AS (SELECT known, digest, kind, i, round(sum(CAST(round(p * 1e9) AS BIGINT))
         FROM votes GROUP BY ALL),
 ref AS (SELECT known, kind, i, sum(CAST(v AS BIGINT)) / 1e9 / count(*) AS q FROM one GROUP BY ALL),
 """ + after
+
+
+def op11() -> str:
+    """Diagonal voting over the same templates."""
+    from . import license_scan as m
+
+    rows = ", ".join(f"({t}, '{label}', {str(exact).lower()}, {n}, {at}, '{gram}')"
+                     for t, label, exact, n, at, gram in m.template_grams(m.PHRASES, m.NOTICES))
+    return rf"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS at, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{m.UPPER}', '{m.LOWER}'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t(template, label, exact, t_words, place, t_gram) AS (VALUES {rows}),
+g AS (SELECT at, i - 1 AS pos, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
+      FROM (SELECT at, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+d AS (SELECT at, template, label, exact, t_words, pos - place AS diagonal, min(pos) AS low, max(pos) AS high,
+             list(place) AS places
+      FROM g JOIN t ON gram = t_gram GROUP BY ALL),
+a AS (SELECT *, CASE WHEN exact OR lag(diagonal) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > {m.GAP}
+                THEN 1 ELSE 0 END AS apart
+      FROM d WINDOW o AS (PARTITION BY at, template ORDER BY diagonal)),
+n AS (SELECT *, sum(apart) OVER (PARTITION BY at, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM a),
+s AS (SELECT at, template, label, exact, t_words, min(low) AS first_word, max(high) + {m.K} AS end_word,
+             len(list_distinct(flatten(list_transform(flatten(list(places)), lambda p: range(p, p + {m.K}))))) AS covered
+      FROM n GROUP BY at, template, label, exact, t_words, span),
+v AS (SELECT *, covered / t_words AS share,
+             CASE WHEN exact THEN covered = t_words
+                  ELSE covered / t_words >= {m.MIN_SHARE} AND 2 * covered >= end_word - first_word END AS good FROM s),
+r AS (SELECT *, good AND NOT exact AS rival FROM v),
+c AS (SELECT *, CASE WHEN coalesce(first_word >= max(end_word) OVER o, true) THEN 1 ELSE 0 END AS open
+      FROM r WINDOW o AS (PARTITION BY at, rival ORDER BY first_word, end_word, template
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, sum(open) OVER (PARTITION BY at, rival ORDER BY first_word, end_word, template
+                                ROWS UNBOUNDED PRECEDING) AS chain FROM c),
+f AS (SELECT *, good AND (exact OR row_number() OVER (PARTITION BY at, rival, chain
+                ORDER BY share DESC, covered DESC, label, first_word, template) = 1) AS verified FROM h),
+x AS (SELECT at, count(*) FILTER (verified AND exact) AS n_base,
+             min(first_word) FILTER (verified AND exact) AS first_word,
+             max(first_word) FILTER (verified AND exact) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified AND exact) AS base_labels,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified) AS labels, max(share) AS score
+      FROM f GROUP BY at)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM w LEFT JOIN x USING (at)
+"""
+
+
+def op12() -> str:
+    """The cost DP and the least audit as one recursion from the last turn to the first: each state
+    holds its cost, padded to ten digits, and the audit, so that the least string is the answer."""
+
+    def best(*ways: str) -> str:
+        return f"least({', '.join(ways)})"
+
+    def step(letter: str, cost: str, state: str) -> str:
+        return (f"CASE WHEN {cost} IS NOT NULL THEN lpad(CAST(CAST(left({state}, 10) AS BIGINT) + {cost} AS VARCHAR), "
+                f"10, '0') || '{letter}' || substr({state}, 11) END")
+
+    cut = "(CASE WHEN f = 3 THEN 3 ELSE 0 END)"
+    live = "f NOT IN (1, 2)"
+    on = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    to = (2, 2, 3, 2)
+    rows = []
+    for s in range(4):
+        keep = [step("K", f"(CASE WHEN {live} AND i = '{i}' THEN {cut} END)", f"v{t}") for i, t in on[s].items()]
+        rows.append(best(step("D", "4", f"v{s}"), step("R", f"(CASE WHEN {live} THEN 3 + {cut} END)", f"v{to[s]}"), *keep)
+                    + f" AS r{s}")
+    u = best("r2", step("I", "3", "r3"))
+    a = best("r3", step("I", "3", "r2"))
+    first = [best("r0", step("I", "3", u)), best("r1", step("I", "3", u)), u, a]
+    closed = ", ".join(f"{x} AS v{s}" for s, x in enumerate(first))
+    return rf"""
+WITH RECURSIVE
+bits AS (SELECT unnest(range(256)) AS b),
+crc_rows AS (SELECT b, list_reduce([CAST(b AS BIGINT)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+               lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM bits),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM crc_rows),
+raw AS (SELECT row_number() OVER () AS n, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+        FROM conversations),
+fate AS (
+  SELECT raw.*, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(k) + 1), lambda j: CAST(ord(k[j]) AS BIGINT)),
+           lambda c, x: xor(c // 256, t[1 + (xor(c, x) % 256)])), 4294967295) % 20 AS fate FROM raw, crc_table),
+hurt AS (
+  SELECT n, conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fate = 0 THEN [] WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy FROM fate),
+turns AS MATERIALIZED (
+  SELECT *, row_number() OVER w AS p, left(role, 1) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, n, copy) AS again,
+         left(role, 1) AS initial, lag(left(role, 1)) OVER w AS before
+  FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, n, copy)),
+faults AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN again > 1 THEN 2
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS f FROM turns),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, n AS p, lpad('', 10, '0') AS v0, '0000000006II' AS v1, '0000000003I' AS v2, lpad('', 10, '0') AS v3
+  FROM counts
+  UNION ALL
+  SELECT conv_id, p, {closed} FROM (
+    SELECT dp.conv_id, dp.p - 1 AS p, {", ".join(rows)}
+    FROM dp JOIN faults ON faults.conv_id IS NOT DISTINCT FROM dp.conv_id AND faults.p = dp.p)),
+found AS (SELECT conv_id, CAST(left(v0, 10) AS BIGINT) AS cost, substr(v0, 11) AS audit FROM dp WHERE p = 0),
+edits AS (
+  SELECT conv_id, j, audit[j] AS e, length(replace(left(audit, j), 'I', '')) AS p
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM found)),
+kept AS (
+  SELECT edits.conv_id, j, e, role, text, row_number() OVER (PARTITION BY edits.conv_id ORDER BY j) AS q,
+         first_value(e = 'K' AND i = 's') OVER (PARTITION BY edits.conv_id ORDER BY j) AS led
+  FROM edits LEFT JOIN faults ON faults.conv_id IS NOT DISTINCT FROM edits.conv_id AND faults.p = edits.p AND e <> 'I'
+  WHERE e <> 'D'),
+said AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (q - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user'
+                                  ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END,
+                             chr(10) ORDER BY j) AS whole
+  FROM kept GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN found ON found.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

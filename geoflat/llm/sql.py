@@ -165,42 +165,42 @@ def op11() -> str:
                      for t, label, exact, n, at, gram in m.template_grams(m.PHRASES, m.NOTICES))
     return rf"""
 WITH w AS MATERIALIZED (
-  SELECT row_number() OVER () AS at, doc_id,
+  SELECT row_number() OVER () AS src, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), '{m.UPPER}', '{m.LOWER}'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 t(template, label, exact, t_words, place, t_gram) AS (VALUES {rows}),
-g AS (SELECT at, i - 1 AS pos, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
-      FROM (SELECT at, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
-d AS (SELECT at, template, label, exact, t_words, pos - place AS diagonal, min(pos) AS low, max(pos) AS high,
+g AS (SELECT src, i - 1 AS pos, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
+      FROM (SELECT src, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+d AS (SELECT src, template, label, exact, t_words, pos - place AS diagonal, min(pos) AS low, max(pos) AS high,
              list(place) AS places
       FROM g JOIN t ON gram = t_gram GROUP BY ALL),
 a AS (SELECT *, CASE WHEN exact OR lag(diagonal) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > {m.GAP}
                 THEN 1 ELSE 0 END AS apart
-      FROM d WINDOW o AS (PARTITION BY at, template ORDER BY diagonal)),
-n AS (SELECT *, sum(apart) OVER (PARTITION BY at, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM a),
-s AS (SELECT at, template, label, exact, t_words, min(low) AS first_word, max(high) + {m.K} AS end_word,
+      FROM d WINDOW o AS (PARTITION BY src, template ORDER BY diagonal)),
+n AS (SELECT *, sum(apart) OVER (PARTITION BY src, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM a),
+s AS (SELECT src, template, label, exact, t_words, min(low) AS first_word, max(high) + {m.K} AS end_word,
              len(list_distinct(flatten(list_transform(flatten(list(places)), lambda p: range(p, p + {m.K}))))) AS covered
-      FROM n GROUP BY at, template, label, exact, t_words, span),
+      FROM n GROUP BY src, template, label, exact, t_words, span),
 v AS (SELECT *, covered / t_words AS share,
              CASE WHEN exact THEN covered = t_words
                   ELSE covered / t_words >= {m.MIN_SHARE} AND 2 * covered >= end_word - first_word END AS good FROM s),
 r AS (SELECT *, good AND NOT exact AS rival FROM v),
 c AS (SELECT *, CASE WHEN coalesce(first_word >= max(end_word) OVER o, true) THEN 1 ELSE 0 END AS open
-      FROM r WINDOW o AS (PARTITION BY at, rival ORDER BY first_word, end_word, template
+      FROM r WINDOW o AS (PARTITION BY src, rival ORDER BY first_word, end_word, template
                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-h AS (SELECT *, sum(open) OVER (PARTITION BY at, rival ORDER BY first_word, end_word, template
+h AS (SELECT *, sum(open) OVER (PARTITION BY src, rival ORDER BY first_word, end_word, template
                                 ROWS UNBOUNDED PRECEDING) AS chain FROM c),
-f AS (SELECT *, good AND (exact OR row_number() OVER (PARTITION BY at, rival, chain
+f AS (SELECT *, good AND (exact OR row_number() OVER (PARTITION BY src, rival, chain
                 ORDER BY share DESC, covered DESC, label, first_word, template) = 1) AS verified FROM h),
-x AS (SELECT at, count(*) FILTER (verified AND exact) AS n_base,
+x AS (SELECT src, count(*) FILTER (verified AND exact) AS n_base,
              min(first_word) FILTER (verified AND exact) AS first_word,
              max(first_word) FILTER (verified AND exact) AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified AND exact) AS base_labels,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified) AS labels, max(share) AS score
-      FROM f GROUP BY at)
+      FROM f GROUP BY src)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
-FROM w LEFT JOIN x USING (at)
+FROM w LEFT JOIN x USING (src)
 """
 
 
@@ -250,8 +250,10 @@ turns AS MATERIALIZED (
          left(role, 1) AS initial, lag(left(role, 1)) OVER w AS before
   FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, n, copy)),
 faults AS MATERIALIZED (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN again > 1 THEN 2
-                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 3 ELSE 0 END AS f FROM turns),
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN again > 1 THEN 2
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS f FROM turns),
 counts AS (
   SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
          count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated,

@@ -8,33 +8,26 @@ Two physical forms, same answers (ties -> smallest ``ord``, i.e. first in file o
   coordinates as literals. One projection, no shuffle, no row explosion, and it stays in
   whole-stage codegen (a ``transform`` over a broadcast array is interpreted and was 9x
   slower at sf0.1).
-* **grid form** - unbounded dimensions. Dimension points are replicated into the 3x3
-  neighbour cells (the small side is exploded, never the big one), equi-joined on the
-  cell, and the minimum per listing kept only if it is closer than the distance to the
-  edge of the 3x3 block (then no point outside can be closer). Unresolved listings go to
-  the next round with doubled cells; the last round's cells span the globe, so every
-  listing resolves exactly. Points near 180 degrees are offered on both sides of it. The
-  first cell size comes from the dimension's density; AQE's skew join splits a hot cell of
-  listings.
+* **index form** - dimensions of any size (``near_index``): a broadcast box tree while the
+  count is proven small, tiles cut by range partitioning beyond. Candidates come from the
+  index; their distances are computed by the same Column formula as in the other form, so
+  both give the same rows.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import (EARTH_RADIUS_KM, haversine_km, point_segment_distance,
                              project_utm37, project_webmercator)
-from ..session import BROADCAST_ROW_LIMIT, bounded_row_count, cut_lineage
+from ..session import bounded_row_count
+from .near_index import ENDS, attach_nearest
 
 # A dimension this small is inlined into the expression (checked with a bounded count).
 UNROLL_LIMIT = 32
 # Polylines are inlined up to this many segments.
 SEGMENT_LIMIT = 512
-# A longer polyline is broadcast in arrays of about so many segments.
-SEGMENT_CHUNK = 4096
 
 
 def _small_points(dim: DataFrame, lat: str, lon: str, ord_col: str, name_col: str | None,
@@ -77,9 +70,7 @@ def nearest_one(left: DataFrame, dim: DataFrame, out: str = "_nn", lat: str = "l
     if pts is not None:
         raw = left.withColumn("_nnraw", _nearest_unrolled(F.col(lat), F.col(lon), pts))
         return raw.withColumn(out, _finish(F.col("_nnraw"))).drop("_nnraw")
-    best = grid_nearest(left.select(key, lat, lon), dim, lat, lon, dim_lat, dim_lon,
-                        dim_ord, dim_name, key)
-    return left.join(best.withColumnRenamed("_best", out), key, "left")
+    return _nearest_indexed(left, dim, out, lat, lon, dim_lat, dim_lon, dim_ord, dim_name, key)
 
 
 def nearest_per_category(left: DataFrame, dim: DataFrame, category: str,
@@ -89,11 +80,9 @@ def nearest_per_category(left: DataFrame, dim: DataFrame, category: str,
                          dim_ord: str = "poi_id", key: str = "listing_id",
                          force: str | None = None) -> DataFrame:
     """Unrounded km to the nearest point of every category, one column each; NULL if
-    the category is empty or the listing has no coordinates. Small categories are
-    inlined; all the others go through ONE grid pass keyed by (listing, category) over a
-    narrow (key, lat, lon) projection, pivoted and joined back once."""
+    the category is empty or the listing has no coordinates. Small categories are inlined, each
+    other one is an index of its own."""
     out = left
-    big = []
     for c in categories:
         d = dim.where(F.col(category) == c)
         pts = None if force == "grid" else _small_points(d, dim_lat, dim_lon, dim_ord, None)
@@ -101,133 +90,56 @@ def nearest_per_category(left: DataFrame, dim: DataFrame, category: str,
             raw = out.withColumn("_nnraw", _nearest_unrolled(F.col(lat), F.col(lon), pts))
             out = raw.withColumn(out_names[c], _finish(F.col("_nnraw"))["dist"]).drop("_nnraw")
         else:
-            big.append(c)
-    if not big:
-        return out
-    best = grid_nearest(left.select(key, lat, lon), dim.where(F.col(category).isin(*big)),
-                        lat, lon, dim_lat, dim_lon, dim_ord, None, key,
-                        group=category, groups=big)
-    wide = best.groupBy(key).agg(*[
-        F.max(F.when(F.col(category) == c, F.col("_best")["dist"])).alias(out_names[c])
-        for c in big])
-    return out.join(wide, key, "left")
-
-
-# ------------------------------------------------------------------ grid form
-def _initial_cell(pts: DataFrame, per_cell: float = 2.0) -> float:
-    """Cell edge (degrees) giving ~``per_cell`` dimension points per cell on average."""
-    b = pts.agg(F.count(F.lit(1)).alias("n"), F.min("_plat").alias("a"), F.max("_plat").alias("b"),
-                F.min("_plon").alias("c"), F.max("_plon").alias("d")).first()
-    if not b["n"]:
-        return 360.0
-    area = max((b["b"] - b["a"]) * (b["d"] - b["c"]), 1e-8)
-    return float(min(max(math.sqrt(area * per_cell / b["n"]), 1e-4), 90.0))
-
-
-def grid_nearest(left: DataFrame, dim: DataFrame, lat: str, lon: str, dim_lat: str,
-                 dim_lon: str, dim_ord: str, dim_name: str | None, key: str,
-                 cell_deg: float | None = None, max_rounds: int = 24,
-                 group: str | None = None, groups: list[str] | None = None) -> DataFrame:
-    """Exact 1-NN by iterative grid blocking; returns (key, [group,] _best struct). With
-    ``group`` every listing is answered once per value in ``groups`` (the dimension is
-    split by that column). The listing side is narrow (key, lat, lon); each round's
-    answers and the unresolved rest are checkpointed, so nothing upstream is recomputed."""
+            found = _nearest_indexed(out, d, "_nnraw", lat, lon, dim_lat, dim_lon, dim_ord, None, key)
+            out = found.withColumn(out_names[c], F.col("_nnraw")["dist"]).drop("_nnraw")
+    return out
+
+
+# ------------------------------------------------------------------ index form
+def _on_sphere(lat: Column, lon: Column) -> list[Column]:
+    """Unit vector: straight distances between these grow with great-circle distances, across
+    180 degrees and the poles too."""
+    phi, lam = F.radians(lat.cast("double")), F.radians(lon.cast("double"))
+    return [F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)]
+
+
+def _nearest_indexed(left: DataFrame, dim: DataFrame, out: str, lat: str, lon: str, dim_lat: str,
+                     dim_lon: str, dim_ord: str, dim_name: str | None, key: str) -> DataFrame:
+    """Adds ``out``, the winner struct(dist, ord, name), by ``near_index``. Points at the same place
+    are one item, the one of least ``ord``; among the equally near the least (dist, ord) wins."""
     name = F.col(dim_name).cast("string") if dim_name else F.lit(None).cast("string")
-    gcol = [F.col(group).alias("_g")] if group else []
-    pts = dim.where(F.col(dim_lat).isNotNull() & F.col(dim_lon).isNotNull()).select(
-        F.col(dim_lat).cast("double").alias("_plat"), F.col(dim_lon).cast("double").alias("_plon"),
-        F.col(dim_ord).cast("long").alias("_pord"), name.alias("_pname"), *gcol)
-    todo = left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
-        key, F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
-    if group:
-        gl = F.array(*[F.lit(g) for g in groups])
-        todo = todo.select("*", F.explode(gl).alias("_g"))
-    todo = cut_lineage(todo)
-    delta = cell_deg or _initial_cell(pts, 0.5 * (len(groups) if group else 1))
-    gk = ["_g"] if group else []
-    small_dim = bounded_row_count(pts, BROADCAST_ROW_LIMIT // 9) is not None
-    results = []
-    offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    for r in range(max_rounds):
-        last = delta >= 90.0 or r == max_rounds - 1
-        if last:
-            delta = 360.0  # one cell: every point is a candidate, result is exact
-        cy = F.floor(F.col("_plat") / delta)
-        # points near 180 degrees are also offered from the other side of it
-        turns = F.array(*[F.lit(t) for t in ((0.0,) if last else (0.0, 360.0, -360.0))])
-        seen = F.col("_plon") + F.col("_turn")
-        cx = F.floor(seen / delta)
-        rep = (pts.select("*", F.explode(turns).alias("_turn"))
-               .where((F.col("_turn") == 0) | (F.abs(seen) <= 180.0 + 2 * delta))
-               .select("*", F.explode(offsets).alias("_dy"))
-               .select("*", F.explode(offsets).alias("_dx"))
-               .select("_plat", "_plon", "_pord", "_pname", *gk,
-                       (cy + F.col("_dy")).alias("_cy"), (cx + F.col("_dx")).alias("_cx")))
-        if small_dim:  # at most 27 x a size-checked dimension: hash join without moving listings
-            rep = F.broadcast(rep)
-        q = todo.select("*", F.floor(F.col("_lat") / delta).alias("_cy"),
-                        F.floor(F.col("_lon") / delta).alias("_cx"))
-        cand = q.join(rep.drop("_pname"), [*gk, "_cy", "_cx"])
-        # fixed-width buffer (dist, ord) keeps this a hash aggregate; names join back later
-        best = cand.groupBy(key, *gk, "_lat", "_lon", "_cy", "_cx").agg(F.min(F.struct(
-            haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")).alias("dist"),
-            F.col("_pord").alias("ord"))).alias("_best"))
-        if last:
-            results.append(best.select(key, *gk, "_best"))
-            break
-        # distance from the listing to the edge of its 3x3 block: anything outside is farther
-        dphi = F.least(F.col("_lat") - (F.col("_cy") - 1) * delta,
-                       (F.col("_cy") + 2) * delta - F.col("_lat"))
-        dlam = F.least(F.col("_lon") - (F.col("_cx") - 1) * delta,
-                       (F.col("_cx") + 2) * delta - F.col("_lon"))
-        r_lat = F.radians(dphi) * EARTH_RADIUS_KM
-        r_lon = F.asin(F.least(F.lit(1.0), F.cos(F.radians(F.col("_lat")))
-                               * F.sin(F.radians(F.least(dlam, F.lit(90.0)))))) * EARTH_RADIUS_KM
-        best = cut_lineage(best.withColumn("_ok", F.col("_best")["dist"] < F.least(r_lat, r_lon)))
-        results.append(best.where("_ok").select(key, *gk, "_best"))
-        todo = todo.join(best.where("_ok").select(key, *gk), [key, *gk], "left_anti")
-        if todo.limit(1).count() == 0:
-            break
-        todo = cut_lineage(todo)
-        delta *= 2
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    if dim_name is None:
-        return out.select(key, *[F.col(g).alias(group) for g in gk], F.struct(F.col("_best")["dist"].alias("dist"),
-                                        F.col("_best")["ord"].alias("ord"),
-                                        F.lit(None).cast("string").alias("name")).alias("_best"))
-    names = pts.select(F.col("_pord").alias("_o"), F.col("_pname").alias("_nm")).dropDuplicates(["_o"])
-    if small_dim:
-        names = F.broadcast(names)
-    out = out.join(names, F.col("_best")["ord"] == F.col("_o"), "left")
-    return out.select(key, F.struct(F.col("_best")["dist"].alias("dist"),
-                                    F.col("_best")["ord"].alias("ord"),
-                                    F.col("_nm").alias("name")).alias("_best"))
+    points = dim.where(F.col(dim_lat).isNotNull() & F.col(dim_lon).isNotNull()).groupBy(
+        F.col(dim_lat).cast("double").alias("_plat"), F.col(dim_lon).cast("double").alias("_plon")).agg(
+        F.min(F.struct(F.col(dim_ord).cast("long").alias("ord"), name.alias("name"))).alias("_first"))
+    at = _on_sphere(F.col("_plat"), F.col("_plon"))
+    items = points.select(
+        *[c.alias(n) for c, n in zip([*at, *at], ENDS, strict=True)],
+        F.struct(F.col("_plat").alias("lat"), F.col("_plon").alias("lon"), "_first.ord", "_first.name").alias("item"))
+    near = attach_nearest(left, _on_sphere(F.col(lat), F.col(lon)), items, "_near", key)
+    exact = F.transform("_near", lambda p: F.struct(
+        haversine_km(F.col(lat), F.col(lon), p["lat"], p["lon"]).alias("dist"),
+        p["ord"].alias("ord"), p["name"].alias("name")))
+    return near.withColumn(out, F.array_min(exact)).drop("_near")
 
 
 # ------------------------------------------------------------ polyline distance
-def _distance_in_chunks(points: DataFrame, flat: DataFrame) -> DataFrame:
-    """Adds ``_rawd``, the least distance to any segment, chunk by chunk: each chunk of the
-    polyline is one row with one array, broadcast by its proven size."""
-    chunks = -(-flat.count() // SEGMENT_CHUNK)
-    dealt = cut_lineage(flat.withColumn("_c", F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), F.lit(chunks))))
-    out = points.withColumn("_rawd", F.lit(None).cast("double"))
-    for c in range(chunks):
-        row = dealt.where(F.col("_c") == c).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_segs"))
-        near = F.array_min(F.transform("_segs", lambda s: point_segment_distance(
-            F.col("_px"), F.col("_py"), s["x1"], s["y1"], s["x2"], s["y2"])))
-        out = out.crossJoin(F.broadcast(row)).withColumn("_rawd", F.least("_rawd", near)).drop("_segs")
-    return out
+def _distance_indexed(left: DataFrame, flat: DataFrame, key: str) -> DataFrame:
+    """Adds ``_rawd``, the least distance to any segment, by ``near_index``."""
+    zero = F.lit(0.0)
+    items = flat.distinct().select(
+        F.col("x1"), F.col("y1"), zero.alias("z1"), F.col("x2"), F.col("y2"), zero.alias("z2"),
+        F.struct("x1", "y1", "x2", "y2").alias("item"))
+    near = attach_nearest(left, [F.col("_px"), F.col("_py"), zero], items, "_near", key, ties=False)
+    return near.withColumn("_rawd", F.array_min(F.transform("_near", lambda s: point_segment_distance(
+        F.col("_px"), F.col("_py"), s["x1"], s["y1"], s["x2"], s["y2"])))).drop("_near")
 
 
 def point_to_polyline(left: DataFrame, segments: DataFrame, out: str, crs: str = "utm37",
                       lat: str = "latitude", lon: str = "longitude",
-                      first_feature_only: bool = False) -> DataFrame:
+                      first_feature_only: bool = False, key: str = "listing_id") -> DataFrame:
     """E4 (UTM 37N) / E5 (Web Mercator, the feature with the smallest id only): unrounded km
     from the point to the nearest segment. A short polyline's vertices are projected once and
-    inlined as literals; a longer one travels as broadcast arrays of at most ``SEGMENT_CHUNK``
-    segments, so any length works. NULL coordinates give NULL; no segments is an error."""
+    inlined as literals; a longer one is indexed, so any length works. NULL coordinates give NULL; no segments is an error."""
     seg = segments
     if first_feature_only:
         first = segments.agg(F.min("feature_id")).first()[0]
@@ -242,7 +154,7 @@ def point_to_polyline(left: DataFrame, segments: DataFrame, out: str, crs: str =
     px, py = proj(F.col(lat), F.col(lon))
     tmp = left.withColumns({"_px": px, "_py": py})
     if count is None:
-        tmp = _distance_in_chunks(tmp, flat)
+        tmp = _distance_indexed(tmp, flat, key)
     else:
         terms = [point_segment_distance(F.col("_px"), F.col("_py"), F.lit(s["x1"]), F.lit(s["y1"]),
                                         F.lit(s["x2"]), F.lit(s["y2"])) for s in flat.collect()]

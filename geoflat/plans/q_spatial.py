@@ -270,6 +270,74 @@ def q_point_to_polyline_v0(spark, sf_dir):
     return out.select("listing_id", rint_dp(F.col("_d"), 2).alias("distance_to_mkad_km"))
 
 
+# Points and polylines that are hard for an index, derived from customer and part: one point far
+# from all others, several points at one place, a category without points, and two lines of
+# thousands of segments with a node at every customer or part.
+_CUSTOMER_LAT = "case when c_custkey = 7 then -60e0 else 55.55e0+((c_custkey*7919) % 997)/25e2 end"
+_CUSTOMER_LON = "case when c_custkey = 7 then 179.9e0 else 37.35e0+((c_custkey*7919) % 997)/2e3 end"
+_CATEGORIES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NONE"]
+_HARD_SQL = oracle_with("listings") + f"""
+, c AS (SELECT c_mktsegment AS kind, c_custkey AS ord, {_CUSTOMER_LAT} AS lat, {_CUSTOMER_LON} AS lon FROM customer),
+s AS (SELECT kind, lat, lon, min(ord) AS ord FROM c GROUP BY ALL),
+d AS (SELECT l.listing_id, s.kind, s.ord, {HAV_LS} AS km FROM listings l, s)"""
+
+
+def _hard_points(spark, sf_dir):
+    return read_table(spark, sf_dir, "customer").selectExpr(
+        "c_mktsegment as kind", "c_custkey as ord", "cast(c_custkey as string) as name",
+        f"{_CUSTOMER_LAT} as lat", f"{_CUSTOMER_LON} as lon")
+
+
+@query("nearest_hard_points", sql=_HARD_SQL + """
+SELECT listing_id, arg_min(ord, (round(km, 9), ord)) AS nearest, round(min(km), 6) AS km FROM d GROUP BY listing_id""")
+def q_nearest_hard_points(spark, sf_dir):
+    """E1 / E3 over all customers as points: one far away, several at one place."""
+    l = X.listings(spark, sf_dir).select("listing_id", "latitude", "longitude")
+    nn = nearest_one(l, _hard_points(spark, sf_dir), out="_n")
+    return nn.select("listing_id", F.col("_n")["ord"].alias("nearest"), rnd(F.col("_n")["dist"]).alias("km"))
+
+
+@query("nearest_hard_categories", sql=_HARD_SQL + " SELECT listing_id, " + ", ".join(
+    f"round(min(km) FILTER (WHERE kind = '{c}'), 6) AS km_{c.lower()}" for c in _CATEGORIES) + " FROM d GROUP BY listing_id")
+def q_nearest_hard_categories(spark, sf_dir):
+    """E2 over the market segments of customers, and a category that has no points."""
+    l = X.listings(spark, sf_dir).select("listing_id", "latitude", "longitude")
+    out = nearest_per_category(l, _hard_points(spark, sf_dir), "kind", _CATEGORIES,
+                               {c: f"km_{c.lower()}" for c in _CATEGORIES}, dim_lat="lat", dim_lon="lon", dim_ord="ord")
+    return out.select("listing_id", *[rnd(f"km_{c.lower()}").alias(f"km_{c.lower()}") for c in _CATEGORIES])
+
+
+def _node(key: str) -> tuple[str, str]:
+    """A line that winds around the centre once in 1,500 nodes, ever farther out."""
+    turn = f"2e0*pi()*{key}/15e2"
+    far = f"(0.05e0+{key}/4e4)"
+    return f"round(55.75e0+{far}*cos({turn}),6)", f"round(37.62e0+2e0*{far}*sin({turn}),6)"
+
+
+_LINES = [("customer", "c_custkey", 0), ("part", "p_partkey", 1)]
+_LONG_SQL = oracle_with("listings") + ", nodes AS (" + " UNION ALL ".join(
+    f"SELECT {f} AS f, {k} AS k, {_node(k)[0]} AS lat, {_node(k)[1]} AS lon FROM {t}" for t, k, f in _LINES) + f"""),
+r AS (SELECT a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM nodes a JOIN nodes b ON a.f = b.f AND b.k = a.k + 1),
+lp AS (SELECT listing_id, {_UX} AS px, {_UY} AS py FROM listings),
+rs AS (SELECT {utm37_sql("lat1", "lon1")[0]} AS x1, {utm37_sql("lat1", "lon1")[1]} AS y1,
+              {utm37_sql("lat2", "lon2")[0]} AS x2, {utm37_sql("lat2", "lon2")[1]} AS y2 FROM r)
+SELECT listing_id, round(min({seg_dist_sql('px', 'py', 'x1', 'y1', 'x2', 'y2')}) / 1000, 6) AS km FROM lp, rs GROUP BY listing_id"""
+
+
+@query("point_to_long_polyline", sql=_LONG_SQL)
+def q_point_to_long_polyline(spark, sf_dir):
+    """E4 over two winding lines with a node at every customer and part."""
+    parts = []
+    for t, k, f in _LINES:
+        lat, lon = _node(k)
+        n = read_table(spark, sf_dir, t).selectExpr(f"{k} as k", f"{lat} as lat", f"{lon} as lon")
+        b = n.select((F.col("k") - 1).alias("k"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+        parts.append(n.withColumnsRenamed({"lat": "lat1", "lon": "lon1"}).join(b, "k").withColumn("feature_id", F.lit(f)))
+    l = X.listings(spark, sf_dir).select("listing_id", "latitude", "longitude")
+    out = point_to_polyline(l, parts[0].unionByName(parts[1]), "_d", crs="utm37")
+    return out.select("listing_id", rnd("_d").alias("km"))
+
+
 # ------------------------------------------------------------------ enrichment stage
 def _enriched_sql_ctes() -> str:
     px, py = utm37_sql("l.latitude", "l.longitude")

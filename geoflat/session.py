@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +73,18 @@ def bounded_row_count(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> int |
     """Row count if it is at most ``limit``, else None. Reads at most limit+1 rows."""
     n = df.limit(limit + 1).count()
     return n if n <= limit else None
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per Spark context, as ``--py-files``
+    would, so that functions run inside tasks can be imported there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_geoflat_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="geoflat-py-"), "geoflat_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    sc.addPyFile(archive)
+    sc._geoflat_shipped = True

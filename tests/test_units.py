@@ -99,14 +99,13 @@ def test_row_index_null_keys_and_ties(spark):
     assert got == [("", 0, 2), ("", 1, 2), ("a", 0, 3), ("a", 1, 3), ("a", 2, 3)]
 
 
-def test_long_polyline_equals_inlined(spark, monkeypatch):
+def test_long_polyline_equals_inlined(spark):
     pts = [(37.0 + 0.3 * math.cos(k / 100), 55.7 + 0.2 * math.sin(k / 100)) for k in range(701)]
     seg = spark.createDataFrame([(7, k, *pts[k], *pts[k + 1]) for k in range(700)],
                                 "feature_id int, seg_id int, lon1 double, lat1 double, lon2 double, lat2 double")
     left = spark.createDataFrame([(1, 55.75, 37.6), (2, None, 37.0), (3, 55.1, 36.2)],
                                  "id int, latitude double, longitude double")
-    monkeypatch.setattr(SP, "SEGMENT_CHUNK", 300)
-    long_ = {r["id"]: r["d"] for r in SP.point_to_polyline(left, seg, "d", first_feature_only=True).collect()}
+    long_ = {r["id"]: r["d"] for r in SP.point_to_polyline(left, seg, "d", first_feature_only=True, key="id").collect()}
     near = {}
     for low in range(0, 700, 350):
         part = seg.where((F.col("seg_id") >= low) & (F.col("seg_id") < low + 350))
@@ -213,3 +212,75 @@ def test_geojson_parts_stay_one_feature(spark, tmp_path):
     near = spark.createDataFrame([(55.05, 37.1)], "latitude double, longitude double")
     two = seg.where("feature_id = 1 OR part IN (0, 1000)")
     assert point_to_polyline(near, two, "km", crs="webmercator", first_feature_only=True).first()["km"] < 0.01
+
+
+def _brute_points(rows, dims):
+    """Nearest (ord) per row by the haversine formula, ties to the least ord."""
+    import math
+    out = {}
+    for key, lat, lon in rows:
+        best = None
+        for dlat, dlon, ord_ in dims:
+            p1, p2 = math.radians(lat), math.radians(dlat)
+            a = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(dlon - lon) / 2) ** 2
+            d = 2 * 6371 * math.atan2(math.sqrt(a), math.sqrt(max(0.0, 1 - a)))
+            if best is None or (round(d, 7), ord_) < best:
+                best = (round(d, 7), ord_)
+        out[key] = best
+    return out
+
+
+def test_near_index_points_equal_brute_force_in_one_tree_and_in_tiles(spark, monkeypatch):
+    import random
+
+    from geoflat.operators import near_index
+    rng = random.Random(8)
+    dims = [(rng.gauss(50, 2), rng.gauss(179.5, 1), k) for k in range(300)]
+    dims = [(a, b if b <= 180 else b - 360, k) for a, b, k in dims]
+    dims += [(-89.9, 0.0, 300), (10.0, 10.0, 302), (10.0, 10.0, 301), (10.0, 12.0, 303)]  # far, twins, a tie
+    rows = [(k, rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(200)]
+    rows += [(200 + k, *dims[k][:2]) for k in range(40)] + [(900, 10.0, 11.0), (901, 10.0, 10.0)]
+    left = spark.createDataFrame(rows + [(999, None, 3.0)], "listing_id bigint, latitude double, longitude double")
+    dim = spark.createDataFrame(dims, "lat double, lon double, ord bigint").withColumn("name", F.col("ord").cast("string"))
+    want = _brute_points(rows, dims)
+    plain = near_index.attach_nearest
+    for size in (near_index.TILE_ITEMS, 37):
+        monkeypatch.setattr(SP, "attach_nearest", lambda *a, **k: plain(*a, **{**k, "tile_items": size}))
+        monkeypatch.setattr(near_index, "PART_ROWS", 50)
+        got = {r["listing_id"]: r["nn"] for r in SP.nearest_one(left, dim, out="nn", force="grid").collect()}
+        assert got.pop(999) is None and len(got) == len(want)
+        for key, (d, ord_) in want.items():
+            assert abs(got[key]["dist"] - d) < 1e-6, (size, key)
+            if key >= 200:
+                assert (got[key]["ord"], got[key]["name"]) == (ord_, str(ord_)), (size, key)
+
+
+def test_near_index_segments_equal_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from geoflat.operators import near_index
+    rng = np.random.default_rng(4)
+    walk = np.cumsum(rng.normal(size=(900, 2)) * [0.01, 0.02], axis=0) + [55.75, 37.6]
+    seg = [(float(a[0]), float(a[1]), float(b[0]), float(b[1]), 0) for a, b in zip(walk, walk[1:], strict=False)]
+    seg += [(55.0, 37.0, 55.0, 37.0, 0), (50.0, 30.0, 60.0, 45.0, 0)]  # a point, a very long one
+    segments = spark.createDataFrame(seg, "lat1 double, lon1 double, lat2 double, lon2 double, feature_id int")
+    left = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(
+        rng.uniform([50, 30], [60, 45], size=(150, 2)))] + [(500, None, 1.0)], "listing_id bigint, latitude double, longitude double")
+    plain = near_index.attach_nearest
+    found = []
+    monkeypatch.setattr(SP, "SEGMENT_LIMIT", 1)
+    for size in (10 ** 6, 100):
+        monkeypatch.setattr(SP, "attach_nearest", lambda *a, **k: plain(*a, **{**k, "tile_items": size}))
+        found.append({r[0]: r[1] for r in SP.point_to_polyline(left, segments, "d").select("listing_id", "d").collect()})
+    from geoflat.functions.geo import project_utm37
+    def flat(df, la, lo):
+        return np.array([list(r) for r in df.select(*[c for a, b in zip(la, lo, strict=True) for c in project_utm37(a, b)]).collect()])
+    p = flat(left.where("latitude is not null").orderBy("listing_id"), ["latitude"], ["longitude"])
+    s = flat(segments, ["lat1", "lat2"], ["lon1", "lon2"])
+    ab = s[:, 2:] - s[:, :2]
+    size = (ab ** 2).sum(1)
+    t = ((p[:, None] - s[None, :, :2]) * ab).sum(-1) / np.where(size > 0, size, 1)
+    want = np.sqrt(((p[:, None] - s[None, :, :2] - np.clip(t, 0, 1)[..., None] * ab) ** 2).sum(-1)).min(1) / 1000
+    for got in found:
+        assert got.pop(500) is None
+        assert np.allclose([got[k] for k in range(150)], want, rtol=1e-9)

@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from fractions import Fraction
+
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import PRICE_BIN_LABELS, bin_cut, error_cols
+from ..functions.numeric import (PRICE_BIN_LABELS, bin_cut, error_cols, inf_to_null, missing_flag,
+                                 ratio)
+from ..functions.text import walls_ru
 from ..session import cut_lineage
+from .ranks import exact_median
 
-# Up to so many values become columns; a wider category becomes one map column.
-ONE_HOT_LIMIT = 256
 # The seeds of the reference's 20 starts.
 KMEANS_SEEDS = tuple(range(42, 62))
 
 
 def one_hot(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
-    """One 0/1 column per observed value (sorted), NULL -> all 0, source dropped; with more
-    than ``ONE_HOT_LIMIT`` values one map ``<prefix>_onehot`` of value -> 1 (NULL -> NULL).
-    The values come from a distinct aggregate with a size check - never from the rows."""
-    vals = df.select(col).where(F.col(col).isNotNull()).distinct().limit(ONE_HOT_LIMIT + 1)
-    values = sorted(r[0] for r in vals.collect())
+    """One 0/1 column per observed value (sorted), NULL -> all 0, source dropped. The values
+    come from a distinct aggregate, never from the rows; there is a column for each of them."""
+    values = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
     p = prefix or col
-    if len(values) > ONE_HOT_LIMIT:
-        one = F.map_from_arrays(F.array(F.col(col).cast("string")), F.array(F.lit(1)))
-        return df.withColumn(f"{p}_onehot", F.when(F.col(col).isNotNull(), one)).drop(col)
     return df.withColumns({f"{p}_{v}": F.coalesce((F.col(col) == v).cast("int"), F.lit(0))
                            for v in values}).drop(col)
 
@@ -70,66 +69,100 @@ def kmeans_geo(df: DataFrame, k: int = 25, seeds: tuple = KMEANS_SEEDS, max_iter
             .drop("_fv", "_raw", f"{lat}_z", f"{lon}_z"))
 
 
-def ridge_fit(train: DataFrame, features: list[str], label: str, alpha: float = 1.0):
-    """K3: L2 regression with intercept equal to scikit-learn's Ridge(alpha): Spark's
-    normal-equation solver with regParam = alpha * std_pop(label) / n (Spark scales the
-    label internally; without the factor the penalty differs)."""
-    st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
-    reg = alpha * st["s"] / st["n"] if st["n"] and st["s"] else 0.0
-    va = VectorAssembler(inputCols=features, outputCol="_fv")
-    lr = LinearRegression(featuresCol="_fv", labelCol=label, predictionCol="prediction",
-                          regParam=reg, elasticNetParam=0.0, standardization=False,
-                          solver="normal", fitIntercept=True)
-    return va, lr.fit(va.transform(train))
-
-
-def ridge_predict(va, model, df: DataFrame) -> DataFrame:
-    return model.transform(va.transform(df)).drop("_fv")
-
-
-def boosted_trees_fit(train: DataFrame, features: list[str], label: str, max_iter: int = 700,
-                      depth: int = 6, step: float = 0.05, seed: int = 42,
-                      validation_col: str | None = None):
-    """K4: gradient-boosted trees with absolute loss (Spark's GBT, same role as the
-    reference's boosted trees; different trees)."""
-    va = VectorAssembler(inputCols=features, outputCol="_fv", handleInvalid="keep")
-    kw = dict(featuresCol="_fv", labelCol=label, predictionCol="prediction", lossType="absolute",
-              maxIter=max_iter, maxDepth=depth, stepSize=step, seed=seed)
-    if validation_col:
-        kw["validationIndicatorCol"] = validation_col
-    return va, GBTRegressor(**kw).fit(va.transform(train))
-
-
-def boosted_trees_best(train: DataFrame, holdout: DataFrame, features: list[str], label: str,
-                       max_iter: int = 700, **kw):
-    """K4: all ``max_iter`` trees fitted on ``train``, then cut to the iteration with the lowest mean
-    absolute error on ``holdout`` (the first of equal ones). Spark's own validation column would end
-    at the first iteration that gains too little. A tree moves a prediction by the step at most,
-    whatever the label's unit, so the label is fitted in units of its deviation. Returns
-    (assembler, model, label's unit, errors per iteration)."""
-    unit = train.agg(F.stddev_pop(label)).first()[0] or 1.0
-    scaled = {label: F.col(label) / unit}
-    va, full = boosted_trees_fit(train.withColumns(scaled), features, label, max_iter=max_iter, **kw)
-    errors = [e * unit for e in full.evaluateEachIteration(va.transform(holdout.withColumns(scaled)), "absolute")]
-    n = min(range(len(errors)), key=errors.__getitem__) + 1
-    jvm, old = train.sparkSession._jvm, full._java_obj
-    kind = jvm.org.apache.spark.ml.regression
-    trees = train.sparkSession.sparkContext._gateway.new_array(kind.DecisionTreeRegressionModel, n)
-    weights = train.sparkSession.sparkContext._gateway.new_array(jvm.double, n)
-    for i, (tree, weight) in enumerate(zip(old.trees()[:n], list(old.treeWeights())[:n])):
-        trees[i], weights[i] = tree, weight
-    best = GBTRegressionModel(kind.GBTRegressionModel(old.uid(), trees, weights, old.numFeatures()))
-    return va, best.setFeaturesCol("_fv").setPredictionCol("prediction"), unit, errors
-
-
-def boosted_predict(va, model, unit: float, df: DataFrame) -> DataFrame:
-    return model.transform(va.transform(df)).drop("_fv").withColumn("prediction", F.col("prediction") * unit)
-
-
-def feature_importance(model, features: list[str], top: int = 15) -> list[tuple[str, float]]:
-    """K5: (feature, importance) descending (name breaks ties), top n."""
-    imp = model.featureImportances.toArray().tolist()
-    return sorted(zip(features, imp), key=lambda t: (-t[1], t[0]))[:top]
+@dataclass
+class LinearModel:
+    """An intercept and one weight per feature."""
+
+    features: list[str]
+    intercept: float
+    weights: list[float]
+
+    def column(self) -> Column:
+        out = F.lit(self.intercept)
+        for c, w in zip(self.features, self.weights, strict=True):
+            out = out + F.lit(w) * F.col(f"`{c}`")
+        return out
+
+
+# Products are summed as whole numbers of 1 / GRAM_SCALE, so sums do not depend on the row order.
+GRAM_SCALE = 1_000_000
+
+
+def gram_sums(df: DataFrame, features: list[str], label: str) -> dict[tuple[int, int], Fraction]:
+    """Sums of the products of each two of (1, features..., label), in one aggregate: at most
+    (features + 2) squared numbers reach the driver, whatever the rows."""
+    cols = [F.lit(1.0), *[F.col(f"`{c}`").cast("double") for c in [*features, label]]]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    found = df.agg(*[F.sum(F.rint(cols[i] * cols[j] * float(GRAM_SCALE)).cast("decimal(28,0)")).alias(f"s{i}_{j}")
+                     for i, j in pairs]).first()
+    return {(i, j): Fraction(int(found[f"s{i}_{j}"] or 0), GRAM_SCALE) for i, j in pairs}
+
+
+def cholesky_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x of the symmetric positive definite system a x = b."""
+    low = np.linalg.cholesky(a)
+    n = len(b)
+    z, x = np.zeros(n), np.zeros(n)
+    for i in range(n):
+        z[i] = (b[i] - low[i, :i] @ z[:i]) / low[i, i]
+    for i in reversed(range(n)):
+        x[i] = (z[i] - low[i + 1:, i] @ x[i + 1:]) / low[i, i]
+    return x
+
+
+def ridge_fit(train: DataFrame, features: list[str], label: str, alpha: float = 1.0) -> LinearModel:
+    """K3: least squares with the penalty ``alpha`` on the squared weights, the intercept free: the
+    normal equations of the centred columns, from one aggregate. Sums are exact until they are
+    centred, so large means cost no digits. No rows give zero weights."""
+    s = gram_sums(train, features, label)
+    n, p = s[0, 0], len(features)
+    if not n:
+        return LinearModel(features, 0.0, [0.0] * p)
+
+    def centred(i, j):
+        return float(s[min(i, j), max(i, j)] - s[0, i] * s[0, j] / n)
+
+    a = np.array([[centred(i, j) for j in range(1, p + 1)] for i in range(1, p + 1)]).reshape(p, p)
+    b = np.array([centred(i, p + 1) for i in range(1, p + 1)])
+    w = cholesky_solve(a + alpha * np.eye(p), b)
+    intercept = float(s[0, p + 1] / n) - sum(float(s[0, i + 1] / n) * w[i] for i in range(p))
+    return LinearModel(features, float(intercept), [float(v) for v in w])
+
+
+def ridge_predict(model: LinearModel, df: DataFrame) -> DataFrame:
+    return df.withColumn("prediction", model.column())
+
+
+def model_table(df: DataFrame, walls: str = "walls", leak: bool = False) -> DataFrame:
+    """K7: the model's rows and features. Missing walking minutes are flagged and, like the kitchen
+    area, filled with the median; rows without one of the main numbers, with an infinite one or
+    without a wall class go; then plausible ranges, the floor's share and one column per wall class.
+    The price per square metre would leak the label, so it is added only on request."""
+    df = df.withColumns({"metro_missing": missing_flag("metro_walk_min"), "walls_clean": walls_ru(walls)})
+    df = median_fill(df, ["metro_walk_min", "kitchen_area"])
+    df = df.withColumns({c: inf_to_null(c) for c in MODEL_NUMBERS})
+    df = df.na.drop(subset=[*MODEL_NUMBERS, "walls_clean"])
+    for c, (low, high) in MODEL_RANGES.items():
+        df = df.where(F.col(c).between(low, high))
+    df = df.where(F.col("floor") <= F.col("floors_total")).withColumn("floor_ratio", ratio("floor", "floors_total"))
+    if leak:
+        df = df.withColumn("price_per_m2", ratio("price", "area_total"))
+    return one_hot(df, "walls_clean")
+
+
+def median_fill(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Nulls become the column's exact median over the whole table (one row, broadcast)."""
+    medians = [exact_median(df.select(F.col(c).cast("double").alias(c)), [], c, f"_m_{c}") for c in cols]
+    for m in medians:
+        df = df.crossJoin(F.broadcast(m))
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in cols}).drop(
+        *[f"_m_{c}" for c in cols])
+
+
+# Numbers and ranges of the model table.
+MODEL_NUMBERS = ["price", "area_total", "rooms", "floor", "floors_total", "kitchen_area", "metro_walk_min"]
+MODEL_RANGES = {"price": (2_000_000, 200_000_000), "area_total": (15, 250), "kitchen_area": (3, 60),
+                "floor": (1, 100), "floors_total": (1, 100), "metro_walk_min": (1, 90)}
 
 
 def predict_table(pred: DataFrame, label: str = "price", area: str = "area_total") -> DataFrame:

@@ -39,7 +39,6 @@ def register() -> None:
     _alias("way_nodes_join", "polylines_from_osm", "E7: ordered node lookup per way, inner.")
     _alias("whitelist_semi", "clean_metro_whitelist", "E8: candidate n-gram in the station set.")
     _alias("links_minus_done", "unprocessed_links", "I3: links minus processed links.")
-    _alias("feature_importance", "boosted_trees", "K5: (feature, importance) desc, top 15.")
     _project("house_age", "ratios", ["listing_id", "house_age"], "C19: as-of year minus build year.")
     _project("walk_minutes", "center_distance", ["listing_id", "walk_min"],
              "C30: round-half-even of 12 x unrounded km.")

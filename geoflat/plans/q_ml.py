@@ -4,33 +4,87 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rand import hash_u64_sql
+from ..operators import boosting as B
 from ..operators import ml as K
+from ..operators import synth as J
 from ..session import cut_lineage
 from ..sources import fixtures as X
 from ..sources.fixtures import oracle_with
 from .catalog import query, rnd, sig, sig_sql
 from .q_clean import cleaned_listings
-from .q_synth import _PREP, split
-
-# Ridge on one feature (area) has a closed form, so its oracle is plain SQL:
-# w = sum((x - mx)(y - my)) / (sum((x - mx)^2) + alpha), b = my - w mx  (alpha = 1).
-_RIDGE_SQL = _PREP + """
-, tr AS (SELECT * FROM splitted WHERE split = 'train'), te AS (SELECT * FROM splitted WHERE split = 'test'),
-fit AS (SELECT covar_pop(area_total, price) * count(*) / (var_pop(area_total) * count(*) + 1.0) AS w,
-               avg(price) AS my, avg(area_total) AS mx FROM tr),
-pred AS (SELECT te.listing_id, te.price AS price_real, te.area_total,
-                fit.my + fit.w * (te.area_total - fit.mx) AS price_pred FROM te, fit),
+
+# Features of the model table, and the wall classes that the fixture has.
+NUMERIC_FEATURES = ["area_total", "rooms", "floor", "floors_total", "kitchen_area", "metro_walk_min",
+                    "metro_missing", "floor_ratio"]
+WALLS = ["деревянный", "кирпич", "монолит", "панель"]
+MODEL_FEATURES = NUMERIC_FEATURES + [f"walls_clean_{w}" for w in WALLS]
+
+# The model table from the regression notebook's rules, and the same split as everywhere.
+_TABLE_SQL = oracle_with("model_listings") + """
+, med AS (SELECT quantile_cont(CAST(metro_walk_min AS DOUBLE), 0.5) AS m, quantile_cont(kitchen_area, 0.5) AS k
+          FROM model_listings),
+filled AS (SELECT listing_id, price, area_total, CAST(rooms AS DOUBLE) AS rooms, CAST(floor AS DOUBLE) AS floor,
+                  CAST(floors_total AS DOUBLE) AS floors_total, coalesce(kitchen_area, k) AS kitchen_area,
+                  coalesce(CAST(metro_walk_min AS DOUBLE), m) AS metro_walk_min,
+                  CAST(metro_walk_min IS NULL AS INTEGER) AS metro_missing,
+                  CASE walls WHEN 'Монолитный' THEN 'монолит' WHEN 'Кирпично-монолитный' THEN 'монолит'
+                             WHEN 'Кирпичный' THEN 'кирпич' WHEN 'Панельный' THEN 'панель' ELSE lower(walls) END AS w
+           FROM model_listings, med),
+model AS (SELECT *, floor / floors_total AS floor_ratio, """ + ", ".join(
+    f"CAST(w = '{w}' AS INTEGER) AS walls_clean_{w}" for w in WALLS) + """ FROM filled
+  WHERE price IS NOT NULL AND area_total IS NOT NULL AND rooms IS NOT NULL AND floor IS NOT NULL
+    AND floors_total IS NOT NULL AND w IS NOT NULL
+    AND price >= 2000000 AND price <= 200000000 AND area_total >= 15 AND area_total <= 250
+    AND kitchen_area >= 3 AND kitchen_area <= 60 AND floor >= 1 AND floor <= 100
+    AND floors_total >= 1 AND floors_total <= 100 AND floor <= floors_total
+    AND metro_walk_min >= 1 AND metro_walk_min <= 90)"""
+
+_P = len(MODEL_FEATURES)
+_VALUES = ["1.0", *MODEL_FEATURES, "price"]
+# Normal equations of the centred columns, solved by Gauss-Jordan steps, one row of the recursion each.
+_RIDGE_SQL = _TABLE_SQL + f"""
+, ranked AS (SELECT *, row_number() OVER (ORDER BY {hash_u64_sql("listing_id", "'split'", "'42'")}, listing_id) AS _rk,
+                    count(*) OVER () AS _cnt FROM model),
+tr AS (SELECT [{", ".join(f"CAST({c} AS DOUBLE)" for c in _VALUES)}] AS v FROM ranked WHERE _rk > ceil(0.2 * _cnt)),
+te AS (SELECT * FROM ranked WHERE _rk <= ceil(0.2 * _cnt)),
+cell AS (SELECT i, j, sum(CAST(round_even(v[i] * v[j] * 1e6, 0) AS HUGEINT)) / 1e6 AS s
+         FROM tr, range(1, {_P + 3}) a(i), range(1, {_P + 3}) b(j) GROUP BY i, j),
+gram AS (SELECT c.i - 1 AS i, list(c.s - a.s * b.s / n.s + CASE WHEN c.i = c.j THEN 1.0 ELSE 0.0 END ORDER BY c.j) AS line
+         FROM cell c JOIN cell a ON a.i = 1 AND a.j = c.i JOIN cell b ON b.i = 1 AND b.j = c.j JOIN cell n ON n.i = 1 AND n.j = 1
+         WHERE c.i BETWEEN 2 AND {_P + 1} AND c.j >= 2 GROUP BY c.i),
+solve AS (
+  SELECT 1 AS k, list(line ORDER BY i) AS m FROM gram
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / m[k][k])
+           ELSE list_transform(r, lambda x, j: x - r[k] / m[k][k] * m[k][j]) END) FROM solve WHERE k <= {_P}),
+w AS (SELECT list_transform(m, lambda r: r[{_P + 1}]) AS w FROM solve WHERE k = {_P + 1}),
+mean AS (SELECT list(a.s / n.s ORDER BY a.j) AS m FROM cell a JOIN cell n ON n.i = 1 AND n.j = 1 WHERE a.i = 1 AND a.j >= 2),
+pred AS (SELECT listing_id, price AS price_real, area_total,
+                m[{_P + 1}] + {" + ".join(f"ww.w[{k + 1}] * ({c} - m[{k + 1}])" for k, c in enumerate(MODEL_FEATURES))} AS price_pred
+         FROM te, w AS ww, mean),
 errs AS (SELECT *, price_pred - price_real AS delta, abs(price_pred - price_real) AS abs_error,
                 abs(price_pred - price_real) / nullif(abs(price_real), 0) * 100 AS ape,
                 abs(price_pred - price_real) / nullif(area_total, 0) AS error_per_m2 FROM pred)
 """
+_RIDGE_SQL = _RIDGE_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def model_rows(spark, sf_dir):
+    """The model table, written once to the checkpoint folder, and its features."""
+    m = cut_lineage(K.model_table(X.model_listings(spark, sf_dir)))
+    return m, NUMERIC_FEATURES + [c for c in m.columns if c.startswith("walls_clean_")]
+
+
+def _model_split(spark, sf_dir):
+    m, features = model_rows(spark, sf_dir)
+    s = J.train_test_split(m, "listing_id")
+    return s.where("split = 'train'"), s.where("split = 'test'"), features
 
 
 def _ridge_pred(spark, sf_dir):
-    s = split(spark, sf_dir)
-    tr, te = s.where("split = 'train'"), s.where("split = 'test'")
-    va, m = K.ridge_fit(tr, ["area_total"], "price", alpha=1.0)
-    return K.predict_table(K.ridge_predict(va, m, te))
+    train, test, features = _model_split(spark, sf_dir)
+    return K.predict_table(K.ridge_predict(K.ridge_fit(train, features, "price"), test))
 
 
 @query("standardize", sql=oracle_with("listings") + f"""
@@ -53,10 +107,10 @@ def q_kmeans_geo(spark, sf_dir):
     return K.kmeans_geo(c, k=25).select("listing_id", "geo_generation_cluster")
 
 
-@query("ridge", sql=_RIDGE_SQL + f"SELECT listing_id, {sig_sql('price_pred', 6)} AS price_pred FROM errs")
+@query("ridge", sql=_RIDGE_SQL + f"SELECT listing_id, {sig_sql('price_pred', 9)} AS price_pred FROM errs")
 def q_ridge(spark, sf_dir):
     """K3: ridge regression (alpha 1) on the train split, predictions on the test split."""
-    return _ridge_pred(spark, sf_dir).select("listing_id", sig("price_pred", 6).alias("price_pred"))
+    return _ridge_pred(spark, sf_dir).select("listing_id", sig("price_pred", 9).alias("price_pred"))
 
 
 @query("predict_table", sql=_RIDGE_SQL + f"""
@@ -107,75 +161,57 @@ def q_top_deals(spark, sf_dir):
                     sig("delta", 6).alias("delta"), "area_total")
 
 
-# Features of the model table.
-MODEL_FEATURES = ["area_total", "rooms", "floor", "floors_total", "build_year", "ceiling_height",
-                  "kitchen_area", "kitchen_area_missing"]
-
-
-def model_features(spark, sf_dir, with_leak: bool = False):
-    """K7: missing flag, median impute, drop, ranges, ratio, one-hot walls."""
-    from ..functions.numeric import missing_flag, ratio
-    from ..functions.text import walls_en
-    from ..operators import filters as D
-    from .clean import median_impute
-    l = X.listings(spark, sf_dir).withColumn("kitchen_area_missing", missing_flag("kitchen_area"))
-    l = median_impute(l, ["kitchen_area", "build_year", "ceiling_height"])
-    l = D.drop_critical(l, ["price", "area_total", "rooms", "floor", "floors_total"])
-    l = D.range_strict(l)
-    if with_leak:
-        l = l.withColumn("price_per_m2", ratio("price", "area_total"))
-    l = l.withColumn("walls_norm", walls_en("walls"))
-    return K.one_hot(l, "walls_norm")
-
-
-@query("model_features", sql=oracle_with("listings") + """
-, m AS (SELECT quantile_cont(kitchen_area, 0.5) AS mk, quantile_cont(CAST(build_year AS DOUBLE), 0.5) AS mb,
-               quantile_cont(ceiling_height, 0.5) AS mc FROM listings),
-f AS (SELECT listing_id, price, area_total, rooms, floor, floors_total,
-             coalesce(CAST(build_year AS DOUBLE), mb) AS build_year, coalesce(ceiling_height, mc) AS ceiling_height,
-             coalesce(kitchen_area, mk) AS kitchen_area, CAST(kitchen_area IS NULL AS INTEGER) AS kitchen_area_missing,
-             CASE WHEN walls IS NULL OR trim(walls) = '' THEN 'unknown'
-  WHEN contains(lower(walls), 'монолит') THEN 'monolith' WHEN contains(lower(walls), 'кирп') THEN 'brick'
-  WHEN contains(lower(walls), 'панел') THEN 'panel' WHEN contains(lower(walls), 'блок') THEN 'block'
-  ELSE 'other' END AS w FROM listings, m
-      WHERE price IS NOT NULL AND area_total IS NOT NULL AND rooms IS NOT NULL AND floor IS NOT NULL
-        AND floors_total IS NOT NULL AND price BETWEEN 3000000 AND 300000000 AND area_total BETWEEN 10 AND 300
-        AND floor BETWEEN 1 AND 100 AND floors_total BETWEEN 1 AND 100)
-SELECT listing_id, price, area_total, rooms, floor, floors_total, build_year, ceiling_height, kitchen_area,
-       kitchen_area_missing, """ + ", ".join(
-    f"CAST(w = '{v}' AS INTEGER) AS walls_norm_{v}" for v in ["brick", "monolith", "other", "panel", "unknown"]
-) + " FROM f")
+@query("model_features", sql=_TABLE_SQL + f"""
+SELECT listing_id, price, {", ".join(MODEL_FEATURES)} FROM model""")
 def q_model_features(spark, sf_dir):
     """K7: the model table (price per m2 - a target leak - is off by default)."""
-    f = model_features(spark, sf_dir)
-    keep = ["listing_id", "price", *MODEL_FEATURES] + [c for c in f.columns if c.startswith("walls_norm_")]
-    return f.select(*keep)
+    m, features = model_rows(spark, sf_dir)
+    return m.select("listing_id", "price", *[F.col(c).cast("double").alias(c) if c in ("rooms", "floor", "floors_total")
+                                             else F.col(f"`{c}`") for c in features])
 
 
 def _boosted(spark, sf_dir):
-    """The best of 700 iterations on a fifth of the rows held out by hash: importances, the
-    holdout's predictions, training rows and the best iteration."""
-    f = cut_lineage(model_features(spark, sf_dir))
-    feats = MODEL_FEATURES + [c for c in f.columns if c.startswith("walls_norm_")]
-    held_out = F.pmod(F.xxhash64("listing_id"), F.lit(5)) == 0
-    train, test = f.where(~held_out), f.where(held_out)
-    va, m, unit, _ = K.boosted_trees_best(train, test, feats, "price")
-    pred = K.predict_table(K.boosted_predict(va, m, unit, test))
-    return K.feature_importance(m, feats), pred, train.count(), m.getNumTrees
+    """The best of 700 iterations on the test rows of the split: model, features, predictions of all
+    test rows, training rows. Fitted on the sample that ``boosting`` documents."""
+    train, test, features = _model_split(spark, sf_dir)
+    train, test = cut_lineage(train), cut_lineage(test)
+    order = F.struct(J.split_key("listing_id", seed=7), F.col("listing_id"))
+    x, y = B.sample_matrix(train, features, "price", order, B.TRAIN_ROWS)
+    held_x, held_y = B.sample_matrix(test, features, "price", order, B.HOLDOUT_ROWS)
+    model = B.fit_symmetric_trees(x, y, held_x, held_y)
+    pred = K.predict_table(test.withColumn("prediction", B.predicted(test, model, features)))
+    return model, features, pred, len(y)
+
+
+def _importance_rows(spark, model, features, top: int = 15):
+    found = zip(features, model.importance(len(features)).tolist(), strict=True)
+    rows = sorted(found, key=lambda r: (-r[1], r[0]))[:top]
+    return spark.createDataFrame(rows, "feature string, importance double")
 
 
 @query("boosted_trees")
 def q_boosted_trees(spark, sf_dir):
-    """K4 + K5: absolute-loss gradient-boosted trees on the model table, the best of 700
-    iterations on the holdout; feature importances as rows, with the model's errors on the
-    holdout (rows-only)."""
-    imp, pred, n, best = _boosted(spark, sf_dir)
-    return spark.createDataFrame(imp, "feature string, importance double").crossJoin(
-        K.regression_metrics(pred)).withColumns(
-        {"training_rows": F.lit(n).cast("bigint"), "best_iteration": F.lit(best)})
+    """K4: absolute-loss boosted symmetric trees on the model table, the best of 700 iterations on the
+    test rows: the features that matter, with the model's errors on all test rows and those of the
+    median of the training rows (rows-only)."""
+    model, features, pred, n = _boosted(spark, sf_dir)
+    pred = cut_lineage(pred.select("price_real", "abs_error", "ape"))
+    plain = pred.agg(F.avg(F.abs(F.col("price_real") - F.lit(model.base))).alias("mae_of_median"))
+    return _importance_rows(spark, model, features).crossJoin(K.regression_metrics(pred)).crossJoin(plain).withColumns(
+        {"training_rows": F.lit(n).cast("bigint"), "best_iteration": F.lit(len(model.feature))})
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """K5: (feature, importance) desc, top 15: how much the prediction changes, sums to 100 (rows-only)."""
+    train, test, features = _model_split(spark, sf_dir)
+    order = F.struct(J.split_key("listing_id", seed=7), F.col("listing_id"))
+    sample = [B.sample_matrix(cut_lineage(df), features, "price", order, rows)
+              for df, rows in ((train, B.TRAIN_ROWS), (test, B.HOLDOUT_ROWS))]
+    return _importance_rows(spark, B.fit_symmetric_trees(*sample[0], *sample[1]), features)
 
 
 @query("boosted_predictions")
 def q_boosted_predictions(spark, sf_dir):
-    """K6: the holdout's predictions of the same trees next to the truth (rows-only)."""
-    return _boosted(spark, sf_dir)[1].select("listing_id", "price_real", "price_pred", "delta", "abs_error", "ape")
+    """K6: predictions of the same trees for all test rows next to the truth (rows-only)."""
+    return _boosted(spark, sf_dir)[2].select("listing_id", "price_real", "price_pred", "delta", "abs_error", "ape")

@@ -47,6 +47,9 @@ LISTING_EXPRS: list[tuple[str, str]] = [
     ("link", "concat('https://example.org/realty/', cast(k % 9973 as string), '/')"),
 ]
 
+# The model table also needs walking minutes, some of them missing or out of range.
+MODEL_EXTRA = ("metro_walk_min", "case when k % 23 = 0 then null else k % 97 end")
+
 STATION_EXPRS: list[tuple[str, str]] = [
     ("metro", "concat('st_', cast(n_nationkey as string))"),
     ("lat", "55.55e0+((n_nationkey*379) % 401)/1e3"),
@@ -106,6 +109,11 @@ def listings(spark: SparkSession, sf_dir: str, with_cluster: bool = False) -> Da
     return df
 
 
+def model_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exprs = [f"{e} AS {c}" for c, e in [*LISTING_EXPRS, MODEL_EXTRA]]
+    return _k(read_table(spark, sf_dir, "lineitem")).selectExpr(*exprs)
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "nation").selectExpr(
         *[f"{e} AS {c}" for c, e in STATION_EXPRS])
@@ -163,6 +171,9 @@ def _cte_listings() -> str:
 def _cte(name: str) -> str:
     if name == "listings":
         return _cte_listings()
+    if name == "model_listings":
+        cols = ", ".join(f"{e} AS {c}" for c, e in [*LISTING_EXPRS, MODEL_EXTRA])
+        return f"model_listings AS (SELECT {cols} FROM (SELECT *, {K_EXPR} AS k FROM lineitem))"
     if name == "clustered":
         return f"clustered AS (SELECT *, {CLUSTER_EXPR} AS geo_generation_cluster FROM listings)"
     if name == "stations":

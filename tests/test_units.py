@@ -122,12 +122,12 @@ def test_empty_polyline_is_an_error(spark):
         SP.point_to_polyline(left, seg, "d")
 
 
-def test_wide_category_becomes_a_map(spark):
+def test_wide_category_keeps_one_schema(spark):
     from geoflat.operators import ml
     df = spark.range(300).select(F.concat(F.lit("c"), F.col("id")).alias("cat"), "id")
     out = ml.one_hot(df, "cat")
-    assert out.columns == ["id", "cat_onehot"]
-    assert all(r["cat_onehot"] == {f"c{r['id']}": 1} for r in out.collect())
+    assert out.columns == ["id", *sorted(f"cat_c{k}" for k in range(300))]
+    assert all(sum(r[f"cat_c{k}"] for k in range(300)) == r[f"cat_c{r['id']}"] == 1 for r in out.collect())
 
 
 def test_zero_streak_covers_every_page_unless_limited(spark):
@@ -171,30 +171,53 @@ def test_kmeans_geo_takes_the_best_of_all_starts(spark, monkeypatch):
     assert cost <= min(tried) + 1e-6
 
 
-def test_boosted_trees_take_the_best_iteration_on_the_holdout(spark, monkeypatch):
-    import random
+def test_ridge_equals_the_normal_equations(spark):
+    import numpy as np
 
     from geoflat.operators import ml as K
-    from geoflat.plans import q_ml
-    rng = random.Random(2)
-    df = spark.createDataFrame([(i, *[rng.random() for _ in q_ml.MODEL_FEATURES], rng.random() * 1e7)
-                                for i in range(60)], ["listing_id", *q_ml.MODEL_FEATURES, "price"]).coalesce(1)
-    asked, fit = [], K.boosted_trees_fit
-
-    def few(train, features, label, max_iter=700, **kw):
-        asked.append((train.count(), max_iter))
-        return fit(train, features, label, max_iter=8, depth=3, step=1.0)
-    monkeypatch.setattr(K, "boosted_trees_fit", few)
-    monkeypatch.setattr(q_ml, "model_features", lambda *_: df)
-    row = q_ml.q_boosted_trees(spark, "").first()
-    assert asked == [(row["training_rows"], 700)] and row["training_rows"] < 60
-    held = q_ml.F.pmod(q_ml.F.xxhash64("listing_id"), q_ml.F.lit(5)) == 0
-    va, m, unit, errors = K.boosted_trees_best(df.where(~held), df.where(held), q_ml.MODEL_FEATURES, "price")
-    assert len(errors) == 8 and m.getNumTrees == errors.index(min(errors)) + 1 == row["best_iteration"] < 8
-    assert len(m.featureImportances) == len(q_ml.MODEL_FEATURES)
-    p = K.predict_table(K.boosted_predict(va, m, unit, df.where(held)))
-    assert abs(K.regression_metrics(p).first()["mae"] - min(errors)) < 1e-3
-    assert abs(row["mae"] - min(errors)) < 1e-3
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(200, 3)) * [1, 50, 0.1] + [0, 1000, 5], 3)
+    y = np.round(x @ [3.0, -0.5, 20.0] + 1e6 + rng.normal(size=200))
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    m = K.ridge_fit(df, ["a", "b", "c"], "y", alpha=2.0)
+    xc, yc = x - x.mean(0), y - y.mean()
+    w = np.linalg.solve(xc.T @ xc + 2.0 * np.eye(3), xc.T @ yc)
+    assert np.allclose(m.weights, w, rtol=1e-8) and abs(m.intercept - (y.mean() - x.mean(0) @ w)) < 1e-3
+    got = [r[0] for r in K.ridge_predict(m, df).select("prediction").collect()]
+    assert np.allclose(got, x @ w + y.mean() - x.mean(0) @ w)
+    assert K.ridge_fit(df.limit(0), ["a"], "y").weights == [0.0]
+
+
+def test_symmetric_trees_by_brute_force(spark):
+    import numpy as np
+
+    from geoflat.operators import boosting as B
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(400, 4)), 1)
+    y = 5 * (x[:, 0] > 0.3) - 3 * x[:, 1] + rng.normal(size=400) * 0.1
+    m = B.fit_symmetric_trees(x[:300], y[:300], x[300:], y[300:], iterations=60, depth=3, rate=0.3)
+    errors = [np.abs(y[300:] - B.SymmetricTrees(m.base, m.feature[:k], m.border[:k], m.value[:k], m.weight[:k], []).predict(
+        x[300:])).mean() for k in range(1, len(m.feature) + 1)]
+    assert np.allclose(errors, m.holdout_errors[:len(errors)]) and len(errors) == int(np.argmin(m.holdout_errors)) + 1
+    assert min(errors) < 0.25 * np.abs(y[300:] - m.base).mean()
+    # the first question of the first tree has the largest gain of all, by trying each
+    sign = np.sign(y[:300] - np.median(y[:300]))
+    def gain(f, b):
+        left = x[:300, f] <= b
+        return sum(sign[s].sum() ** 2 / (s.sum() + B.L2) for s in (left, ~left))
+    best = max(gain(f, b) for f in range(4) for b in B.quantile_borders(x[:300, f]))
+    assert abs(gain(m.feature[0][0], m.border[0][0]) - best) < 1e-9
+    # leaf values are medians of residuals, times the rate
+    leaf = sum((x[:300, f] > b).astype(int) << k for k, (f, b) in enumerate(zip(m.feature[0], m.border[0], strict=True)))
+    for v in range(8):
+        want = np.median((y[:300] - m.base)[leaf == v]) * 0.3 if (leaf == v).any() else 0
+        assert abs(m.value[0][v] - want) < 1e-12
+    importance = m.importance(4)
+    assert abs(importance.sum() - 100) < 1e-9 and importance[:2].sum() > 90
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double")
+    assert np.allclose([r[0] for r in df.select(B.predicted(df, m, list("abcd"))).collect()], m.predict(x))
+    none = B.fit_symmetric_trees(x[:0], y[:0], x[:0], y[:0], iterations=3)
+    assert none.predict(x).tolist() == [0.0] * 400
 
 
 def test_geojson_parts_stay_one_feature(spark, tmp_path):

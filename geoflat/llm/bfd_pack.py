@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import END_ID, MAX_LEN, VOCABULARY, Encoder
+from .common import free_memory
+from .tokens import END_ID, MAX_LEN, VOCABULARY, encoded_texts
 
 SHARD_CHARS = 12_000_000
 PAD_ID = 0
@@ -80,11 +81,9 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def _pack_shard(table: pa.Table, capacity: int, vocabulary: str, end_id: int, pad_id: int,
                 schema: pa.Schema):
     table = table.sort_by([("id", "ascending"), ("text", "ascending")])
-    encoder = Encoder.get(vocabulary)
-    end = np.array([end_id], dtype="<u4").tobytes()
     doc, piece, data = [], [], []
-    for k, text in enumerate(table.column("text")):
-        ids = encoder.encode(text.as_py() or "") + end
+    texts = table.column("text").combine_chunks()
+    for k, ids in enumerate(encoded_texts(texts, vocabulary, end_id)):
         for p in range(-(-len(ids) // (4 * capacity))):
             doc.append(k), piece.append(p), data.append(ids[4 * p * capacity:4 * (p + 1) * capacity])
     lengths = np.array([len(x) // 4 for x in data], dtype=np.int64)
@@ -140,6 +139,7 @@ def packed_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def pack_shard(table: pa.Table) -> pa.Table:
         batches = list(_pack_shard(table, capacity, vocabulary, end_id, pad_id, arrow))
+        free_memory()
         return pa.Table.from_batches(batches, schema=arrow)
 
     return dealt.groupBy("shard").applyInArrow(pack_shard, out)

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import ctypes
+import gc
 import uuid
-import zipfile
-from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..session import BROADCAST_ROW_LIMIT, bounded_row_count, ensure_checkpoint_dir
 
 # The white space of all contracts, space and the bytes 0x09 to 0x0D.
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
 WORD = NOT_WS + "+"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +53,34 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "left",
     return df.join(small, on, how)
 
 
+def byte_chunks(column: pa.Array, limit: int):
+    """Slices of a text column of at most ``limit`` bytes each, or of one longer text."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
+    low = 0
+    while low < len(column):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield column.slice(low, high - low)
+        low = high
+
+
+def texts_of(column: pa.Array, limit: int = 2_000_000):
+    """The texts of a column as Python strings, never more than ``limit`` bytes of them at once."""
+    for chunk in byte_chunks(column, limit):
+        yield from chunk.to_pylist()
+
+
+def free_memory() -> None:
+    """Gives memory that a task no longer needs back to the system: Python workers live on and run
+    the tasks of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no GNU C library
+        pass
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Written as Parquet into the shared checkpoint folder and read again: cuts the lineage
     like a checkpoint, in a compressed form."""
@@ -67,15 +98,7 @@ def uniform53(*parts: Column) -> Column:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per Spark context, as ``--py-files``
-    would, so that functions run inside tasks can be imported there."""
-    sc = spark.sparkContext
-    if getattr(sc, "_geoflat_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = os.path.join(tempfile.mkdtemp(prefix="geoflat-py-"), "geoflat_package.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent).as_posix())
-    sc.addPyFile(archive)
-    sc._geoflat_shipped = True
+    """The package for the Python workers, and Arrow batches bounded for long texts."""
+    if spark.conf.get(BATCH_BYTES, None) == "67108864b":  # Spark's default
+        spark.conf.set(BATCH_BYTES, "8m")
+    session.ship_package(spark)

@@ -1,9 +1,10 @@
 """Token ids of whole documents, as pieces of bounded length.
 
-The vocabulary file is a parameter. With this tokenizer the ids of a text are the ids of
-its white-space separated words in order (white space is dropped and no rule looks across
-it), so ids are kept per word in a bounded table of each Python worker; a test holds this
-against ``Tokenizer.encode`` on whole texts.
+The vocabulary file is a parameter. Where its own normaliser and splitter work word by word (white
+space is dropped and no rule looks across it: ``_BY_WORDS``), texts are split and their words
+counted into distinct ones by Arrow, a chunk of bounded bytes at a time; distinct words are
+tokenised once and kept in a bounded table of the Python worker, and ids are gathered with NumPy.
+Other vocabularies encode each text whole. Tests hold both against ``Tokenizer.encode``.
 
 Defined cases: null text counts as empty and gives the single id 1. A text is never cut
 except into pieces of ``max_len`` ids, the last of which may be shorter.
@@ -11,20 +12,34 @@ except into pieces of ``max_len`` ids, the last of which may be shorter.
 
 from __future__ import annotations
 
-import struct
+import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_chunks, free_memory
+
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 MAX_LEN = 4096
-TABLE_WORDS = 300_000
-TABLE_SIGNS = 20_000
-
-# Signs that, after letters, form one part with no rule of their own.
+TABLE_WORDS = 400_000
+CHUNK_BYTES = 4_000_000
+
+# The normaliser and splitter of a vocabulary that works word by word.
+_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+# Signs that, after a letter or digit, form one part with no rule of their own.
 _TAIL = b".,!?;:#*$%&|()\"-"
 
 
@@ -41,17 +56,19 @@ _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Text -> little-endian unsigned 32-bit ids, as bytes."""
+    """Texts -> ids. Words are kept as places in one growing array of ids."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        path = public_tokenizers.path(vocabulary)
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.by_words = all(parts.get(k) == v for k, v in _BY_WORDS.items())
         self.tokenize = self.tokenizer.model.tokenize
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.signs: dict[bytes, bytes] = {}
+        self.forget()
 
     @classmethod
     def get(cls, vocabulary: str) -> "Encoder":
@@ -59,60 +76,103 @@ class Encoder:
             _ENCODERS[vocabulary] = cls(vocabulary)
         return _ENCODERS[vocabulary]
 
-    def _part(self, part: str) -> bytes:
-        return _pack_ids([t.id for t in self.tokenize(part)])
+    def forget(self) -> None:
+        """Empties the table of words."""
+        self.words: dict[bytes, int] = {b"": 0}
+        self.cores: dict[bytes, list[int]] = {}
+        self.ids, self.ends = array("I"), array("q", [0])
 
-    def _tail(self, tail: bytes) -> bytes:
-        ids = self.signs.get(tail)
-        if ids is None:
-            if len(self.signs) >= TABLE_SIGNS:
-                self.signs.clear()
-            ids = self.signs[tail] = self._part(tail.decode())
-        return ids
-
-    def _word(self, word: bytes) -> bytes:
-        if b"<|" in word:  # may hold a special token
-            return _pack_ids(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-        # Latin letters are one part, and a run of other signs after them another
-        core = word.rstrip(_TAIL)
-        if core.isalpha():  # of bytes: A-Z and a-z only
-            ids = self._part(core.lower().decode())
-            return ids if core == word else ids + self._tail(word[len(core):])
+    def _part(self, part: str) -> list[int]:
+        return [t.id for t in self.tokenize(part)]
+
+    def _core(self, core: bytes) -> list[int]:
+        """Ids of a word in lower case A-Z."""
+        if core.isalpha():  # of bytes: a-z only
+            return self._part(core.decode())
         text = core.decode()
         if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
-            ids = self._part("".join([_SIGNS[b] for b in text.lower().encode()]))
-            return ids if core == word else ids + self._tail(word[len(core):])
+            return self._part("".join([_SIGNS[b] for b in text.lower().encode()]))
         t = self.tokenizer
-        parts = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word.decode()))
-        return b"".join([self._part(p) for p, _ in parts])
+        parts = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))
+        return [i for p, _ in parts for i in self._part(p)]
 
-    def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").split()
+    def _word(self, word: bytes) -> list[int]:
+        core = word.rstrip(_TAIL)
+        if core == word or not core or not core[-1:].isalnum():
+            return self._core(word)
+        known = self.cores
+        ids = known.get(core)
+        if ids is None:
+            ids = known[core] = self._core(core)
+        tail = word[len(core):]
+        end = known.get(tail)
+        if end is None:
+            end = known[tail] = self._core(tail)
+        return ids + end
+
+    def _place(self, word: bytes) -> int:
+        ids = self._word(word)
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        place = self.words[word] = len(self.ends) - 1
+        return place
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the place after the last id of each text
+        (with a leading 0). Null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        whole = np.ones(len(texts), dtype=bool)
+        if self.by_words:  # a special token may stand in any word
+            whole = np.asarray(pc.match_substring(texts, "<|"), dtype=bool)
+        if whole.any():
+            each = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4")
+                    if w else None for t, w in zip(texts.to_pylist(), whole, strict=True)]
+            rest, at = self._by_words(texts.filter(pa.array(~whole)))
+            found = iter(range(len(at) - 1))
+            each = [rest[at[i]:at[i + 1]] if x is None and (i := next(found)) >= 0 else x for x in each]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
+        return self._by_words(texts)
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        if len(self.words) >= TABLE_WORDS or len(self.cores) >= TABLE_WORDS:
+            self.forget()
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = lists.flatten().dictionary_encode()
         table = self.words
-        try:
-            return b"".join([table[w] for w in words])
-        except KeyError:
-            pass
-        if len(table) >= TABLE_WORDS // 2:  # words in use come back from the older table
-            self.older, self.words = table, {}
-            table = self.words
-        older = self.older
-        for w in words:
-            if w not in table:
-                table[w] = older.get(w) or self._word(w)
-        return b"".join([table[w] for w in words])
-
+        places = [table[w] if w in table else self._place(w)
+                  for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+        ends = np.array(self.ends, dtype=np.int64)
+        ids = np.array(self.ids, dtype="<u4")
+        place = np.array(places, dtype=np.int64)[np.asarray(coded.indices)]
+        low = np.concatenate([[0], ends[:-1]])[place]
+        size = ends[place] - low
+        after = np.cumsum(size)
+        take = np.arange(int(after[-1]) if len(after) else 0)
+        take += np.repeat(low - (after - size), size)
+        offsets = np.asarray(lists.offsets, dtype=np.int64)
+        return ids[take], np.concatenate([[0], after])[offsets - offsets[0]]
 
-def _pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    def encode(self, text: str) -> bytes:
+        ids, _ = self.encode_column(pa.array([text], pa.string()))
+        return ids.tobytes()
 
 
-def _pieces(batches, vocabulary: str, end_id: int | None, max_len: int, schema: pa.Schema):
+def encoded_texts(texts: pa.Array, vocabulary: str, end_id: int | None):
+    """Ids of each text, with the end id, as little-endian unsigned 32-bit bytes, in order."""
     encoder = Encoder.get(vocabulary)
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    for chunk in byte_chunks(texts, CHUNK_BYTES):
+        ids, at = encoder.encode_column(chunk)
+        for i in range(len(chunk)):
+            yield ids[at[i]:at[i + 1]].tobytes() + end
+
+
+def _pieces(batches, vocabulary: str, end_id: int | None, max_len: int, schema: pa.Schema):
     width = 4 * max_len
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        ids = batch.column(0)
         at, piece, start, length, out = [], [], [], [], []
 
         def flush():
@@ -122,17 +182,18 @@ def _pieces(batches, vocabulary: str, end_id: int | None, max_len: int, schema:
                  pa.array(out, pa.binary())], schema=schema)
 
         held = 0
-        for row, text in enumerate(texts):
-            data = encoder.encode(text or "") + end
-            for p in range(max(1, -(-len(data) // width)) if data else 0):
+        for row, data in enumerate(encoded_texts(batch.column(1), vocabulary, end_id)):
+            for p in range(-(-len(data) // width)):
                 part = data[p * width:(p + 1) * width]
                 at.append(row), piece.append(p), start.append(p * max_len)
                 length.append(len(part) // 4), out.append(part)
                 held += len(part)
-            if held > 16_000_000:
+            if held > CHUNK_BYTES:
                 yield flush()
                 at, piece, start, length, out, held = [], [], [], [], [], 0
         yield flush()
+    Encoder.get(vocabulary).forget()
+    free_memory()
 
 
 def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

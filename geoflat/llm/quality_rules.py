@@ -2,21 +2,17 @@
 
 Base counts per document, then two histograms: character classes, and the common words of
 the document's language. Both are compared with language references by the Jensen-Shannon
-distance (base 2, so 0 to 1). The references are sums over all documents of a language, one
-vote per document: each document adds its own relative histogram, so a few very long texts
-do not set the reference. A document fails when a distance is above its limit; short
-texts are exempt (character classes below ``MIN_CHARS``, common words below ``MIN_WORDS``),
+distance (base 2, so 0 to 1). A reference is the mean over the distinct texts of a language that
+pass the base rules: each text (white space aside) has one vote, the mean of its copies, so neither
+copies nor junk nor a few very long texts set it. Near copies vote one by one. Languages outside
+the fixed word lists are compared with the pooled list and with the texts of all languages; a
+language without any vote has null distances. A document fails when a distance is above its limit;
+short texts are exempt (character classes below ``MIN_CHARS``, common words below ``MIN_WORDS``),
 as their histograms are mostly noise.
 
-Everything a document needs is computed inside its row; the only shuffle is the reference
-sum (languages x classes, partially aggregated). The references take a first pass that reads
-the histograms alone; the verdicts take the second, so no text is ever written. The word list of a language is a fixed
-table; languages outside it are compared with the pooled list and the pooled reference.
-
-``quality_rules_by_text`` judges by references that copies and junk do not move: each distinct
-text (white space aside) has one vote, the mean of its copies, texts that fail the base rules
-have none, and the pooled reference is made of the texts of all languages. Near copies still
-vote one by one. A language without any vote has null distances.
+Everything a document needs is computed inside its row, once: the counts are checkpointed without
+the text, and references and verdicts are made from them. The shuffles are the votes per digest and
+the reference sums (languages x classes).
 
 Defined cases: null or empty text has all counts 0 and fails the base rule (fewer than 10
 words). A null or unknown language uses the pooled reference. Repeated rows are judged
@@ -70,15 +66,14 @@ def covered_words(places: Column) -> Column:
         lambda s: s["covered"]).cast("bigint")
 
 
-def base_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                pooled: bool = False) -> DataFrame:
-    """``row`` and the counts of each text, with both histograms; with ``pooled`` also the
-    histogram of the pooled words and the digest of the text without white space."""
+def base_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``row`` and the counts of each text, with both histograms, the histogram of the pooled words
+    and the digest of the text without white space."""
     text = text_of(F.col("row")[text_col])
     lang = F.col("row")[lang_col]
     df = packed(docs).withColumn("text", text)
     known = F.when(lang.isin(*COMMON_WORDS), lang).otherwise(F.lit("*"))
-    lists = {k: v + [w for w in COMMON_WORDS["*"] if pooled and w not in v] for k, v in COMMON_WORDS.items()}
+    lists = {k: v + [w for w in COMMON_WORDS["*"] if w not in v] for k, v in COMMON_WORDS.items()}
     word_list = reduce(lambda c, kv: c.when(F.col("known") == kv[0], F.array(*map(F.lit, kv[1]))),
                        lists.items(), F)
     spaced = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(" ")), "\n\t\r\x0b\x0c", F.col("text"))
@@ -104,12 +99,8 @@ def base_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         w = F.get("word_list", F.lit(i))
         left = F.replace("joined", F.concat(F.lit(" "), w, F.lit(" ")), F.lit(""))
         word_hist.append(F.floor((F.octet_length("joined") - F.octet_length(left)) / (F.octet_length(w) + 2)))
-    more = []
-    if pooled:
-        places = reduce(lambda c, kv: c.when(F.col("known") == kv[0], F.array(
-            *[F.lit(kv[1].index(w)) for w in COMMON_WORDS["*"]])), lists.items(), F)
-        more = [F.array(*word_hist).alias("all_words"), places.alias("pooled_at"),
-                F.sha2(F.array_join("words", ""), 256).alias("digest")]
+    places = reduce(lambda c, kv: c.when(F.col("known") == kv[0], F.array(
+        *[F.lit(kv[1].index(w)) for w in COMMON_WORDS["*"]])), lists.items(), F)
     entries = len(COMMON_WORDS["*"])
     return df.select(
         "row", "known", n_words.alias("n_words"),
@@ -121,7 +112,8 @@ def base_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         n_chars.alias("n_chars"),
         F.array(n_chars - F.when(n_words > 0, word_chars).otherwise(0),
                 *[count_of(F.col("marks"), c) for c in CHAR_CLASSES.values()]).alias("char_hist"),
-        F.array(*word_hist[:entries]).alias("word_hist"), *more)
+        F.array(*word_hist[:entries]).alias("word_hist"), F.array(*word_hist).alias("all_words"),
+        places.alias("pooled_at"), F.sha2(F.array_join("words", ""), 256).alias("digest"))
 
 
 def _shares(counts: Column, total: Column, with_rest: bool) -> Column:
@@ -142,19 +134,6 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def _references(counts: DataFrame, hists: dict[str, tuple[dict[str, int], Column]]) -> list[Column | None]:
-    """Per histogram (entries per language, usable rows): map of language -> mean relative
-    histogram over all its usable documents, as a literal (at most four languages and the
-    pooled one, with fixed numbers of entries), from one pass."""
-    sums = []
-    for hist, (groups, usable) in hists.items():
-        sums.append(F.sum(usable.cast("bigint")).alias(f"{hist}_n"))
-        for i in range(max(groups.values())):
-            share = F.coalesce(F.get(hist, F.lit(i)), F.lit(0.0))
-            sums.append(F.sum(F.when(usable, F.round(share * 1e9)).cast("bigint")).alias(f"{hist}_{i}"))
-    return _as_maps(counts.groupBy("known").agg(*sums).orderBy("known").collect(), hists)
-
-
 def _as_maps(rows: list, hists: dict[str, tuple[dict[str, int], Column]]) -> list[Column | None]:
     out = []
     for hist, (groups, _) in hists.items():
@@ -167,8 +146,9 @@ def _as_maps(rows: list, hists: dict[str, tuple[dict[str, int], Column]]) -> lis
 
 def _text_references(counts: DataFrame, hists: dict[str, tuple[dict[str, int], Column]],
                      pooled_shares: Column) -> list[Column | None]:
-    """As ``_references``, over one vote per distinct text; the pooled language has the votes of
-    all texts. The votes are grouped by digest before the sums, so copies meet in the map side."""
+    """Per histogram (entries per language, usable rows): map of language -> mean relative
+    histogram, one vote per distinct text, as a literal (at most four languages and the pooled one,
+    with fixed numbers of entries). The pooled language has the votes of all texts. The votes are grouped by digest before the sums, so copies meet in the map side."""
     own = F.struct(F.col("known").alias("known"), F.col("word_shares").alias("word_shares"))
     all_ = F.struct(F.lit("*").alias("known"), pooled_shares.alias("word_shares"))
     votes = counts.withColumns({f"{h}_usable": usable for h, (_, usable) in hists.items()}).select(
@@ -191,25 +171,18 @@ def _text_references(counts: DataFrame, hists: dict[str, tuple[dict[str, int], C
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                   max_char_distance: float = MAX_CHAR_DISTANCE,
-                  max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+                  max_word_distance: float = MAX_WORD_DISTANCE, keep_text: bool = True) -> DataFrame:
     """One row per input row: ``row``, the counts, ``char_distance``, ``word_distance`` (null
-    where the text is too short to judge), ``base_failed`` and ``kept``."""
-    return _judged(base_counts(docs, text_col, lang_col), False, max_char_distance, max_word_distance)
-
-
-def quality_rules_by_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                          max_char_distance: float = MAX_CHAR_DISTANCE,
-                          max_word_distance: float = MAX_WORD_DISTANCE, keep_text: bool = True) -> DataFrame:
-    """As ``quality_rules``, with references of one vote per distinct text that passes the base
-    rules. The counts are checkpointed, so they are made once and not twice; without
-    ``keep_text`` the rows lose their text, which the checkpoint then does not hold."""
-    counts = base_counts(docs, text_col, lang_col, pooled=True)
+    where the text is too short to judge), ``base_failed`` and ``kept``. The counts are
+    checkpointed, so they are made once and not twice; without ``keep_text`` the rows lose their
+    text, which the checkpoint then does not hold."""
+    counts = base_counts(docs, text_col, lang_col)
     if not keep_text:
         counts = counts.withColumn("row", F.col("row").dropFields(f"`{text_col}`"))
-    return _judged(cut_lineage(counts), True, max_char_distance, max_word_distance)
+    return _judged(cut_lineage(counts), max_char_distance, max_word_distance)
 
 
-def _judged(counts: DataFrame, by_text: bool, max_char_distance: float, max_word_distance: float) -> DataFrame:
+def _judged(counts: DataFrame, max_char_distance: float, max_word_distance: float) -> DataFrame:
     chars = F.when(F.col("n_chars") > 0, _shares(F.col("char_hist"), F.col("n_chars"), True))
     words = F.when(F.col("n_words") > 0, _shares(F.col("word_hist"), F.col("n_words"), True))
     counts = counts.withColumns({"chars": chars, "word_shares": words})
@@ -219,12 +192,9 @@ def _judged(counts: DataFrame, by_text: bool, max_char_distance: float, max_word
              "word_shares": (n_lists, long_words)}
     base_failed = ((F.col("n_words") < MIN_TEXT_WORDS)
                    | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    if by_text:
-        pooled = F.transform("pooled_at", lambda i: F.get("all_words", i))
-        char_refs, word_refs = _text_references(
-            counts.where(~base_failed), hists, _shares(pooled, F.col("n_words"), True))
-    else:
-        char_refs, word_refs = _references(counts, hists)
+    pooled = F.transform("pooled_at", lambda i: F.get("all_words", i))
+    char_refs, word_refs = _text_references(
+        counts.where(~base_failed), hists, _shares(pooled, F.col("n_words"), True))
     none = F.lit(None).cast("double")
 
     def distance(hist: str, refs: Column | None, usable: Column) -> Column:

@@ -125,15 +125,7 @@ def op9_packed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_js_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents judged by base counts and by distribution divergence."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return _rules(quality_rules.quality_rules(docs))
-
-
-@query("op10_js_quality_rules_by_text", sql.op10_by_text())
-def op10_js_quality_rules_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents judged as by op10, with references of one vote per distinct text that
-    passes the base rules."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return _rules(quality_rules.quality_rules_by_text(docs, keep_text=False))
+    return _rules(quality_rules.quality_rules(docs, keep_text=False))
 
 
 def _rules(judged: DataFrame) -> DataFrame:

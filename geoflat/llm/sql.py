@@ -72,7 +72,9 @@ SELECT file, place + 1, page_id, 'extra', NULL, digest FROM p WHERE page_id % 17
 
 
 def op10() -> str:
-    """The base counts and both distances, from the constants of ``quality_rules``."""
+    """The base counts and both distances, from the constants of ``quality_rules``; a distinct text
+    that passes the base rules has one vote, and the pooled reference is over the texts of all
+    languages."""
     from . import quality_rules as q
 
     ws, lists = r"[\x20\x09-\x0D]", q.COMMON_WORDS
@@ -86,6 +88,8 @@ def op10() -> str:
         f"WHEN '{k}' THEN [" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in lists.items()) + " END"
     known = ", ".join(f"'{k}'" for k in lists)
 
+    pool = "[" + ", ".join(f"'{w}'" for w in lists["*"]) + "]"
+
     def half(x: str) -> str:
         return f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((p + q) / 2)) ELSE 0 END"
 
@@ -114,29 +118,6 @@ h AS MATERIALIZED (
   SELECT doc_id, known, 'w', unnest(range(1, len(wh) + 2)), n_words,
          list_append(wh, greatest(n_words - list_sum(wh), 0)) FROM c WHERE n_words >= {q.MIN_WORDS}),
 s AS MATERIALIZED (SELECT doc_id, known, kind, i, CAST(counts[i] AS DOUBLE) / n AS p FROM h),
-ref AS (SELECT known, kind, i, sum(CAST(round(p * 1e9) AS BIGINT)) / 1e9 / count(*) AS q FROM s GROUP BY ALL),
-js AS (
-  SELECT doc_id, kind, sqrt(greatest(sum({half('p')} + {half('q')}) / 2, 0)) AS d
-  FROM s JOIN ref USING (known, kind, i) GROUP BY ALL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < {q.MIN_TEXT_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-       NOT (n_words < {q.MIN_TEXT_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words
-            OR coalesce(jc.d > {q.MAX_CHAR_DISTANCE}, false) OR coalesce(jw.d > {q.MAX_WORD_DISTANCE}, false)) AS kept,
-       round(jc.d, 6) AS char_distance, round(jw.d, 6) AS word_distance
-FROM c LEFT JOIN (SELECT doc_id, d FROM js WHERE kind = 'c') jc USING (doc_id)
-       LEFT JOIN (SELECT doc_id, d FROM js WHERE kind = 'w') jw USING (doc_id)
-"""
-
-
-def op10_by_text() -> str:
-    """As ``op10``, with one vote per distinct text that passes the base rules, and the pooled
-    reference over the texts of all languages."""
-    from . import quality_rules as q
-
-    pool = "[" + ", ".join(f"'{w}'" for w in q.COMMON_WORDS["*"]) + "]"
-    before, rest = op10().split("ref AS (", 1)
-    after = rest[rest.index("js AS ("):]
-    return before + rf"""
 ok AS MATERIALIZED (
   SELECT doc_id, sha256(array_to_string(ws, '')) AS digest, n_words,
          list_transform({pool}, lambda x: len(list_filter(ws, lambda y: y = x))) AS pc
@@ -154,7 +135,17 @@ votes AS (
 one AS (SELECT known, digest, kind, i, round(sum(CAST(round(p * 1e9) AS BIGINT)) / count(*)) AS v
         FROM votes GROUP BY ALL),
 ref AS (SELECT known, kind, i, sum(CAST(v AS BIGINT)) / 1e9 / count(*) AS q FROM one GROUP BY ALL),
-""" + after
+js AS (
+  SELECT doc_id, kind, sqrt(greatest(sum({half('p')} + {half('q')}) / 2, 0)) AS d
+  FROM s JOIN ref USING (known, kind, i) GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {q.MIN_TEXT_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {q.MIN_TEXT_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words
+            OR coalesce(jc.d > {q.MAX_CHAR_DISTANCE}, false) OR coalesce(jw.d > {q.MAX_WORD_DISTANCE}, false)) AS kept,
+       round(jc.d, 6) AS char_distance, round(jw.d, 6) AS word_distance
+FROM c LEFT JOIN (SELECT doc_id, d FROM js WHERE kind = 'c') jc USING (doc_id)
+       LEFT JOIN (SELECT doc_id, d FROM js WHERE kind = 'w') jw USING (doc_id)
+"""
 
 
 def op11() -> str:

@@ -378,7 +378,7 @@ def test_quality_rules_edges(edge):
     assert quality_rules.quality_rules(edge.limit(0)).count() == 0
 
 
-def test_quality_rules_by_text_votes(spark, docs):
+def test_quality_rules_vote_by_text(spark, docs):
     rows = [(r["doc_id"], r["text"], "en") for r in docs.where("lang = 'en' AND length(text) > 1200").select(
         "doc_id", "text").distinct().orderBy("doc_id").limit(20).collect()]
     junk = " ".join(f"#{i:04d} | {i * 7919 % 10007}$ * {i * 31} &" for i in range(300))
@@ -386,7 +386,7 @@ def test_quality_rules_by_text_votes(spark, docs):
     rows.append((-1, junk, "xx"))
 
     def judged(data):
-        found = quality_rules.quality_rules_by_text(
+        found = quality_rules.quality_rules(
             spark.createDataFrame(data, "doc_id bigint, text string, lang string").coalesce(1))
         return {r["id"]: (r["char_distance"], r["kept"]) for r in found.select(
             F.col("row.doc_id").alias("id"), "char_distance", "kept").collect()}

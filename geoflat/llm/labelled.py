@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StructField, StructType
 
+from .common import free_memory, texts_of
+
 #: At most so many labelled documents train a classifier: a bounded, documented sample, the
 #: lowest hashes of the ids, so it is the same in every run.
 TRAIN_ROWS = 12_000
@@ -70,13 +73,14 @@ def features_of_sample(docs: DataFrame, ids: DataFrame, featurize, id_col: str =
 
     def run(batches):
         for b in batches:
-            got = [featurize(t) for t in b.column(2).to_pylist()]
+            got = [featurize(t) for t in texts_of(b.column(2))]
             offsets = pa.array(np.cumsum([0, *(len(i) for i, _ in got)]), pa.int32())
             idx = np.concatenate([np.zeros(0, np.int32), *(i for i, _ in got)]).astype(np.int32)
             val = np.concatenate([np.zeros(0, np.float32), *(v for _, v in got)]).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(idx)),
                  pa.ListArray.from_arrays(offsets, pa.array(val))], schema=arrow)
+        free_memory()
 
     got = rows.mapInArrow(run, out).toArrow()
     got = got.take(pc.sort_indices(got.column("id"))).combine_chunks()
@@ -85,6 +89,20 @@ def features_of_sample(docs: DataFrame, ids: DataFrame, featurize, id_col: str =
                   lists.values.to_numpy(), values.values.to_numpy())
 
 
+def arrow_scores(texts: Column, of_text, done) -> Column:
+    """Scores from the logits that ``of_text`` gives, batch by batch; ``done`` runs after the last
+    one and frees what the worker no longer needs."""
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            z = np.fromiter(map(of_text, texts_of(batch)), dtype=np.float64, count=len(batch))
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        done()
+        free_memory()
+
+    return score(texts.cast("string"))
+
+
 def shift_to_threshold(z: np.ndarray, y: np.ndarray, threshold: float = 0.7) -> float:
     """Offset of the logit so that ``threshold`` on the probability is where the training
     sample's balanced error is least (the middle of that gap)."""

@@ -19,12 +19,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import Sample, features_of_sample, shift_to_threshold, training_ids
+from .labelled import Sample, arrow_scores, features_of_sample, shift_to_threshold, training_ids
 
 DIM_BITS = 20
 DIM = 1 << DIM_BITS
@@ -60,6 +59,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget_words() -> None:
+    _WORDS.clear()
+
+
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a * _U(0x9E3779B97F4A7C15)) ^ (b + _U(0xC2B2AE3D27D4EB4F))
     x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
@@ -131,16 +134,12 @@ def scored(docs: DataFrame, model: FtrlModel, text_col: str = "text") -> "F.Colu
     w = model.weights(np.arange(DIM + 1)).astype(np.float32)
     shared = spark.sparkContext.broadcast((w[:DIM], float(w[DIM]) * 0.2 + model.shift))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def logit(text: str | None) -> float:
         weights, base = shared.value
-        z = np.empty(len(texts))
-        for k, t in enumerate(texts):
-            i, v = featurize(t)
-            z[k] = base + float(weights[i] @ v)
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        i, v = featurize(text)
+        return base + float(weights[i] @ v)
 
-    return score(F.col(text_col))
+    return arrow_scores(F.col(text_col), logit, forget_words)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -24,12 +24,15 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .labelled import Sample, features_of_sample, shift_to_threshold, training_ids
+from .common import texts_of
+from .labelled import Sample, arrow_scores, features_of_sample, shift_to_threshold, training_ids
 
 HASH_BITS = 31              # wide enough that words practically never share an entry
 THRESHOLD = 0.7
@@ -53,6 +56,7 @@ IDENTITY_TERMS = {
 }
 _GROUP = {t: k for k, ts in IDENTITY_TERMS.items() for t in ts}
 _TERM = re.compile(r"(?<!\w)(?:" + "|".join(sorted(_GROUP, key=len, reverse=True)) + r")(?!\w)", re.I)
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n", re.ASCII)
 _ENDS = ".,;:!?\"'()[]{}*#&$%|<>-_"
 
 
@@ -70,6 +74,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget_words() -> None:
+    _WORDS.clear()
+
+
 def entries_of(text: str | None) -> set[int]:
     """Hashes of the distinct words."""
     return set(map(_WORDS.__getitem__, set((text or "").encode("utf-8", "surrogatepass").split())))
@@ -82,6 +90,12 @@ def featurize(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return idx, np.ones(len(idx), np.float32)
 
 
+def sentence_of(text: str | None) -> str | None:
+    """The first sentence that names a group, else the first one, else None."""
+    parts = [p for p in _SENTENCE_END.split(text or "") if p]
+    return next((p for p in parts if _TERM.search(p)), parts[0] if parts else None)
+
+
 def counterfactuals(text: str, pick: int) -> list[tuple[str, str]]:
     """Pairs of sentences that should score alike. ``pick`` chooses terms, so results are
     the same in every run."""
@@ -194,15 +208,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = training_ids(labels, label_col, FOLDS, HELD_OUT, rows)
     sample = features_of_sample(docs, ids, featurize, id_col, text_col)
     some = ids.orderBy(F.xxhash64("t_id"), "t_id").limit(sentences)
-    sentence = F.split(F.col("text"), r"(?<=[.!?])\s+|\n")
-    line = F.get(F.filter(sentence, lambda s: s != ""), F.lit(0))
-    named = F.get(F.filter(sentence, lambda s: F.lower(s).rlike(_TERM.pattern)), F.lit(0))
     texts = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-             .join(F.broadcast(some), F.col("id") == F.col("t_id"))
-             .select("id", F.coalesce(named, line).alias("s"))
-             .where("s is not null").toPandas().sort_values(["id", "s"]))
+             .join(F.broadcast(some), F.col("id") == F.col("t_id")).select("id", "text"))
+    found = StructType([texts.schema["id"], StructField("s", StringType())])
+    arrow = to_arrow_schema(found)
+
+    def pick(batches):  # in Python, so that only texts of the sample are split
+        for b in batches:
+            picked = pa.array([sentence_of(t) for t in texts_of(b.column(1))], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), picked], schema=arrow)
+
+    sentences_ = texts.mapInArrow(pick, found).where("s is not null").toPandas().sort_values(["id", "s"])
     pairs = []
-    for k, s in enumerate(texts["s"]):
+    for k, s in enumerate(sentences_["s"]):
         for a, b in counterfactuals(s, k):
             fa, fb = featurize(a)[0], featurize(b)[0]
             pairs.append((np.setdiff1d(fa, fb), np.setdiff1d(fb, fa)))
@@ -214,11 +232,8 @@ def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text"):
     shared = docs.sparkSession.sparkContext.broadcast(
         (dict(zip(model.kept.tolist(), model.weights.tolist(), strict=True)), model.bias))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def logit(text: str | None) -> float:
         weights, base = shared.value
-        z = np.array([base + sum(weights[h] for h in sorted(weights.keys() & entries_of(t)))
-                      for t in texts], dtype=np.float64)
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        return base + sum(weights[h] for h in sorted(weights.keys() & entries_of(text)))
 
-    return score(F.col(text_col))
+    return arrow_scores(F.col(text_col), logit, forget_words)

@@ -12,8 +12,8 @@
 4. Every row is projected in Spark; the covariance of the whitened fit list is measured as well.
 
 Defined cases: the dimension is that of most rows (the larger one on a tie); rows of another
-dimension are dropped like null vectors. Components with the eigenvalue 0 are not returned, so one
-distinct vector, equal vectors and an empty table give no rows. Repeated rows and rows with null
+dimension are dropped like null vectors. Components with the eigenvalue 0 (to the rounding of the
+largest one) are not returned, so one distinct vector, equal vectors and an empty table give no rows. Repeated rows and rows with null
 or equal ids are returned one by one. ``deviation`` is null where it needs more than 64 bits. Of the
 other columns none is read, so none can clash.
 """

@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from geoflat.llm import (bfd_pack, content_sort, crf_extract, labelled, minhash_oph, pareto_mix,
-                         pattern_pack, quality_ftrl, quality_rules, tokens, toxicity_cf, warc_merkle)
+from geoflat.llm import (bfd_pack, content_sort, crf_extract, labelled, license_scan, minhash_oph,
+                         pareto_mix, pattern_pack, quality_ftrl, quality_rules, tokens, toxicity_cf,
+                         turn_repair, warc_merkle, whitening)
 from geoflat.llm.common import ship_package, table, word_count
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -100,6 +101,27 @@ def test_near_duplicates_edges(edge):
     assert minhash_oph.near_duplicates(edge).count() == edge.count()
 
 
+def test_near_duplicates_tell_rows_apart_by_place(spark):
+    """Repeated ids with different texts, null ids and text ids, against brute force over rows."""
+    a = ["a%d" % k for k in range(100)]
+    b = a[:80]                       # 77 of the 97 shingles of a: not linked
+    x = a[:92] + ["x%d" % k for k in range(4)]
+    n = ["n%d" % k for k in range(60)]
+    rows = [(1, a), (1, b), (2, x), (None, n), (None, n + ["end"]), (None, n), (7, b + ["t"]), (None, a[:50]), (8, ["q"]), (8, ["q"])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    groups = brute_near(list(enumerate(t for _, t in rows)))
+    for kind, name in (("bigint", int), ("string", lambda v: f"d{v}")):
+        data = [(None if i is None else name(i), t) for i, t in rows]
+        df = spark.createDataFrame(data, f"doc_id {kind}, text string").coalesce(1)
+        got = minhash_oph.near_duplicates(df).collect()
+        want = []
+        for k, (i, t) in enumerate(data):
+            ids = [data[j][0] for j in range(len(data)) if groups[j][1] == groups[k][1]]
+            want.append((i, groups[k][0], min((v for v in ids if v is not None), default=None)))
+        assert sorted(map(str, want)) == sorted(str((r["id"], r["n_shingles"], r["component_id"])) for r in got)
+        assert sum(r["stays"] for r in got) == len({g[1] for g in groups.values()})
+
+
 def test_near_duplicates_mixed_group(spark):
     """A group whose members are partly below the limit: stars alone would lose links."""
     rng = random.Random(11)
@@ -414,3 +436,233 @@ def test_pipeline_stages(spark, edge):
     assert c.STAGES[-1][1](spark, docs, SF_SMALL).count() >= docs.count()
     final = c.run(spark, SF_SMALL)
     assert final.count() > 0 and final.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+# ------------------------------------------------------------------ license scans
+def license_words(text):
+    t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+
+
+def test_license_base_places_by_brute_force(spark, edge):
+    phrases = {tuple(p.split()): label for p, label in license_scan.PHRASES.items()}
+    notice = next(w for label, w in license_scan.NOTICES if label == "isc")
+    more = [(50, "Released under the MIT-License; under the mit\nLICENSE!"), (51, "CC BY-NC 4.0. Apache License, Version 2.0"),
+            (52, "under the mit"), (53, "cc by cc by nc by nc"), (53, "cc by cc by nc by nc"), (54, notice),
+            (55, "é under the MIT license ü" + " word" * 30000 + " cc by nc"), (56, "under the\x00mit license")]
+    df = edge.unionByName(spark.createDataFrame([(i, t, None, None, None, "r", 7, 0) for i, t in more], SCHEMA))
+    got = license_scan.license_scan(df).collect()
+    assert len(got) == df.count()
+    texts = {}
+    for r in df.collect():
+        texts.setdefault((r["doc_id"], r["kept"], r["size"]), []).append(r["text"])
+    for r in got:
+        assert set(r["row"].asDict()) == {"doc_id", "lang", "source", "n_chars", "row", "size", "kept"}
+        words = license_words(texts[r["row"]["doc_id"], r["row"]["kept"], r["row"]["size"]][0])
+        places = [(k, label) for p, label in phrases.items() for k in range(len(words)) if tuple(words[k:k + len(p)]) == p]
+        at = [k for k, _ in places]
+        assert (r["n_words"], r["n_base"]) == (len(words), len(places))
+        assert (r["first_word"], r["last_word"]) == (min(at, default=None), max(at, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
+        assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) | {""}
+        assert 0 <= r["score"] <= 1 and (r["score"] == 1 if places else True)
+    assert license_scan.license_scan(edge.limit(0)).count() == 0
+
+
+def test_license_notices_survive_edits_and_rivals(spark):
+    by = {label: w for label, w in license_scan.NOTICES if len(w) > 150}
+    cut = by["isc"].split()
+    edited = " ".join([*cut[:12], "quite", "new", *cut[12:20], *cut[22:]])
+    rows = [(1, "Hello. " + by["apache-2"] + " Bye."), (2, edited), (3, " ".join(cut[: len(cut) // 3])),
+            (4, "licensed under the GNU Lesser General Public License, version 3"),
+            (5, "This work is licensed under the GNU General Public License, version 3."),
+            (6, by["bsd-3-clause"] + " and then " + by["isc"]), (7, "the software is here and the law is there"),
+            (8, " ".join(sorted(cut)))]
+    got = {r["row"]["doc_id"]: r for r in license_scan.license_scan(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[k]["labels"] for k in range(1, 9)] == [
+        "apache-2", "isc", "", "lgpl-3", "gpl-3", "bsd-3-clause,isc", "", ""]
+    assert got[2]["score"] < 1 and 0 < got[3]["score"] < license_scan.MIN_SHARE and got[7]["score"] < 0.2
+    span = got[1]["spans"][0]
+    assert (span["label"], span["first_word"], span["share"]) == ("apache-2", 1, 1.0)
+    with pytest.raises(ValueError):
+        license_scan.template_grams({"two words": "x"}, [])
+
+
+# ------------------------------------------------------------------ conversation repair
+def brute_repair(turns):
+    """(cost, audit) of the cheapest edits, by trying every edit at every turn."""
+    import functools
+    seen, faults = set(), []
+    for role, text in turns:
+        body = text.strip(" \t\n\r\x0b\x0c")
+        faults.append(1 if not body else 2 if (role, text) in seen else 3 if body[-1] not in ".!?" else 0)
+        seen.add((role, text))
+
+    def after(state, initial):
+        return {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}.get((state, initial))
+
+    @functools.lru_cache(None)
+    def best(i, state, inserted):
+        ways = []
+        if i == len(turns):
+            if state in ("", "a"):
+                ways.append((0, ""))
+        else:
+            cost, audit = best(i + 1, state, 0)
+            ways.append((4 + cost, "D" + audit))
+            if faults[i] in (0, 3):
+                more = 3 if faults[i] == 3 else 0
+                for letter, price, initial in (("K", 0, turns[i][0][:1]), ("R", 3, "u"), ("R", 3, "a")):
+                    to = after(state, initial)
+                    if to is not None:
+                        cost, audit = best(i + 1, to, 0)
+                        ways.append((price + more + cost, letter + audit))
+        if inserted < 3:
+            for initial in "ua":
+                to = after(state, initial)
+                if to is not None:
+                    cost, audit = best(i, to, inserted + 1)
+                    ways.append((3 + cost, "I" + audit))
+        return min(ways, default=(10 ** 9, ""))
+
+    return best(0, "", 0), faults
+
+
+def test_turn_repair_by_brute_force(spark, monkeypatch):
+    import hashlib
+    import sys
+    sys.setrecursionlimit(20_000)
+    rng = random.Random(6)
+    roles = ["user", "assistant", "system", "user", "assistant", "tool", "", None, "umpire"]
+    said = ["Yes.", "No", "Why?", "", " \n", None, "so it is.", "end! ", "x . y"]
+    rows = [(c if c else None, rng.choice([k, k, None, 3]), rng.choice(roles), rng.choice(said))
+            for c in range(60) for k in range(rng.randrange(12))]
+    rows += [(777, k // 2, rng.choice(roles[:3]), f"t{rng.randrange(150)}" + rng.choice([".", ""])) for k in range(700)]
+    rows += [(888, None, "user", "same.")] * 300
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("at", F.lit("clash"))
+    want = {}
+    clean = [(c, t, " " if r is None else r, " " if x is None else x) for c, t, r, x in rows]
+    for c in {r[0] for r in clean}:
+        turns = sorted((r for r in clean if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        (cost, audit), faults = brute_repair([r[2:] for r in turns])
+        out, state, i = [], "", 0
+        for letter in audit:
+            if letter in "KRI":
+                role = turns[i][2] if letter == "K" else "assistant" if state == "u" else "user"
+                out.append(role + ":" + ("" if letter == "I" else turns[i][3]))
+                state = role[:1]
+            i += letter != "I"
+        numbers = [r[1] for r in turns if r[1] is not None]
+        initials = [r[2][:1] for r in turns]
+        want[c] = (max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0, faults.count(1), faults.count(2),
+                   faults.count(3), sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False)),
+                   cost, audit, hashlib.sha256("\n".join(out).encode()).hexdigest())
+    for bits in (turn_repair.BLOCK_BITS, 4):  # with small blocks most conversations cross some
+        monkeypatch.setattr(turn_repair, "BLOCK_BITS", bits)
+        edits, summary = turn_repair.repair(df)
+        got = {r[0]: tuple(r)[1:] for r in summary.collect()}
+        assert got == want, bits
+    said = {}
+    for r in edits.where("action <> ''").orderBy("block", "place").collect():
+        said.setdefault(r["conv"], []).append(r)
+    for c, w in want.items():
+        assert "".join(r["action"] for r in said.get(c, [])) == w[6] and sum(r["cost"] for r in said.get(c, [])) == w[5]
+        turns = [f"{r['role']}:{r['text']}" for r in said.get(c, []) if r["role"] is not None]
+        assert hashlib.sha256("\n".join(turns).encode()).hexdigest() == w[7]
+
+
+def test_turn_repair_lost_and_empty(spark):
+    import hashlib
+    schema = "conv_id bigint, turn bigint, role string, text string, lost boolean"
+    df = spark.createDataFrame([(1, 0, "user", "a.", True), (2, 0, "user", "b.", False), (2, 1, "assistant", "c.", False)], schema)
+    _, summary = turn_repair.repair(df, lost=F.col("lost"))
+    got = {r["conv"]: tuple(r)[1:] for r in summary.collect()}
+    assert got[1] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()) and got[2][6] == "KK"
+    assert turn_repair.repair(df.limit(0), lost=F.col("lost"))[1].count() == 0
+
+
+def test_least_paths_over_nodes_equal_greedy_walk():
+    rng = np.random.default_rng(5)
+    kinds = rng.integers(0, 16, 300)
+    first = np.array([0, 0, 1, 40, 300])
+    p = turn_repair.LeastPaths(kinds, first, np.tile(turn_repair._END, (4, 1)), np.ones(4, dtype=bool))
+    path, arc = p.paths(np.arange(4), np.zeros(4, dtype=np.int64))
+    for b in range(4):
+        node, walk = 4 * p.start[b], []
+        while (out := np.flatnonzero(p.node == node)).size:
+            step = out[np.argmin(p.letter[out])]
+            walk.append(step)
+            node = p.to[step]
+        assert arc[path == b].tolist() == walk
+    # ranks are those of whole audits
+    strings = []
+    for a in range(p.none):
+        text, at = "", a
+        while True:
+            text += "DIKR"[p.letter[at]]
+            out = np.flatnonzero(p.node == p.to[at])
+            if not out.size:
+                break
+            at = out[np.argmin(p.letter[out])]
+        strings.append(text)
+    some = rng.choice(p.none, 200, replace=False)
+    for x, y in itertools.pairwise(some):
+        assert (strings[x] < strings[y]) == (p.rank[x] < p.rank[y]) and (strings[x] == strings[y]) == (p.rank[x] == p.rank[y])
+
+
+# ------------------------------------------------------------------ whitening
+def test_whitening_equals_eigh(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 7)) * [3, 2, 1, 1, 0.5, 0.1, 0] + 5
+    x[:, 6] = x[:, 0] - x[:, 1]  # rank deficient after rounding, almost
+    data = [(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(k, [float(v) for v in x[0]]) for k in range(900, 950)]
+    bad = [(1000, None), (1001, [1.0, None, *[0.0] * 5]), (1002, [float("nan")] * 7), (1003, [1.0, 2.0]), (None, [float("inf")] * 7), (1004, [])]
+    df = spark.createDataFrame([(i, v, 1, "n") for i, v in data + bad], "vec_id bigint, embedding array<double>, n int, row string")
+    got = whitening.whiten(df)
+    rows = got.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error").collect()
+    whole = np.array([[np.floor(256 * v) for v in r] for _, r in data], dtype=np.int64)
+    fit = np.unique(whole, axis=0)
+    n, s = len(fit), fit.sum(0)
+    c = fit - s / n
+    v = c.T @ c / n
+    e, w = np.linalg.eigh(v)
+    e, w = e[::-1], w[:, ::-1]
+    assert len(rows) == 4 * len(data) and {r["n"] for r in rows} == {n}
+    at = {i: k for k, (i, _) in enumerate(data)}
+    for comp in range(1, 5):
+        mine = [r for r in rows if r["component"] == comp]
+        ref = np.array([(whole[at[r["vec_id"]]] - s / n) @ w[:, comp - 1] / np.sqrt(e[comp - 1]) for r in mine])
+        out = np.array([r["whitened"] for r in mine])
+        assert min(np.abs(out - ref).max(), np.abs(out + ref).max()) < 1e-9
+        assert all(abs(r["explained"] - e[comp - 1] / v.trace()) < 1e-12 for r in mine)
+        assert all(r["deviation"] == int(((n * whole[at[r["vec_id"]]] - s) ** 2).sum()) for r in mine)
+    assert {r["identity_error"] for r in rows} == {rows[0]["identity_error"]} and rows[0]["identity_error"] < 1e-9
+
+
+def test_whitening_edges(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    one = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], schema)
+    assert whitening.whiten(one).count() == 0 and whitening.whiten(one.limit(0)).count() == 0
+    line = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 6.0]), (2, [3.0, 6.0])], schema)
+    got = whitening.whiten(line).collect()
+    assert len(got) == 3 and {r["component"] for r in got} == {1} and {abs(r["whitened"]) for r in got} == {1.0}
+    big = spark.createDataFrame([(1, [1e13, 0.0]), (2, [-1e13, 1.0]), (3, [0.5, 0.25])], "vec_id bigint, embedding array<double>")
+    got = whitening.whiten(big).collect()
+    # the second eigenvalue is lost in the rounding of the first
+    assert len(got) == 3 and all(r["deviation"] is None for r in got if r["row"]["vec_id"] < 3)
+    assert next(r["deviation"] for r in got if r["row"]["vec_id"] == 3) == (3 * 128 - 128) ** 2 + (3 * 64 - 320) ** 2
+    assert got[0]["identity_error"] < 1e-6
+
+
+def test_jacobi_on_the_cholesky_factor():
+    rng = np.random.default_rng(9)
+    for d, rank in ((1, 1), (5, 5), (8, 3), (33, 33)):
+        f = rng.normal(size=(d, rank)) * np.logspace(0, -6, rank)
+        a = f @ f.T
+        low = whitening.pivoted_cholesky(a)
+        assert low.shape[1] <= d and np.allclose(low @ low.T, a, atol=1e-12)
+        u, e = whitening.one_sided_jacobi(low)
+        ref = np.sort(np.linalg.svd(f, compute_uv=False) ** 2)[::-1]
+        assert np.allclose(e[:3], ref[:len(e)][:3], rtol=1e-10) and np.allclose(u.T @ u, np.eye(len(e)), atol=1e-8)
+    assert whitening.pivoted_cholesky(np.zeros((4, 4))).shape == (4, 0)

@@ -34,12 +34,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the smallest id. Ids are unique here
-    unless the input repeats them; rows that share an id then share its fate."""
+    """One document of each component of near copies: the one of the smallest id, ids before
+    nulls. Rows are told apart by id and text; rows equal in both are exact copies, which the
+    stage before has merged."""
     ship_package(spark)
-    gone = minhash_oph.near_duplicates(docs).where(
-        ~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    gone = minhash_oph.near_duplicates(docs).where("not stays").select(
+        F.col("id").alias("g_id"), F.col("text_key").alias("g_key")).distinct()
+    text_key = F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["g_id"]) & (text_key == gone["g_key"]), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,9 +26,11 @@ small-star steps on checkpointed links.
 
 Defined cases: null, empty and blank texts have the empty set, link with nothing and form
 components of their own (``component_id`` is their own id). A text with fewer words than a
-shingle has its whole word sequence as the only shingle. Rows with equal ids are one node.
-A null id is never the smallest; rows with null ids and words share a component with rows
-that link to them. An empty table gives an empty result.
+shingle has its whole word sequence as the only shingle. Rows are told apart by their place, so
+rows with equal or null ids are compared like all others; ids may be of any type that has an
+order. A null id is never the smallest: ``component_id`` is null only where all ids are. Other
+columns are not read, so none can clash. Very long texts cost memory in proportion to their
+words, one at a time. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import (ArrayType, BinaryType, LongType, StructField, StructType)
 
 from ..session import cut_lineage
+from .common import free_memory, texts_of
 
 SHINGLE_WORDS = 4
 BANDS, BAND_ROWS = 32, 5
@@ -142,7 +145,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 def _sign(batches, k: int, schema: pa.Schema):
     for batch in batches:
         n, digest, keys, lengths = [], [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in texts_of(batch.column(2)):
             s = shingle_set(text, k)
             n.append(len(s))
             digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -151,23 +154,28 @@ def _sign(batches, k: int, schema: pa.Schema):
         flat = np.concatenate([np.zeros(0, dtype=np.int64), *keys])
         offsets = pa.array(np.cumsum([0, *lengths]), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
              pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], schema=schema)
+    _WORDS.clear()
+    free_memory()
 
 
 def _sets(batches, k: int, schema: pa.Schema):
     for batch in batches:
-        sets = [shingle_set(t, k).view(np.int64) for t in batch.column(1).to_pylist()]
+        sets = [shingle_set(t, k).view(np.int64) for t in texts_of(batch.column(1))]
         offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
         flat = np.concatenate([np.zeros(0, dtype=np.int64), *sets])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))],
             schema=schema)
+    _WORDS.clear()
+    free_memory()
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """``id, n_shingles, digest`` (of the set, null if empty) and ``bands`` from ``id, text``."""
-    out = StructType([docs.schema["id"], StructField("n_shingles", LongType()),
+    """``id, text_key, n_shingles, digest`` (of the set, null if empty) and ``bands`` from ``id,
+    text_key, text``."""
+    out = StructType([docs.schema["id"], docs.schema["text_key"], StructField("n_shingles", LongType()),
                       StructField("digest", BinaryType()),
                       StructField("bands", ArrayType(LongType()))])
     arrow = to_arrow_schema(out)
@@ -299,8 +307,8 @@ def _cluster_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     clusters = components(near.union(first.select("a", F.col("a").alias("b"))))
     rows = members.select("id", "component").distinct().join(
         clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id", "left")
-    rows = rows.withColumn("cluster", F.coalesce("cluster", "id")).join(
-        sets.dropDuplicates(["id"]), "id").withColumn("n", F.size("shingles"))
+    rows = rows.withColumn("cluster", F.coalesce("cluster", "id")).join(sets, "id").withColumn(
+        "n", F.size("shingles"))
     rows = cut_lineage(rows)
     sums = rows.groupBy("cluster", "component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     total = sums.groupBy("cluster").agg(
@@ -333,34 +341,47 @@ def _cluster_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
         lambda pdf: _block_links(pdf, percent), "a bigint, b bigint")
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, text_key`` (of the whole text) and ``text``: the first two say which row is meant."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.md5(F.coalesce(text, F.lit(""))).alias("text_key"),
+                       text.alias("text"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: ``id, n_shingles, component_id``."""
-    narrow = docs.select(F.col(f"`{id_col}`").alias("id"),
-                         F.col(f"`{text_col}`").cast("string").alias("text"))
-    sign = cut_lineage(signed(narrow, k))
-    rows = sign.select("id", "n_shingles", "digest")
-    classes = cut_lineage(rows.where("digest is not null and id is not null").groupBy("digest").agg(
-        F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles")))
-    reps = sign.where("digest is not null").join(
-        classes.select(F.col("id").alias("c_id"), F.col("digest").alias("c_digest")),
-        (F.col("id") == F.col("c_id")) & (F.col("digest") == F.col("c_digest")), "left_semi") \
-        .dropDuplicates(["id", "digest"])
-    banded = cut_lineage(reps.select("id", F.explode("bands").alias("bucket")))
+    """One row per input row: ``id, n_shingles, component_id``, and ``text_key, stays``: of each
+    component the row of least id stays (ids before nulls)."""
+    narrow = keyed(docs, id_col, text_col)
+    sign = cut_lineage(signed(narrow, k).withColumn("at", F.monotonically_increasing_id()))
+    rows = sign.select("id", "text_key", "n_shingles", "digest", "at")
+    # equal sets are one node from here on, named by the place of one of its rows
+    classes = cut_lineage(rows.where("digest is not null").groupBy("digest").agg(
+        F.min("at").alias("node"), F.max("n_shingles").alias("n_shingles"),
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("low")))
+    reps = sign.join(classes.select("node"), F.col("at") == F.col("node"))
+    banded = cut_lineage(reps.select(F.col("node").alias("id"), F.explode("bands").alias("bucket")))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     banded = cut_lineage(banded.join(shared, "bucket"))
     degree = banded.groupBy("id").agg(F.sum("members").alias("degree"))
     banded = cut_lineage(banded.join(degree, "id"))
 
-    wanted = banded.select("id").distinct()
-    sets = cut_lineage(shingle_sets(narrow.join(wanted, "id", "left_semi"), k))
+    wanted = rows.join(banded.select(F.col("id").alias("node")).distinct(), F.col("at") == F.col("node")).select(
+        "node", F.col("id").alias("w_id"), F.col("text_key").alias("w_key"))
+    same = (F.col("text_key") == F.col("w_key")) & F.col("id").eqNullSafe(F.col("w_id"))
+    texts = narrow.join(wanted, same).select(F.col("node").alias("id"), "text")
+    sets = cut_lineage(shingle_sets(texts, k).dropDuplicates(["id"]))  # repeated rows give one set
     members = banded.withColumn("component", F.col("id"))
-    links = cut_lineage(_confirmed(_star(members), sets, classes, percent))
+    sizes = classes.select(F.col("node").alias("id"), "n_shingles")
+    links = cut_lineage(_confirmed(_star(members), sets, sizes, percent))
     members = cut_lineage(_mixed(_with_components(members, links)))
     links = cut_lineage(links.union(_cluster_links(members, sets, percent)))
-    final = components(links)
-    class_of = classes.select(F.col("digest").alias("c_digest"), F.col("id").alias("rep"))
-    out = rows.join(class_of, F.col("digest") == F.col("c_digest"), "left").join(
-        final, F.col("rep") == F.col("node"), "left")
-    return out.select("id", "n_shingles",
-                      F.coalesce("component", "rep", "id").alias("component_id"))
+    final = components(links).withColumnRenamed("node", "f_node")
+    placed = classes.join(final, F.col("node") == F.col("f_node"), "left").select(
+        F.col("digest").alias("c_digest"), F.coalesce("component", "node").alias("component"), "low")
+    lows = placed.groupBy(F.col("component").alias("l_component")).agg(F.min("low").alias("first"))
+    class_of = placed.join(lows, F.col("component") == F.col("l_component")).select("c_digest", "first")
+    out = rows.join(class_of, F.col("digest") == F.col("c_digest"), "left")
+    return out.select(
+        "id", "n_shingles", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
+        "text_key", (F.col("first").isNull() | (F.col("at") == F.col("first.at"))).alias("stays"))

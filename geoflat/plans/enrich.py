@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import center_distance_km, walk_minutes
-from ..functions.numeric import rint_dp
-from ..operators.projection import provenance
+from ..functions.numeric import metro_near_flag, rint_dp
+from ..operators.projection import address_fill, provenance
 from ..operators.spatial import nearest_one, nearest_per_category, point_to_polyline
 from ..sources.dims import stations_dim
 
@@ -19,7 +19,9 @@ POI_OUT = {c: f"distance_to_{c}_km" for c in POI_TYPES}
 
 def enrich_listings(listings: DataFrame, stations_raw: DataFrame, poi: DataFrame,
                     ring_segments: DataFrame, nn_form: str | None = None,
-                    ring_crs: str = "utm37") -> DataFrame:
+                    ring_crs: str = "utm37", gazetteer: DataFrame | None = None) -> DataFrame:
+    """``gazetteer`` (latitude, longitude, address) fills empty addresses by coordinates (B13);
+    without one they stay empty."""
     df = listings
     for c in ("address", "metro"):
         if c not in df.columns:
@@ -30,6 +32,8 @@ def enrich_listings(listings: DataFrame, stations_raw: DataFrame, poi: DataFrame
     st = stations_dim(stations_raw, extra=["station_ord"])
     df = nearest_one(df, st, out="_st", dim_ord="station_ord", dim_name="metro", force=nn_form)
     df = df.withColumns(provenance(has_geo, F.col("address"), F.col("metro")))
+    if gazetteer is not None:
+        df = address_fill(df, gazetteer)
     df = df.withColumns({
         "metro": F.when(has_geo, F.col("_st")["name"]).otherwise(F.col("metro")),
         "metro_walk_min": F.when(has_geo, walk_minutes(F.col("_st")["dist"]))
@@ -43,3 +47,10 @@ def enrich_listings(listings: DataFrame, stations_raw: DataFrame, poi: DataFrame
     df = df.withColumn("distance_to_mkad_km", rint_dp(F.col("_ring"), 2)).drop("_ring")
     df = nearest_per_category(df, poi, "poi_type", POI_TYPES, POI_OUT, force=nn_form)
     return df.withColumns({c: rint_dp(F.col(c), 2) for c in POI_OUT.values()})
+
+
+def reenrich(synthetic: DataFrame, *dims: DataFrame, **kw) -> DataFrame:
+    """Synthetic rows without coordinates dropped, all geography computed again, and the flag
+    of a near station with it."""
+    rows = synthetic.na.drop(subset=["latitude", "longitude"])
+    return enrich_listings(rows, *dims, **kw).withColumn("has_metro_near", metro_near_flag("metro_walk_min"))

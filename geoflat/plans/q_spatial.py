@@ -35,10 +35,27 @@ def stations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.stations(spark, sf_dir).withColumnRenamed("metro", "name")
 
 
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses by coordinates, from the listings that state their storeys."""
+    l = X.listings(spark, sf_dir).where(F.col("floors_total").isNotNull())
+    return l.select("latitude", "longitude", F.concat(
+        F.lit("Москва, ул. Тестовая, "), F.col("floors_total").cast("string")).alias("address"))
+
+
+GAZETTEER_SQL = """g AS (SELECT floor(latitude * 1000.0) AS glat, floor(longitude * 1000.0) AS glon,
+       min('Москва, ул. Тестовая, ' || CAST(floors_total AS VARCHAR)) AS gaddr
+     FROM listings WHERE floors_total IS NOT NULL GROUP BY 1, 2)"""
+
+
+def geo_dims(spark: SparkSession, sf_dir: str) -> tuple[tuple, dict]:
+    """Arguments of the enrichment."""
+    return ((stations_raw(spark, sf_dir), poi_dim(X.poi(spark, sf_dir)), X.ring_segments(spark, sf_dir)),
+            {"gazetteer": gazetteer(spark, sf_dir)})
+
+
 def enriched(spark: SparkSession, sf_dir: str, nn_form: str | None = None) -> DataFrame:
-    return enrich_listings(X.listings(spark, sf_dir), stations_raw(spark, sf_dir),
-                           poi_dim(X.poi(spark, sf_dir)), X.ring_segments(spark, sf_dir),
-                           nn_form=nn_form)
+    dims, kw = geo_dims(spark, sf_dir)
+    return enrich_listings(X.listings(spark, sf_dir), *dims, nn_form=nn_form, **kw)
 
 
 # ------------------------------------------------------------------ scalar geodesy
@@ -339,31 +356,42 @@ def q_point_to_long_polyline(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ enrichment stage
-def _enriched_sql_ctes() -> str:
+def geo_ctes(src: str) -> str:
+    """CTE ``geo``: what the enrichment adds to the rows of ``src`` (with coordinates, ids unique)."""
     px, py = utm37_sql("l.latitude", "l.longitude")
     x1, y1 = utm37_sql("r.lat1", "r.lon1")
     x2, y2 = utm37_sql("r.lat2", "r.lon2")
     poi_cols = ", ".join(f"round_even(min({HAV_LP}) FILTER (WHERE p.poi_type = '{c}'), 2) "
                          f"AS {POI_OUT[c]}" for c in POI_TYPES)
-    return (oracle_with("listings", "stations", "poi", "ring") + f"""
-, st AS (SELECT * FROM stations WHERE city_id = 1),
-nn AS (SELECT l.listing_id, s.metro, {HAV_LS} AS km FROM listings l, st s
+    return f"""
+geo_st AS (SELECT * FROM stations WHERE city_id = 1),
+geo_nn AS (SELECT l.listing_id, s.metro, {HAV_LS} AS km FROM {src} l, geo_st s
        QUALIFY row_number() OVER (PARTITION BY l.listing_id ORDER BY km, s.station_ord) = 1),
-lp AS (SELECT listing_id, {px} AS px, {py} AS py FROM listings l),
-rs AS (SELECT {x1} AS x1, {y1} AS y1, {x2} AS x2, {y2} AS y2 FROM ring_seg r),
-rd AS (SELECT listing_id, round_even(min({seg_dist_sql('px', 'py', 'x1', 'y1', 'x2', 'y2')}) / 1000, 2)
-       AS distance_to_mkad_km FROM lp, rs GROUP BY listing_id),
-pd AS (SELECT l.listing_id, {poi_cols} FROM listings l, poi p GROUP BY l.listing_id),
-enriched AS (
-  SELECT l.*, CAST(NULL AS VARCHAR) AS address, nn.metro,
-         CAST(round_even(nn.km * 12, 0) AS INTEGER) AS metro_walk_min,
+geo_lp AS (SELECT listing_id, {px} AS px, {py} AS py FROM {src} l),
+geo_rs AS (SELECT {x1} AS x1, {y1} AS y1, {x2} AS x2, {y2} AS y2 FROM ring_seg r),
+geo_rd AS (SELECT listing_id, round_even(min({seg_dist_sql('px', 'py', 'x1', 'y1', 'x2', 'y2')}) / 1000, 2)
+       AS distance_to_mkad_km FROM geo_lp, geo_rs GROUP BY listing_id),
+geo_pd AS (SELECT l.listing_id, {poi_cols} FROM {src} l, poi p GROUP BY l.listing_id),
+{GAZETTEER_SQL},
+geo AS (
+  SELECT l.listing_id, g.gaddr AS address, geo_nn.metro,
+         CAST(round_even(geo_nn.km * 12, 0) AS INTEGER) AS metro_walk_min,
          'geo' AS address_source, 'geo_recomputed' AS metro_source,
-         round_even(nn.km, 2) AS metro_distance_km,
+         round_even(geo_nn.km, 2) AS metro_distance_km,
          round_even({center_sql('l.latitude', 'l.longitude')}, 2) AS distance_to_center_km,
-         rd.distance_to_mkad_km, {", ".join(f"pd.{c}" for c in POI_OUT.values())}
-  FROM listings l JOIN nn USING (listing_id) JOIN rd USING (listing_id)
-       JOIN pd USING (listing_id)
-)""")
+         geo_rd.distance_to_mkad_km, {", ".join(f"geo_pd.{c}" for c in POI_OUT.values())}
+  FROM {src} l JOIN geo_nn USING (listing_id) JOIN geo_rd USING (listing_id) JOIN geo_pd USING (listing_id)
+       LEFT JOIN g ON g.glat = floor(l.latitude * 1000.0) AND g.glon = floor(l.longitude * 1000.0)
+)"""
+
+
+GEO_COLS = ["address", "metro", "metro_walk_min", "address_source", "metro_source", "metro_distance_km",
+            "distance_to_center_km", "distance_to_mkad_km", *POI_OUT.values()]
+
+
+def _enriched_sql_ctes() -> str:
+    return (oracle_with("listings", "stations", "poi", "ring") + ", " + geo_ctes("listings").strip()
+            + ", enriched AS (SELECT l.*, geo.* EXCLUDE (listing_id) FROM listings l JOIN geo USING (listing_id))")
 
 
 @query("enriched_listings", sql=_enriched_sql_ctes() + " SELECT * FROM enriched")

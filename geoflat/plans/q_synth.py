@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import metro_near_flag
 from ..functions.rand import (hash_beta22_sql, hash_normal_sql, hash_u64_sql,
                               hash_uniform_sql)
 from ..operators import stats as S
@@ -14,10 +15,10 @@ from ..operators.projection import nullify_geo
 from ..sources import fixtures as X
 from ..sources.fixtures import oracle_with
 from .catalog import query, rnd, sig, sig_sql
-from .enrich import enrich_listings
+from .enrich import enrich_listings, reenrich
 from .oracle_sql import with_cleaned
 from .q_clean import clustered_clean
-from .q_spatial import stations_raw
+from .q_spatial import GEO_COLS, geo_ctes, geo_dims
 from .q_stats import CLEAN_NUM
 
 CL = "geo_generation_cluster"
@@ -288,29 +289,37 @@ def q_augment_noisy_copies(spark, sf_dir):
                       sig("area_total", 10).alias("area_total"))
 
 
-@query("reenrich_synthetic")
+_GEO_DIMS_SQL = oracle_with("stations", "poi", "ring").strip().removeprefix("WITH ")
+_NEAR_SQL = "CAST(metro_walk_min <= 15 AS INTEGER) AS has_metro_near"
+_STACK = ["listing_id", "price", "area_total", CL, "is_synthetic", "generation_method"]
+
+
+@query("reenrich_synthetic", sql=SYNTH_SQL + ", " + _GEO_DIMS_SQL + ", " + geo_ctes("synthetic").strip() + f"""
+SELECT listing_id, {", ".join(GEO_COLS)}, {_NEAR_SQL} FROM geo""")
 def q_reenrich_synthetic(spark, sf_dir):
-    """Synthetic rows without coordinates dropped, then nearest station / POI,
-    centre and ring distances recomputed (rows-only check; the parts are checked by
-    nearest_one, nearest_per_category, point_to_polyline)."""
-    syn = J.synth_interpolate(train(spark, sf_dir)).na.drop(subset=["latitude", "longitude"])
-    from ..sources.dims import poi_dim
-    out = enrich_listings(syn, stations_raw(spark, sf_dir), poi_dim(X.poi(spark, sf_dir)),
-                          X.ring_segments(spark, sf_dir))
-    from ..functions.numeric import metro_near_flag
-    return out.withColumn("has_metro_near", metro_near_flag("metro_walk_min"))
-
-
-@query("final_augmented")
+    """Synthetic rows without coordinates dropped, then station, centre, ring and POI distances
+    and the address computed again, and the flag of a near station."""
+    dims, kw = geo_dims(spark, sf_dir)
+    out = reenrich(J.synth_interpolate(train(spark, sf_dir)), *dims, **kw)
+    return out.select("listing_id", *GEO_COLS, "has_metro_near")
+
+
+@query("final_augmented", sql=SYNTH_SQL + f""", stacked AS (
+  SELECT listing_id, price, area_total, {CL}, is_synthetic, generation_method, latitude, longitude FROM originals
+  UNION ALL SELECT listing_id, price, area_total, {CL}, is_synthetic, generation_method, latitude, longitude FROM synthetic), """
+       + _GEO_DIMS_SQL + ", " + geo_ctes("stacked").strip() + f"""
+SELECT listing_id, {sig_sql("price", 10)} AS price, {sig_sql("area_total", 10)} AS area_total, {CL}, is_synthetic,
+       generation_method, {", ".join(f"geo.{c}" for c in GEO_COLS)}, {_NEAR_SQL}
+FROM stacked JOIN geo USING (listing_id)""")
 def q_final_augmented(spark, sf_dir):
-    """Original training rows (enriched) stacked with the re-enriched synthetic rows."""
-    from ..sources.dims import poi_dim
-    tr = train(spark, sf_dir)
-    dims = (stations_raw(spark, sf_dir), poi_dim(X.poi(spark, sf_dir)),
-            X.ring_segments(spark, sf_dir))
-    orig = enrich_listings(J.mark_original(tr), *dims)
-    syn = enrich_listings(J.synth_interpolate(tr).na.drop(subset=["latitude", "longitude"]), *dims)
-    return orig.unionByName(syn, allowMissingColumns=True)
+    """The enriched training rows stacked with the re-enriched synthetic rows of J10."""
+    from ..session import cut_lineage
+    dims, kw = geo_dims(spark, sf_dir)
+    tr = cut_lineage(train(spark, sf_dir))
+    orig = enrich_listings(J.mark_original(tr), *dims, **kw).withColumn("has_metro_near", metro_near_flag("metro_walk_min"))
+    out = orig.unionByName(reenrich(J.synth_interpolate(tr), *dims, **kw), allowMissingColumns=True)
+    return out.select(*[sig(c, 10).alias(c) if c in ("price", "area_total") else F.col(c) for c in _STACK],
+                      *GEO_COLS, "has_metro_near")
 
 
 # ------------------------------------------------------------------ before / after checks

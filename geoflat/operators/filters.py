@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .projection import present
-from .ranks import exact_quantiles
+from .ranks import column_quantiles
 
 
 def drop_critical(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -93,10 +93,8 @@ def dup_counts(df: DataFrame, key: str = "link") -> DataFrame:
 def quantile_trim(df: DataFrame, cols: list[str], q: float = 0.99) -> DataFrame:
     """Keep rows whose value is <= the exact q-quantile of each column (NULL fails,
     as the pandas comparison does). The thresholds are one row -> broadcast join."""
-    th = None
-    for c in cols:
-        t = exact_quantiles(df, [], c, {f"_q_{c}": q})
-        th = t if th is None else th.crossJoin(t)
+    found = column_quantiles(df, [], cols, {"_q": q})
+    th = found.agg(*[F.max(F.when(F.col("_feature") == c, F.col("_q"))).alias(f"_q_{c}") for c in cols])
     out = df.crossJoin(F.broadcast(th))
     cond = F.lit(True)
     for c in cols:

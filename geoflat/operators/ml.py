@@ -15,7 +15,7 @@ from ..functions.numeric import (PRICE_BIN_LABELS, bin_cut, error_cols, inf_to_n
                                  ratio)
 from ..functions.text import walls_ru
 from ..session import cut_lineage
-from .ranks import exact_median
+from .ranks import column_quantiles
 
 # The seeds of the reference's 20 starts.
 KMEANS_SEEDS = tuple(range(42, 62))
@@ -152,9 +152,9 @@ def model_table(df: DataFrame, walls: str = "walls", leak: bool = False) -> Data
 
 def median_fill(df: DataFrame, cols: list[str]) -> DataFrame:
     """Nulls become the column's exact median over the whole table (one row, broadcast)."""
-    medians = [exact_median(df.select(F.col(c).cast("double").alias(c)), [], c, f"_m_{c}") for c in cols]
-    for m in medians:
-        df = df.crossJoin(F.broadcast(m))
+    found = column_quantiles(df, [], cols, {"_m": 0.5})
+    df = df.crossJoin(F.broadcast(found.agg(
+        *[F.max(F.when(F.col("_feature") == c, F.col("_m"))).alias(f"_m_{c}") for c in cols])))
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in cols}).drop(
         *[f"_m_{c}" for c in cols])
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import cut_lineage
+from ..session import bounded_row_count, cut_lineage
 
 
 def cumulative_counts(df: DataFrame, keys: list[str], value: str,
@@ -79,11 +79,113 @@ def select_ranks(df: DataFrame, keys: list[str], value: str,
         F.max("tot_n").alias("_n"))
 
 
+# A sketch places a rank within 1 / SKETCH of the rows; brackets reach twice as far.
+SKETCH = 5_000
+# Values between brackets, up to so many distinct ones, are ranked by one window.
+FEW_VALUES = 200_000
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str,
                     probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles (pandas ``quantile``, Spark ``percentile``,
     DuckDB ``quantile_cont``) per group, exact. Groups whose values are all NULL are
     absent - left-join from the group list where they must appear."""
+    return column_quantiles(df, keys, [value], probs).drop("_feature")
+
+
+def column_quantiles(df: DataFrame, keys: list[str], cols: list[str],
+                     probs: dict[str, float], sketch: int = SKETCH, cheap: bool = False) -> DataFrame:
+    """As ``exact_quantiles`` for many columns: rows ``keys, _feature`` (the column) and one column
+    per probability. No row is shuffled for it: a mergeable sketch per group and column brackets
+    every wanted rank; one scan counts the values below each bracket, another keeps the few values
+    inside; the ranks among those are exact. Should a sketch be wrong about a bracket, the ranks of
+    all values are taken instead. The keys and values are checkpointed first, as they are read three
+    times, unless ``df`` is ``cheap`` to read again."""
+    want = [(c, n, float(p)) for c in cols for n, p in probs.items()]
+    narrow = df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    narrow = narrow if cheap else cut_lineage(narrow)
+    at = {c: F.col(f"_v{i}") for i, c in enumerate(cols)}
+    edges = [x for p in probs.values() for x in (max(0.0, p - 2 / sketch), min(1.0, p + 2 / sketch))]
+    sketched = narrow.groupBy(*keys).agg(*[x for i, c in enumerate(cols) for x in (
+        F.count(at[c]).alias(f"_n{i}"), F.percentile_approx(at[c], edges, sketch).alias(f"_a{i}"))])
+    names = list(probs)
+    brackets = cut_lineage(sketched.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f"_n{i}") for i in range(len(cols))],
+        *[x for j, (c, n, _) in enumerate(want) for x in (
+            F.col(f"_a{cols.index(c)}")[2 * names.index(n)].alias(f"_lo{j}"),
+            F.col(f"_a{cols.index(c)}")[2 * names.index(n) + 1].alias(f"_hi{j}"))]))
+    small = brackets if bounded_row_count(brackets) is None else F.broadcast(brackets)
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    placed = narrow.join(small, on) if keys else narrow.crossJoin(F.broadcast(brackets))
+    below = placed.groupBy(*keys).agg(*[
+        F.count_if(at[c] < F.col(f"_lo{j}")).alias(f"_b{j}") for j, (c, _, _) in enumerate(want)],
+        *[F.first(f"_n{i}").alias(f"_n{i}") for i in range(len(cols))])
+    items = F.explode(F.array(*[F.struct(
+        F.lit(c).alias("_feature"), F.lit(n).alias("_name"), F.lit(p).alias("_p"),
+        F.col(f"_n{cols.index(c)}").alias("_tot"), F.col(f"_b{j}").alias("_below")) for j, (c, n, p) in enumerate(want)]))
+    goals = cut_lineage(below.select(*keys, items.alias("_i")).select(*keys, "_i.*").where("_tot > 0"))
+    inside = F.explode(F.array_compact(F.array(*[
+        F.when(at[c].between(F.col(f"_lo{j}"), F.col(f"_hi{j}")), F.struct(
+            F.lit(c).alias("_feature"), F.lit(n).alias("_name"), at[c].alias("_v")))
+        for j, (c, n, _) in enumerate(want)])))
+    gk = [*keys, "_feature", "_name"]
+    values = cut_lineage(placed.select(*keys, inside.alias("_x")).select(*keys, "_x.*").groupBy(*gk, "_v").agg(
+        F.count(F.lit(1)).alias("_c")))
+    if bounded_row_count(values, FEW_VALUES) is not None:
+        run = W.partitionBy(*gk).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+        cum = values.select(*gk, "_v", "_c", F.sum("_c").over(run).alias("_cum"))
+    else:
+        cum = cumulative_counts(values, gk, "_v", {"_c": F.col("_c")}).select(
+            *gk, "_v", "_c", F.col("cum__c").alias("_cum"))
+    same = (F.col("_g_feature") == F.col("_feature")) & (F.col("_g_name") == F.col("_name"))
+    for k in keys:
+        same = same & F.col(f"_g_{k}").eqNullSafe(F.col(k))
+    g = goals.select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.col("_feature").alias("_g_feature"),
+                     F.col("_name").alias("_g_name"), "_p", "_tot", "_below")
+    h = (F.col("_tot") - 1) * F.col("_p")
+    last, first = F.col("_below") + F.col("_cum"), F.col("_below") + F.col("_cum") - F.col("_c")
+
+    def at_rank(r: Column) -> Column:
+        return F.max(F.when((first <= r) & (r < last), F.col("_v")))
+
+    gcols = [*[f"_g_{k}" for k in keys], "_g_feature", "_g_name", "_p", "_tot"]
+    found = cut_lineage(g.join(cum, same, "left").groupBy(*gcols).agg(
+        at_rank(F.floor(h)).alias("_low"), at_rank(F.ceil(h)).alias("_high")))
+    if found.where("_low is null or _high is null").limit(1).count():
+        long = narrow.unpivot(keys, list(narrow.columns[len(keys):]), "_f", "_v")
+        names_of = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(f"_v{i}"), F.lit(c))])
+        return _ranked_quantiles(long.select(*keys, names_of[F.col("_f")].alias("_feature"), "_v"),
+                                 [*keys, "_feature"], "_v", probs)
+    share = h - F.floor(h)
+    value = F.when(share == 0, F.col("_low")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * share)
+    return found.select(*[F.col(f"_g_{k}").alias(k) for k in keys], F.col("_g_feature").alias("_feature"),
+                        "_g_name", value.alias("_q")).groupBy(*keys, "_feature").agg(
+        *[F.max(F.when(F.col("_g_name") == n, F.col("_q"))).alias(n) for n in probs])
+
+
+def value_at_rank(df: DataFrame, value: Column, number: Column, rank) -> DataFrame:
+    """One row ``value``: the value at the 0-based rank ``rank(rows)`` (a number). ``number`` is a
+    numeric key that never falls as the value rises; it brackets the rank as above, so only a
+    few rows are ranked."""
+    keyed = cut_lineage(df.select(value.alias("value"), number.cast("double").alias("_h")))
+    n = keyed.where("value is not null").count()
+    if not n:
+        return keyed.select("value").limit(0)
+    k = rank(n)
+    edges = [max(0.0, k / n - 2 / SKETCH), min(1.0, k / n + 2 / SKETCH)]
+    low, high = keyed.where("value is not null").agg(F.percentile_approx("_h", edges, SKETCH)).first()[0]
+    below = keyed.where((F.col("_h") < low) & F.col("value").isNotNull()).count()
+    some = keyed.where(F.col("_h").between(low, high))
+    if not below <= k < below + some.count():
+        below, some = 0, keyed
+    return select_ranks(some.select("value"), [], "value", {"at": F.lit(k - below)}).select(F.col("at").alias("value"))
+
+
+def _ranked_quantiles(df: DataFrame, keys: list[str], value: str,
+                      probs: dict[str, float]) -> DataFrame:
+    """Quantiles from the ranks of all values."""
     ranks = {}
     for name, p in probs.items():
         h = lambda tot, p=p: (tot - 1) * F.lit(float(p))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ranks import cumulative_counts, exact_quantiles, ks_pvalue, ks_statistic
+from .ranks import column_quantiles, cumulative_counts, exact_quantiles, ks_pvalue, ks_statistic
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str],
@@ -92,7 +92,7 @@ def describe(df: DataFrame, cols: list[str], pcts: dict[str, float] = DESCRIBE_P
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
-    q = exact_quantiles(long, ["feature"], "value", pcts)
+    q = column_quantiles(df, [], cols, pcts).withColumnRenamed("_feature", "feature")
     return moments.join(q, "feature", "left").select(
         "feature", "count", "mean", "std", "min", *pcts, "max")
 

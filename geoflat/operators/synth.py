@@ -13,6 +13,8 @@ replay them. The per-cluster loops of the reference become keyed joins:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from ..functions.geo import meters_to_degrees
 from ..functions.numeric import clip, min_strict
 from ..functions.rand import hash_beta22, hash_normal, hash_u64, hash_uniform
 from .projection import columns_by_keyword, nullify_geo, present
-from .ranks import exact_quantiles, select_ranks
+from .ranks import exact_quantiles, value_at_rank
 from .stats import row_index
 
 # Synthesis parameters of the reference pipeline.
@@ -48,9 +50,8 @@ def train_test_split(df: DataFrame, id_col: str, test_size: float = TEST_SIZE,
     task); adds ``split`` = 'train' | 'test'."""
     keyed = df.withColumn("_sk", F.struct(split_key(id_col, seed).alias("h"),
                                           F.col(id_col).alias("id")))
-    k = lambda tot: F.ceil(tot * F.lit(float(test_size))) - 1
-    th = select_ranks(keyed.select("_sk"), [], "_sk", {"_th": k})
-    out = keyed.crossJoin(F.broadcast(th.select("_th")))
+    th = value_at_rank(keyed, F.col("_sk"), F.col("_sk")["h"], lambda n: max(0, math.ceil(n * test_size) - 1))
+    out = keyed.crossJoin(F.broadcast(th.select(F.col("value").alias("_th"))))
     return out.withColumn("split", F.when(F.col("_sk") <= F.col("_th"), "test")
                           .otherwise("train")).drop("_sk", "_th")
 

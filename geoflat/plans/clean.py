@@ -12,7 +12,7 @@ from ..functions import numeric as N
 from ..functions.text import fill_norm_category
 from ..operators import filters as D
 from ..operators.projection import normalize_columns, present
-from ..operators.ranks import exact_quantiles
+from ..operators.ranks import column_quantiles
 from ..session import cut_lineage
 
 # Column lists of the cleaning stage. Names nobody produces are kept on
@@ -46,9 +46,7 @@ def median_impute(df: DataFrame, cols: list[str]) -> DataFrame:
     cols = present(df, cols)
     if not cols:
         return df
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "_feature", "_v")
-    med = exact_quantiles(long, ["_feature"], "_v", {"_m": 0.5})
+    med = column_quantiles(df, [], cols, {"_m": 0.5}, cheap=True)
     wide = med.agg(*[F.max(F.when(F.col("_feature") == c, F.col("_m"))).alias(f"_med_{c}")
                      for c in cols])
     out = df.crossJoin(F.broadcast(wide))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..operators.ranks import exact_quantiles
+from ..operators.ranks import column_quantiles
 from ..sources import fixtures as X
 from ..sources.fixtures import CLUSTER_EXPR
 from .catalog import exact_avg, exact_avg_sql, query, rnd
@@ -28,13 +28,10 @@ def cluster_summary(df: DataFrame, cluster: str = "geo_generation_cluster") -> D
     base = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("count"),
                                    F.avg("latitude").alias("mean_latitude"),
                                    F.avg("longitude").alias("mean_longitude"))
-    long = df.select(cluster, F.col("price").cast("double").alias("price"),
-                     F.col("price_per_m2").cast("double").alias("price_per_m2")) \
-        .unpivot([cluster], ["price", "price_per_m2"], "_f", "_v")
-    med = exact_quantiles(long, [cluster, "_f"], "_v", {"_m": 0.5})
+    med = column_quantiles(df, [cluster], ["price", "price_per_m2"], {"_m": 0.5}, cheap=True)
     wide = med.groupBy(cluster).agg(
-        F.max(F.when(F.col("_f") == "price", F.col("_m"))).alias("median_price"),
-        F.max(F.when(F.col("_f") == "price_per_m2", F.col("_m"))).alias("median_price_per_m2"))
+        F.max(F.when(F.col("_feature") == "price", F.col("_m"))).alias("median_price"),
+        F.max(F.when(F.col("_feature") == "price_per_m2", F.col("_m"))).alias("median_price_per_m2"))
     return base.join(wide, cluster, "left")
 
 

@@ -117,6 +117,21 @@ def floor_pair(value: Column) -> tuple[Column, Column]:
     return f.cast("int"), t.cast("int")
 
 
+def floor_pair_old(text: Column) -> tuple[Column, Column]:
+    """L7, old cards: the first 'N/M этаж' of the page text -> (floor, floors_total)."""
+    p = r"(?iu)(\d+)\s*/\s*(\d+)\s*этаж"
+    return tuple(F.when(text.rlike(p), F.regexp_extract(text, p, k)).cast("int") for k in (1, 2))
+
+
+# Street markers of old cards.
+OLD_ADDRESS_MARKERS = ["ул.", "улица", "пос", "проезд", "пр-т", "шоссе", "б-р"]
+
+
+def address_line_old(lines: Column) -> Column:
+    """L9, old cards: the first line with a street marker, whatever city it names."""
+    return F.try_element_at(F.filter(lines, lambda x: _has_any(F.lower(x), OLD_ADDRESS_MARKERS)), F.lit(1))
+
+
 def rooms_from(value: Column, text: Column) -> Column:
     """Number in the value, else 'N-комн', else 'Nк,', else 0 for a studio."""
     v = F.regexp_extract(value, r"(\d+)", 1)
@@ -284,11 +299,66 @@ def page_links(html: Column, page_url: Column, path_re: str = r"/realty/\d+/?$")
     return F.array_sort(F.array_distinct(absolute))
 
 
-def whitelist_tokens(html: Column) -> Column:
-    """C17: texts of <li>/<a> elements, whitespace-normalised with ё -> е, 3..40 chars,
-    no menu words."""
+_DROPPED = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+_TRACKED = ["li", "a", "ul", "ol"]
+
+
+def element_texts(pages: DataFrame, html: str, out: str) -> DataFrame:
+    """Adds ``out``: the texts of all <li> and <a> elements, text nodes trimmed and joined by a space.
+    A stack of open tags is folded over the tags of the page, so nested elements each keep their
+    whole text. A closing tag closes what is open inside its element; a <li> ends the <li> before it
+    in the same list, an <a> the <a> around it; what is never closed ends with the page."""
+    tokens = F.regexp_extract_all(F.regexp_replace(F.col(html), _DROPPED, ""), F.lit(r"<[^>]*>|[^<]+"), 0)
+    df = pages.withColumn("_tokens", F.coalesce(tokens, F.array().cast("array<string>")))
+    events = F.filter(F.transform("_tokens", lambda t, i: F.struct(
+        F.lower(F.regexp_extract(t, r"^<(/?[a-zA-Z]+)", 1)).alias("tag"), i.alias("at"))),
+        lambda e: e["tag"].isin([*_TRACKED, *["/" + t for t in _TRACKED]]))
+    df = df.withColumn("_events", events)
+    stack_type, span_type = "array<struct<tag:string,at:int>>", "array<struct<tag:string,low:int,high:int>>"
+    start = F.struct(F.array().cast(stack_type).alias("stack"), F.array().cast(span_type).alias("done"))
+
+    def last_of(stack, *tags):
+        """1-based place of the innermost open element of the tags, 0 if there is none."""
+        back = F.transform(F.reverse(stack), lambda x: x["tag"].isin(list(tags)) if len(tags) > 1 else x["tag"] == tags[0])
+        at = F.array_position(back, True)
+        return F.when(at > 0, F.size(stack) - at + 1).otherwise(0).cast("int")
+
+    def closed(state, place, at):
+        """The state after closing the element at ``place`` and all inside it."""
+        inner = F.slice(state["stack"], place, F.size(state["stack"]) - place + 1)
+        return F.struct(
+            F.slice(state["stack"], 1, place - 1).alias("stack"),
+            F.concat(state["done"], F.transform(inner, lambda x: F.struct(
+                x["tag"].alias("tag"), x["at"].alias("low"), at.alias("high")))).alias("done"))
+
+    def step(state, event):
+        tag, at, stack = event["tag"], event["at"], state["stack"]
+        closing = tag.startswith("/")
+        name = F.regexp_replace(tag, "/", "")
+        of_name = F.array_position(F.reverse(F.transform(stack, lambda x: x["tag"])), name)
+        named = F.when(of_name > 0, F.size(stack) - of_name + 1).otherwise(0)
+        item = last_of(stack, "li", "ul", "ol")
+        before = F.when(tag == "li", F.when(F.try_element_at(stack, F.greatest(item, F.lit(1)))["tag"] == "li", item).otherwise(0)) \
+            .when(tag == "a", named).otherwise(0)
+        place = F.when(closing, named).otherwise(F.coalesce(before, F.lit(0))).cast("int")
+        after = F.when(place > 0, closed(state, F.greatest(place, F.lit(1)), at)).otherwise(state)
+        return F.struct(
+            F.when(closing, after["stack"]).otherwise(F.concat(after["stack"], F.array(F.struct(
+                tag.alias("tag"), at.alias("at"))))).alias("stack"), after["done"].alias("done"))
+
+    end = F.size("_tokens")
+    spans = F.aggregate("_events", start, step, lambda s: F.concat(s["done"], F.transform(s["stack"], lambda x: F.struct(
+        x["tag"].alias("tag"), x["at"].alias("low"), end.alias("high")))))
+    df = df.withColumn("_spans", F.filter(spans, lambda x: x["tag"].isin("li", "a")))
+    texts = F.transform("_spans", lambda x: F.array_join(F.filter(F.transform(
+        F.slice(F.col("_tokens"), x["low"] + 2, F.greatest(x["high"] - x["low"] - 1, F.lit(0))),
+        lambda t: F.when(t.startswith("<"), "").otherwise(F.regexp_replace(t, r"^\s+|\s+$", ""))), lambda t: t != ""), " "))
+    return df.withColumn(out, texts).drop("_tokens", "_events", "_spans")
+
+
+def whitelist_tokens(pages: DataFrame, html: str, out: str) -> DataFrame:
+    """C17: adds the <li>/<a> texts, whitespace-normalised with ё -> е, 3..40 chars, no menu words."""
     from ..functions.text import WHITELIST_MENU_WORDS, normalize_station
-    raw = F.regexp_extract_all(html, F.lit(r"(?is)<(?:li|a)\b[^>]*>(.*?)</(?:li|a)>"), 1)
-    texts = F.transform(raw, lambda t: normalize_station(F.regexp_replace(t, r"<[^>]*>", " ")))
-    return F.filter(texts, lambda t: F.length(t).between(3, 40)
-                    & ~_has_any(F.lower(t), WHITELIST_MENU_WORDS))
+    texts = F.transform("_texts", lambda t: normalize_station(t))
+    return element_texts(pages, html, "_texts").withColumn(out, F.filter(
+        texts, lambda t: F.length(t).between(3, 40) & ~_has_any(F.lower(t), WHITELIST_MENU_WORDS))).drop("_texts")

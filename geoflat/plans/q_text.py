@@ -158,7 +158,7 @@ def q_clean_metro_rule(spark, sf_dir):
 # ------------------------------------------------------------------ white-list (pages)
 def whitelist(pages: DataFrame) -> DataFrame:
     """C17: distinct station-like tokens of all pages."""
-    return pages.select(F.explode(E.whitelist_tokens(F.col("html"))).alias("station")).distinct()
+    return E.whitelist_tokens(pages.select("html"), "html", "_t").select(F.explode("_t").alias("station")).distinct()
 
 
 def match_whitelist(texts: DataFrame, wl: DataFrame, id_col: str, text_col: str,
@@ -182,8 +182,11 @@ def match_whitelist(texts: DataFrame, wl: DataFrame, id_col: str, text_col: str,
         id_col, F.col("_b")["station"].alias("metro"))
 
 
+# Elements of each kind on their own: the generated pages hold no list inside a list.
 _WL_SQL = """
-, raw AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:li|a)\\b[^>]*>(.*?)</(?:li|a)>', 1)) AS t FROM pages),
+, body AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '', 'g') AS html FROM pages),
+raw AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1)) AS t FROM body
+        UNION ALL SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*>(.*?)</a>', 1)) AS t FROM body),
 norm AS (SELECT page_id, replace(replace(trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), 'ё', 'е'), 'Ё', 'Е') AS station FROM raw),
 wl AS (SELECT DISTINCT station FROM norm WHERE length(station) BETWEEN 3 AND 40
        AND station NOT IN ('А','Б','В','Г','Д','Е','Ж','З','И','Й','К','Л','М','Н','О','П','Р','С','Т','У','Ф','Х','Ц','Ч','Ш','Щ','Э','Ю','Я')
@@ -236,3 +239,26 @@ def q_page_links(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages")
     return p.select("page_id", F.explode(E.page_links(F.col("html"), F.col("url"),
                                                       r"^/[^/]+/?$")).alias("link"))
+
+
+@query("old_card_forms", sql=oracle_with("listings") + """
+, c AS (SELECT listing_id, floor, floors_total, rooms, walls FROM listings)
+SELECT listing_id,
+       CASE WHEN floor IS NOT NULL AND floors_total IS NOT NULL THEN floor END AS floor,
+       CASE WHEN floor IS NOT NULL AND floors_total IS NOT NULL THEN floors_total END AS floors_total,
+       CASE WHEN rooms IS NULL THEN NULL WHEN rooms = 0 THEN 'Посёлок Новый' WHEN rooms < 4 THEN 'Тула, УЛ. Мира, ' || CAST(rooms AS VARCHAR)
+            ELSE 'Лесной проезд, ' || CAST(rooms AS VARCHAR) END AS address
+FROM c""")
+def q_old_card_forms(spark, sf_dir):
+    """L7 + L9, old cards: 'N/M этаж' anywhere in the text, the first line with a street marker."""
+    l = X.listings(spark, sf_dir)
+    say = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    street = (F.when(F.col("rooms") == 0, "Посёлок Новый").when(F.col("rooms") < 4, say("Тула, УЛ. Мира, ", F.col("rooms").cast("string")))
+              .when(F.col("rooms").isNotNull(), say("Лесной проезд, ", F.col("rooms").cast("string"))).otherwise("Квартира в центре"))
+    floors = F.coalesce(say(F.col("floor").cast("string"), " / ", F.col("floors_total").cast("string"), " ЭТАЖ"), F.lit("этаж не указан"))
+    cards = l.select("listing_id", say("Продажа\n", street, "\nшоссе рядом\n").alias("head"), floors.alias("floors"))
+    cards = cards.withColumn("text", F.when(F.col("head").contains("Квартира"), say("Продажа\nКвартира в центре\n", F.col("floors")))
+                             .otherwise(F.concat("head", "floors")))
+    floor, total = E.floor_pair_old(F.col("text"))
+    return cards.select("listing_id", floor.alias("floor"), total.alias("floors_total"),
+                        E.address_line_old(E.text_lines(F.col("text"))).alias("address"))

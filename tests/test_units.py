@@ -307,3 +307,60 @@ def test_near_index_segments_equal_brute_force(spark, monkeypatch):
     for got in found:
         assert got.pop(500) is None
         assert np.allclose([got[k] for k in range(150)], want, rtol=1e-9)
+
+
+def _brute_elements(html):
+    """Texts of li and a elements by the standard parser, with the closing rules of lists."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.open, self.done = [], []
+
+        def close_from(self, k):
+            for e in self.open[k:]:
+                if e[0] in ("li", "a"):
+                    self.done.append(" ".join(e[1]))
+            del self.open[k:]
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("li", "a", "ul", "ol"):
+                return
+            if tag == "li":
+                k = max((i for i, e in enumerate(self.open) if e[0] in ("li", "ul", "ol")), default=None)
+                if k is not None and self.open[k][0] == "li":
+                    self.close_from(k)
+            if tag == "a" and any(e[0] == "a" for e in self.open):
+                self.close_from(max(i for i, e in enumerate(self.open) if e[0] == "a"))
+            self.open.append((tag, []))
+
+        def handle_endtag(self, tag):
+            if tag in ("li", "a", "ul", "ol") and any(e[0] == tag for e in self.open):
+                self.close_from(max(i for i, e in enumerate(self.open) if e[0] == tag))
+
+        def handle_data(self, data):
+            if data.strip():
+                for e in self.open:
+                    e[1].append(data.strip())
+    p = P()
+    p.feed(html)
+    p.close()
+    p.close_from(0)
+    return sorted(p.done)
+
+
+def test_element_texts_keep_nested_elements(spark):
+    import random
+
+    from geoflat.operators import extract as E
+    pages = ["<ul><li><a>X</a> Y</li></ul>", "<li>a<li>b<ul><li>c</li> d</ul> e</li>", "<a>one<a>two</a> three",
+             "<li>no end <b>bold</b>", "</a></li>text", "", "<LI CLASS='x'>Up</LI><link><article>n</article>"]
+    rng = random.Random(1)
+    bits = ["<ul>", "</ul>", "<li>", "</li>", "<a href='q'>", "</a>", "<b>", "</b>", " w ", "x", "y z", "<br>"]
+    pages += ["".join(rng.choice(bits) + (str(k) if rng.random() < .3 else "") for k in range(rng.randrange(25))) for _ in range(150)]
+    df = spark.createDataFrame([(k, h) for k, h in enumerate(pages)] + [(-1, None)], "k int, html string")
+    got = {r["k"]: sorted(r["t"]) for r in E.element_texts(df, "html", "t").collect()}
+    assert got.pop(-1) == []
+    for k, h in enumerate(pages):
+        assert got[k] == _brute_elements(h), h

@@ -19,6 +19,8 @@ Rank selection then keeps only the rows that contain a requested rank.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -231,3 +233,42 @@ def ks_pvalue(d: Column, n_a: Column, n_b: Column, terms: int = 100) -> Column:
     for j in range(1, terms + 1):
         s = s + F.lit(2.0 * (-1) ** (j - 1)) * F.exp(F.lit(-2.0 * j * j) * lam * lam)
     return F.when(lam < 1e-3, F.lit(1.0)).otherwise(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)))
+
+
+# Up to this size of both samples the p-value is exact.
+KS_EXACT = 10_000
+
+
+def ks_exact_pvalue(d: float, n_a: int, n_b: int) -> float:
+    """P(D >= d) for samples of ``n_a`` and ``n_b`` without ties, by lattice paths: of all orders of
+    the two samples, the share whose path (i, j) somewhere has |i / n_a - j / n_b| >= d. Points
+    with i + j = k are one step, so the work is (n_a + n_b) steps of min(n_a, n_b) entries."""
+    m, n = sorted((n_a, n_b))
+    if not m:
+        return float("nan")
+    least = round(d * m * n)
+    if least <= 0:
+        return 1.0
+    out = np.zeros(m + 1)  # share of the paths to (i, k - i) that have been outside
+    i = np.arange(m + 1)
+    for k in range(1, m + n + 1):
+        j = k - i
+        step = out * np.maximum(j, 0)
+        step[1:] += out[:-1] * i[1:]
+        step /= k
+        step[(j < 0) | (j > n)] = 0.0
+        step[(np.abs(i * n - j * m) >= least) & (j >= 0) & (j <= n)] = 1.0
+        out = step
+    return float(min(1.0, out[m]))
+
+
+def ks_pvalue_of(d: Column, n_a: Column, n_b: Column) -> Column:
+    """Exact for samples of at most ``KS_EXACT``, asymptotic above, like the reference's call. Call
+    ``ship_package`` first; there is one value per compared pair of samples."""
+    @F.arrow_udf("double")
+    def exact(d: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        rows = zip(d.to_pylist(), a.to_pylist(), b.to_pylist(), strict=True)
+        return pa.array([None if x is None or max(p, q) > KS_EXACT else ks_exact_pvalue(x, p, q) for x, p, q in rows], pa.float64())
+
+    value = exact(d, n_a, n_b)
+    return F.when(F.greatest(n_a, n_b) <= KS_EXACT, value).otherwise(ks_pvalue(d, n_a, n_b))

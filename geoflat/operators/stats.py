@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import bounded_row_count, cut_lineage
 from .ranks import column_quantiles, cumulative_counts, exact_quantiles, ks_pvalue, ks_statistic
 
 
@@ -65,8 +66,8 @@ def group_median_impute(df: DataFrame, key: str, col: str, null_key: str = "glob
     """NULL -> median of the key group, then the global median of the result.
     ``null_key='global'`` reproduces the reference quirk: rows whose key is NULL get NULL
     from the group step, so even their known values are replaced by the global median."""
-    med = exact_quantiles(df.where(F.col(key).isNotNull()), [key], col, {"_gm": 0.5})
-    j = df.join(med, key, "left")
+    med = cut_lineage(exact_quantiles(df.where(F.col(key).isNotNull()), [key], col, {"_gm": 0.5}))
+    j = df.join(med if bounded_row_count(med) is None else F.broadcast(med), key, "left")
     if null_key == "global":
         step = F.when(F.col(key).isNull(), F.lit(None).cast("double")).otherwise(
             F.coalesce(F.col(col).cast("double"), F.col("_gm")))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import meters_to_degrees
 from ..functions.numeric import clip, min_strict
-from ..functions.rand import hash_beta22, hash_normal, hash_u64, hash_uniform
+from ..functions.rand import hash_beta22, hash_normal, hash_u64, hash_uniform, hash_uniform52
+from ..session import bounded_row_count, cut_lineage
 from .projection import columns_by_keyword, nullify_geo, present
 from .ranks import exact_quantiles, value_at_rank
 from .stats import row_index
@@ -108,13 +109,17 @@ def synth_interpolate(train: DataFrame, cluster: str = "geo_generation_cluster",
     aggs += [F.stddev_samp(c).alias(f"_std_{c}") for c in cont]
     if has_price:
         aggs.append(F.stddev_samp("price_per_m2").alias("_std_price_per_m2"))
+    tr = cut_lineage(tr)
     stats = tr.groupBy(cluster).agg(*aggs).where(F.col("_n") >= min_size)
     if has_price:
         q = exact_quantiles(tr, [cluster], "price_per_m2", {"_q01": 0.01, "_q99": 0.99})
         stats = stats.join(q, cluster, "left")
+    stats = cut_lineage(stats)
+    if bounded_row_count(stats) is not None:
+        stats = F.broadcast(stats)
 
-    # row index inside the cluster, then every row emits `multiplier` slots
-    idx = row_index(tr, [cluster], id_col, "_i")
+    # row index inside the cluster, built once, then every row emits `multiplier` slots
+    idx = cut_lineage(row_index(tr, [cluster], id_col, "_i"))
     slots = (idx.join(stats.select(cluster, "_n"), cluster)
              .select(cluster, "_n",
                      F.explode(F.sequence(F.col("_i") * multiplier,
@@ -122,8 +127,8 @@ def synth_interpolate(train: DataFrame, cluster: str = "geo_generation_cluster",
     key = [F.col(cluster), F.col("slot"), F.lit(seed)]
     slots = slots.select(
         cluster, "slot",
-        F.floor(hash_uniform(*key, "pa") * F.col("_n")).cast("long").alias("_ia"),
-        F.floor(hash_uniform(*key, "pb") * F.col("_n")).cast("long").alias("_ib"))
+        F.floor(hash_uniform52(*key, "pa") * F.col("_n")).cast("long").alias("_ia"),
+        F.floor(hash_uniform52(*key, "pb") * F.col("_n")).cast("long").alias("_ib"))
     pa = idx.select(*[F.col(c).alias(f"a_{c}") for c in idx.columns])
     pb = idx.select(*[F.col(c).alias(f"b_{c}") for c in idx.columns])
     j = (slots.join(pa, (F.col(cluster) == F.col(f"a_{cluster}")) & (F.col("_ia") == F.col("a__i")))
@@ -205,8 +210,9 @@ def augment_noisy_copies(train: DataFrame, cluster: str, id_col: str = "listing_
     dist, contc = groups["distance"], groups["continuous"]
     stats = train.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"),
                                        *[F.stddev_samp(c).alias(f"_std_{c}") for c in contc])
-    stats = stats.where(F.col("_n") >= 5)
-    base = train.join(stats, cluster)
+    stats = cut_lineage(stats.where(F.col("_n") >= 5))
+    # a broadcast leaves the rows of a hot cluster where they are
+    base = train.join(stats if bounded_row_count(stats) is None else F.broadcast(stats), cluster)
     cp = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("augmentation_copy"))
     key = [F.col(id_col), F.col("augmentation_copy"), F.lit(seed)]
     deg = COORD_NOISE_METERS / 111_000

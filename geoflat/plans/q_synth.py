@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import metro_near_flag
 from ..functions.rand import (hash_beta22_sql, hash_normal_sql, hash_u64_sql,
-                              hash_uniform_sql)
+                              hash_uniform52_sql, hash_uniform_sql)
 from ..operators import stats as S
 from ..operators import synth as J
 from ..operators.projection import nullify_geo
@@ -116,8 +116,8 @@ st AS (SELECT {CL} AS cl, count(*) AS _n, min(latitude) AS lat_min, max(latitude
        FROM train GROUP BY {CL} HAVING count(*) >= 5),
 slots AS (SELECT st.*, unnest(range(i._i * 2, i._i * 2 + 2)) AS slot
           FROM idx i JOIN st ON i.{CL} = st.cl),
-sp AS (SELECT *, CAST(floor({hash_uniform_sql(*_k('pa'))} * _n) AS BIGINT) AS ia,
-              CAST(floor({hash_uniform_sql(*_k('pb'))} * _n) AS BIGINT) AS ib,
+sp AS (SELECT *, CAST(floor({hash_uniform52_sql(*_k('pa'))} * _n) AS BIGINT) AS ia,
+              CAST(floor({hash_uniform52_sql(*_k('pb'))} * _n) AS BIGINT) AS ib,
               {hash_beta22_sql(*_k('lam'))} AS lam FROM slots),
 raw AS (
   SELECT 'syn-' || CAST(sp.cl AS VARCHAR) || '-' || CAST(sp.slot AS VARCHAR) AS listing_id,
@@ -190,7 +190,7 @@ SELECT sp.cl AS {CL}, sp.slot, a.listing_id AS parent_a, b.listing_id AS parent_
 FROM sp JOIN idx a ON a.{CL} = sp.cl AND a._i = sp.ia JOIN idx b ON b.{CL} = sp.cl AND b._i = sp.ib""")
 def q_parent_pairs(spark, sf_dir):
     """Two random parents (with replacement) of the same cluster per synthetic slot."""
-    from ..functions.rand import hash_uniform
+    from ..functions.rand import hash_uniform52
     tr = train(spark, sf_dir)
     n = tr.groupBy(CL).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 5")
     idx = S.row_index(tr.select(CL, "listing_id"), [CL], "listing_id", "_i")
@@ -198,8 +198,8 @@ def q_parent_pairs(spark, sf_dir):
         F.col("_i") * 2, F.col("_i") * 2 + 1)).alias("slot"))
     key = [F.col(CL), F.col("slot"), F.lit(42)]
     slots = slots.select(CL, "slot",
-                         F.floor(hash_uniform(*key, "pa") * F.col("_n")).cast("long").alias("ia"),
-                         F.floor(hash_uniform(*key, "pb") * F.col("_n")).cast("long").alias("ib"))
+                         F.floor(hash_uniform52(*key, "pa") * F.col("_n")).cast("long").alias("ia"),
+                         F.floor(hash_uniform52(*key, "pb") * F.col("_n")).cast("long").alias("ib"))
     a = idx.select(CL, F.col("_i").alias("ia"), F.col("listing_id").alias("parent_a"))
     b = idx.select(CL, F.col("_i").alias("ib"), F.col("listing_id").alias("parent_b"))
     return slots.join(a, [CL, "ia"]).join(b, [CL, "ib"]).select(CL, "slot", "parent_a", "parent_b")
@@ -414,3 +414,41 @@ def q_only_synthetic(spark, sf_dir):
     """Synthetic rows only (per-cluster counts)."""
     from ..operators.filters import only_synthetic
     return only_synthetic(augmented(spark, sf_dir)).groupBy(CL).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Lattice paths as a recursion over i + j, one list of shares per cluster.
+_PATHS_SQL = """
+, sizes AS (SELECT cl, ks, least(n_a, n_b) AS m, greatest(n_a, n_b) AS n,
+                   CAST(round(ks * n_a * n_b) AS BIGINT) AS h FROM d WHERE greatest(n_a, n_b) <= 10000 AND least(n_a, n_b) > 0),
+paths AS (
+  SELECT cl, m, n, h, 0 AS k, list_transform(range(0, m + 1), lambda i: 0.0::DOUBLE) AS out FROM sizes
+  UNION ALL
+  SELECT cl, m, n, h, k + 1, list_transform(range(0, m + 1), lambda i:
+           CASE WHEN k + 1 - i < 0 OR k + 1 - i > n THEN 0.0
+                WHEN abs(i * n - (k + 1 - i) * m) >= h THEN 1.0
+                ELSE (out[i + 1] * (k + 1 - i) + CASE WHEN i > 0 THEN out[i] * i ELSE 0.0 END) / (k + 1) END)
+  FROM paths WHERE k < m + n),
+exact AS (SELECT cl, least(1.0, out[m + 1]) AS p FROM paths WHERE k = m + n)"""
+
+
+@query("ks_split_by_cluster", sql=_PREP.replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, v AS (SELECT {CL} AS cl, price_per_m2 AS x, split = 'train' AS a FROM splitted),
+e AS (SELECT cl, x, sum(CAST(a AS INTEGER)) AS na, sum(CAST(NOT a AS INTEGER)) AS nb FROM v GROUP BY ALL),
+c AS (SELECT cl, sum(na) OVER w AS ca, sum(nb) OVER w AS cb, sum(na) OVER (PARTITION BY cl) AS ta, sum(nb) OVER (PARTITION BY cl) AS tb
+      FROM e WINDOW w AS (PARTITION BY cl ORDER BY x)),
+d AS (SELECT cl, max(abs(ca / ta - cb / tb)) AS ks, CAST(any_value(ta) AS BIGINT) AS n_a, CAST(any_value(tb) AS BIGINT) AS n_b
+      FROM c WHERE ta > 0 AND tb > 0 GROUP BY cl)""" + _PATHS_SQL + f"""
+SELECT d.cl AS {CL}, n_a, n_b, {sig_sql("ks", 9)} AS ks_statistic,
+       {sig_sql("coalesce(exact.p, " + _ks_pvalue_sql("ks", "n_a", "n_b") + ")", 6)} AS ks_pvalue
+FROM d LEFT JOIN exact ON exact.cl = d.cl""")
+def q_ks_split_by_cluster(spark, sf_dir):
+    """prices per square metre of the training and test rows compared in each
+    cluster: D with the exact p-value of small samples, the asymptotic one of large samples."""
+    from ..operators.ranks import ks_pvalue_of, ks_statistic
+    from ..session import cut_lineage, ship_package
+    ship_package(spark)
+    s = cut_lineage(split(spark, sf_dir).select(CL, "price_per_m2", "split"))
+    found = ks_statistic(s.where("split = 'train'"), s.where("split = 'test'"), [CL], "price_per_m2").where("n_a > 0 and n_b > 0")
+    p = ks_pvalue_of(F.col("ks_statistic"), F.col("n_a"), F.col("n_b"))
+    return found.select(CL, "n_a", "n_b", sig("ks_statistic", 9).alias("ks_statistic"), p.alias("p")).select(
+        CL, "n_a", "n_b", "ks_statistic", sig("p", 6).alias("ks_pvalue"))

@@ -364,3 +364,23 @@ def test_element_texts_keep_nested_elements(spark):
     assert got.pop(-1) == []
     for k, h in enumerate(pages):
         assert got[k] == _brute_elements(h), h
+
+
+def test_exact_ks_pvalue_equals_enumeration():
+    import itertools
+
+    from geoflat.operators.ranks import ks_exact_pvalue
+    for m, n in ((1, 1), (2, 3), (4, 4), (5, 3), (6, 2)):
+        found = []
+        for at in itertools.combinations(range(m + n), m):
+            i = j = 0
+            worst = 0.0
+            for k in range(m + n):
+                i, j = (i + 1, j) if k in at else (i, j + 1)
+                worst = max(worst, abs(i / m - j / n))
+            found.append(worst)
+        for d in sorted(set(found)):
+            want = sum(x >= d - 1e-12 for x in found) / len(found)
+            assert abs(ks_exact_pvalue(d, m, n) - want) < 1e-12
+    assert ks_exact_pvalue(0.0, 5, 7) == 1.0
+    assert 0 < ks_exact_pvalue(0.9, 60, 70) < 1e-15  # no cancellation in the far tail

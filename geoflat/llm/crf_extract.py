@@ -56,14 +56,30 @@ MARKERS = frozenset(
     "datenschutz impressum anmelden werbung kommentar antworten startseite suche publicité connexion "
     "commentaires répondre accueil publicidad comentarios responder inicio buscar suscríbete".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
-    r"((?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*))>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|(?=<)|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_STOP = re.compile(r"[>\"']")
+_LOOSE = re.compile(r"[^<>]*(?:>|(?=<)|\Z)")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
 
 
+class Path:
+    """An element among its ancestors. ``fresh`` holds the features that no ancestor has, so those
+    of a whole path are found once per element, however deep."""
+
+    __slots__ = ("parent", "last", "up", "fresh")
+
+    def __init__(self, parent, tag: str, fresh: tuple[str, ...]):
+        self.parent, self.fresh = parent, fresh
+        plain = tag in ("html", "body")
+        self.last = (parent.last if parent else "none") if plain else tag
+        self.up = (parent.up if parent else "none") if plain else (parent.last if parent else "none")
+
+
+_PATHS: dict = {}  # paths come back on page after page: kept in a bounded table
+
+
 class Block:
     __slots__ = ("text", "path", "linked", "pieces", "n_linked")
 
@@ -71,12 +87,116 @@ class Block:
         self.path, self.pieces, self.linked, self.n_linked, self.text = path, [], [], 0, ""
 
 
+class _Tags:
+    """Tags of a page one after the other. Where a tag ends is decided by its quotes; a search that
+    found no end is remembered by the signs it passed, so no part of a page is searched twice."""
+
+    def __init__(self, page: str):
+        self.page, self.dead, self.seen = page, set(), (0, -1)
+
+    def _first_stop(self, at: int) -> int:
+        low, stop = self.seen
+        if not low <= at <= stop:
+            m = _STOP.search(self.page, at)
+            self.seen = (at, m.start() if m else len(self.page))
+        return self.seen[1]
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose name ends at ``at``, or -1."""
+        page, passed, stop = self.page, [], self._first_stop(at)
+        while stop < len(page) and stop not in self.dead:
+            if page[stop] == ">":
+                return stop
+            passed.append(stop)
+            close = page.find(page[stop], stop + 1)
+            m = _STOP.search(page, close + 1) if close >= 0 else None
+            stop = m.start() if m else len(page)
+        self.dead.update(passed)
+        return -1
+
+    def __iter__(self):
+        """(text before, closing, tag, attributes) and lastly the text behind; the caller may set
+        ``at`` to skip what follows."""
+        page, self.at = self.page, 0
+        while self.at < len(page):
+            m = _TAG.search(page, self.at)
+            if m is None:
+                yield page[self.at:], False, "", ""
+                return
+            before, self_at = page[self.at:m.start()], m.end()
+            if m[2] is None:
+                self.at = self_at
+                yield before, False, "", ""
+                continue
+            end = self.end(self_at)
+            if end >= 0:
+                attrs, self.at = page[self_at:end], end + 1
+            else:
+                loose = _LOOSE.match(page, self_at)
+                attrs, self.at = loose[0].removesuffix(">"), loose.end()
+            yield before, bool(m[1]), m[2].lower(), attrs
+
+
+class _Stack:
+    """Open elements, with the places of each tag."""
+
+    def __init__(self):
+        self.items: list[tuple[str, Path | None, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.used: dict[str, int] = {}
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of the tags, or -1."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    @property
+    def block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+    @property
+    def path(self) -> Path | None:
+        return self.items[-1][1] if self.items else None
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        path, names = self.path, ()
+        if tag in BLOCK_TAGS or words:
+            names = tuple({f"in:{tag}": 0} if tag not in ("html", "body") else {}) + tuple(
+                dict.fromkeys(f"attr:{w}" for w in words))
+            key = (id(path), path, tag, words)  # the entry keeps its parent alive, so its id stays its own
+            found = _PATHS.get(key)
+            if found is None:
+                if len(_PATHS) >= 100_000:
+                    _PATHS.clear()
+                found = _PATHS[key] = Path(path, tag, tuple(n for n in names if not self.used.get(n)))
+            path = found
+            for n in names:
+                self.used[n] = self.used.get(n, 0) + 1
+        k = len(self.items)
+        self.places.setdefault(tag, []).append(k)
+        if tag in BLOCK_TAGS:
+            self.blocks.append(k)
+        self.items.append((tag, path, names))
+
+    def cut(self, k: int) -> None:
+        """Closes the element at place k and all inside it."""
+        while len(self.items) > k:
+            tag, _, names = self.items.pop()
+            self.places[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+            for n in names:
+                self.used[n] -= 1
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
-    """Non-empty leaf blocks in page order; ``path`` holds (tag, attribute words) from the root."""
+    """Non-empty leaf blocks in page order, each with its path. The work grows with the page's
+    length, whatever its tags."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     current: Block | None = None
     links = 0
+    never_closed: set[str] = set()
 
     def flush():
         nonlocal current
@@ -92,43 +212,35 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if not raw:
             return
         if current is None:
-            if raw.isspace() or any(t in ("head", "title", "select") for t, _ in stack):
+            if raw.isspace() or stack.last("head", "title", "select") >= 0:
                 return
-            current = Block(tuple(x for x in stack if x[0] in BLOCK_TAGS or x[1]))
+            current = Block(stack.path)
         text = html_lib.unescape(raw) if "&" in raw else raw
         current.pieces.append(text)
         if links:
             current.linked.append(text)
 
     page = page or ""
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at:m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    tags = _Tags(page)
+    for before, closing, tag, attrs in tags:
+        add(before)
         if not tag:
             continue
-        closing, attrs = m[1] or m[4], m[3] or m[6] or ""
         if closing:
             if tag in BLOCK_TAGS:
                 flush()
             if tag == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK_TAGS and stack[k][0] in BLOCK_TAGS:
-                    break
+            at = stack.last(tag)
+            if at >= 0 and (tag in BLOCK_TAGS or at > stack.block):
+                stack.cut(at)
             continue
-        drawn = tag == "title" and any(t == "svg" for t, _ in stack)
+        drawn = tag == "title" and stack.last("svg") >= 0
         if tag in RAW_TAGS or drawn:
-            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else at if drawn else end
+            close = None if tag in never_closed else re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, tags.at)
+            if close is None:
+                never_closed.add(tag)
+            tags.at = close.end() if close else tags.at if drawn else len(page)
             continue
         if tag == "br":
             if current is not None:
@@ -137,39 +249,39 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag in BLOCK_TAGS:
             flush()
             links = 0
-            if tag == "body":
-                stack = [x for x in stack if x[0] not in ("head", "title")]
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCK_TAGS:
-                        break
+            if tag == "body":  # ends the head, with all that is still open in it
+                heads = [p[0] for t in ("head", "title") if (p := stack.places.get(t))]
+                if heads:
+                    stack.cut(min(heads))
+            if tag in CLOSES_P and stack.block >= 0 and stack.block == stack.last("p"):
+                stack.cut(stack.block)
             if tag in IMPLIED:
                 ends, walls = (x.split() for x in IMPLIED[tag])
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in walls:
-                        break
-                    if stack[k][0] in ends:
-                        del stack[k:]
-                        break
+                at = stack.last(*ends)
+                if at > stack.last(*walls):
+                    stack.cut(at)
         if tag in VOID_TAGS or attrs.endswith("/") and tag not in BLOCK_TAGS:
             continue
         if tag == "a":
             links += 1
         words = tuple(w for g in _ATTR.findall(attrs) for w in _WORDS.findall("".join(g).lower())) \
             if attrs else ()
-        stack.append((tag, words))
+        stack.push(tag, words)
     flush()
     return out
 
 
-def _path_names(path: tuple) -> list[str]:
-    tags = [t for t, _ in path if t not in ("html", "body")]
-    attrs = {w for _, ws in path for w in ws}
-    return ["bias", *sorted({f"in:{t}" for t in tags} | {f"attr:{w}" for w in attrs}),
-            "tag:" + (tags[-1] if tags else "none"), "up:" + (tags[-2] if len(tags) > 1 else "none")]
+def _path_names(path: Path | None) -> list[str]:
+    """All features of a path."""
+    found, at = [], path
+    while at is not None:
+        found += at.fresh
+        at = at.parent
+    return ["bias", *sorted(found), *_ends(path)]
+
+
+def _ends(path: Path | None) -> list[str]:
+    return ["tag:" + path.last, "up:" + path.up] if path else ["tag:none", "up:none"]
 
 
 # The features of a text and the edges of their bins (None: the value itself).
@@ -220,6 +332,7 @@ class CrfModel:
     def __init__(self, weights: dict[str, float], move: list[list[float]]):
         self.weights, self.move = weights, move
         self.known: dict = {}
+        self.above: dict = {}
 
     def _known(self, part, names: list[str]) -> float:
         if len(self.known) > 100_000:
@@ -227,6 +340,19 @@ class CrfModel:
         got = self.known[part] = sum(self.weights.get(f, 0.0) for f in names)
         return got
 
+    def _of_path(self, path: Path | None) -> float:
+        """Sum over a path, from that of its parent."""
+        chain, at = [], path
+        while at is not None and at not in self.above:
+            chain.append(at)
+            at = at.parent
+        total = 0.0 if at is None else self.above[at]
+        if len(self.above) > 100_000:
+            self.above.clear()
+        for p in reversed(chain):
+            total = self.above[p] = total + sum(self.weights.get(f, 0.0) for f in p.fresh)
+        return total + sum(self.weights.get(f, 0.0) for f in ["bias", *_ends(path)])
+
     def scores(self, blocks: list[Block]) -> list[float]:
         """What each block's features add to main text; sums of paths and of binned text
         features come back again and again, so they are kept in a bounded table."""
@@ -234,7 +360,7 @@ class CrfModel:
         for path, bins, marks in _described(blocks):
             a, b = known.get(path), known.get(bins)
             if a is None:
-                a = self._known(path, _path_names(path))
+                a = known[path] = self._of_path(path)
             if b is None:
                 b = self._known(bins, [f"{k}:{v}" for k, v in zip(_BINS, bins, strict=True)])
             out.append(a + b + sum(weights.get(f"mark:{w}", 0.0) for w in marks))
@@ -458,10 +584,13 @@ def training_set(pages: list[str], layouts: int = LAYOUTS_PER_PAGE) -> list[tupl
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
         sample: int = TRAIN_PAGES) -> CrfModel:
-    rows = (pages.where(F.col(f"`{html_col}`").isNotNull())
-            .orderBy(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.col(f"`{id_col}`"), F.length(f"`{html_col}`"))
-            .select(F.col(f"`{html_col}`").cast("string").alias("html")).limit(sample).collect())
-    return train(training_set([r["html"] for r in rows]))
+    html = F.col(f"`{html_col}`").cast("string")
+    keyed = pages.where(html.isNotNull()).select(
+        F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("a"), F.xxhash64(html).alias("b"), html.alias("html"))
+    # the sample is chosen by two numbers a page; only its own pages reach the driver
+    chosen = keyed.select("a", "b").distinct().orderBy("a", "b").limit(sample)
+    rows = keyed.join(F.broadcast(chosen), ["a", "b"]).groupBy("a", "b").agg(F.first("html").alias("html"))
+    return train(training_set([r["html"] for r in sorted(rows.collect(), key=lambda r: (r["a"], r["b"]))]))
 
 
 def main_text(page: str | None, model: CrfModel) -> str:

@@ -571,7 +571,7 @@ def training_set(pages: list[str], layouts: int = LAYOUTS_PER_PAGE) -> list[tupl
     for k, page in enumerate(pages):
         blocks = leaf_blocks(page)
         sentences = [s for b in blocks for s in re.split(r"(?<=[.!?]) ", b.text) if s]
-        inside = [int(any(t == "article" for t, _ in b.path)) for b in blocks]
+        inside = [int("in:article" in _path_names(b.path)) for b in blocks]
         if any(inside):
             out.append((block_features(blocks), inside))
         for j in range(layouts if sentences else 0):

@@ -361,6 +361,27 @@ def test_leaf_blocks_keep_objects_and_formulas():
     assert texts("<p>A<iframe>x</iframe><noscript>y</noscript><template>z</template> b</p>") == ["A b"]
 
 
+def test_parser_is_linear_on_hostile_pages():
+    import time
+    pages = ['<a "' * 25000, "<a b=c " * 14000, "<div>x" * 17000, '<a ""' * 20000 + '">"', "<svg><title>" * 8000,
+             "<b><p>" + "<i>" * 14000 + "</b>" * 14000, "<div>" * 8000 + "<head><body>" * 4000]
+    model = crf_extract.CrfModel({"in:div": 1.0}, [[0.0, 0.0], [0.0, 0.0]])
+    for page in pages:
+        start = time.process_time()
+        crf_extract.main_text(page, model)
+        assert time.process_time() - start < 4, page[:20]  # the previous parser took minutes
+
+
+def test_main_text_edges(spark):
+    schema = "page_id bigint, url string, html string, text string, n_chars int"
+    rows = [(1, "u", None, "t", 1), (None, None, "", "t", 1), (3, "u", "<p>" + "word " * 50_000 + "</p>", "t", 1)]
+    pages = spark.createDataFrame(rows + [rows[2]] * 3, schema)
+    for part in (pages, pages.limit(0)):
+        model = crf_extract.fit(part)
+        got = part.select("page_id", crf_extract.extracted(part, model).alias("x")).collect()
+        assert len(got) == part.count() and all(r["x"] == "" for r in got if r["page_id"] != 3)
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(4)
     for _ in range(20):

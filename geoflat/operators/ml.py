@@ -1,4 +1,4 @@
-"""Model-backed operators (K1-K7, C27, F19-F21, H1) on Spark ML."""
+"""Model tables, linear models and error reports."""
 
 from __future__ import annotations
 
@@ -6,21 +6,14 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import (PRICE_BIN_LABELS, bin_cut, error_cols, inf_to_null, missing_flag,
                                  ratio)
 from ..functions.text import walls_ru
-from ..session import cut_lineage
 from .ranks import column_quantiles
 
-# The seeds of the reference's 20 starts.
-KMEANS_SEEDS = tuple(range(42, 62))
-
-
 def one_hot(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
     """One 0/1 column per observed value (sorted), NULL -> all 0, source dropped. The values
     come from a distinct aggregate, never from the rows; there is a column for each of them."""
@@ -40,35 +33,6 @@ def standardize(df: DataFrame, cols: list[str], suffix: str = "_z") -> DataFrame
     }).drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
 
 
-def kmeans_best(feats: DataFrame, k: int, seeds: tuple, max_iter: int, **cols):
-    """(training cost, model) of the start with the lowest cost; the first of equal ones."""
-    best = None
-    for s in seeds:
-        m = KMeans(k=k, seed=s, maxIter=max_iter, **cols).fit(feats)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    return best
-
-
-def kmeans_geo(df: DataFrame, k: int = 25, seeds: tuple = KMEANS_SEEDS, max_iter: int = 20,
-               lat: str = "latitude", lon: str = "longitude",
-               out: str = "geo_generation_cluster") -> DataFrame:
-    """K2: k-means on standardised coordinates, best training cost over the seeds (their points
-    are checkpointed once); cluster ids renumbered by centroid (lat, lon) so they are stable
-    across runs."""
-    z = standardize(df, [lat, lon])
-    va = VectorAssembler(inputCols=[f"{lat}_z", f"{lon}_z"], outputCol="_fv")
-    points = va.transform(cut_lineage(z.select(f"{lat}_z", f"{lon}_z"))).select("_fv")
-    _, model = kmeans_best(points, k, seeds, max_iter, featuresCol="_fv", predictionCol="_raw")
-    feats = va.transform(z)
-    centers = sorted(((tuple(c), i) for i, c in enumerate(model.clusterCenters())))
-    relabel = F.create_map(*[x for new, (_, old) in enumerate(centers)
-                             for x in (F.lit(old), F.lit(new))])
-    return (model.transform(feats).withColumn(out, relabel[F.col("_raw")].cast("int"))
-            .drop("_fv", "_raw", f"{lat}_z", f"{lon}_z"))
-
-
 @dataclass
 class LinearModel:
     """An intercept and one weight per feature."""

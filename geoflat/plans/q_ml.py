@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.rand import hash_u64_sql
 from ..operators import boosting as B
 from ..operators import ml as K
+from ..operators import stats as S
 from ..operators import synth as J
+from ..operators.clusters import kmeans_geo
 from ..session import cut_lineage
 from ..sources import fixtures as X
 from ..sources.fixtures import oracle_with
 from .catalog import query, rnd, sig, sig_sql
-from .q_clean import cleaned_listings
+from .q_clean import cleaned_listings, cluster_summary
 
 # Features of the model table, and the wall classes that the fixture has.
 NUMERIC_FEATURES = ["area_total", "rooms", "floor", "floors_total", "kitchen_area", "metro_walk_min",
@@ -99,12 +101,32 @@ def q_standardize(spark, sf_dir):
                     rnd("longitude_z", 6).alias("longitude_z"))
 
 
+def kmeans_clustered(spark, sf_dir, k: int = 25):
+    """Cleaned listings with their k-means cluster, written once to the checkpoint folder."""
+    return cut_lineage(kmeans_geo(cut_lineage(cleaned_listings(spark, sf_dir)), k))
+
+
 @query("kmeans_geo")
 def q_kmeans_geo(spark, sf_dir):
-    """K2: 25 k-means clusters on scaled coordinates, best of 20 starts, stable ids (rows-only
-    check)."""
-    c = cleaned_listings(spark, sf_dir).select("listing_id", "latitude", "longitude")
-    return K.kmeans_geo(c, k=25).select("listing_id", "geo_generation_cluster")
+    """K2: 25 mini-batch k-means clusters on scaled coordinates, best of 20 starts, stable ids
+    (rows-only check)."""
+    c = cut_lineage(cleaned_listings(spark, sf_dir).select("listing_id", "latitude", "longitude"))
+    return kmeans_geo(c).select("listing_id", "geo_generation_cluster")
+
+
+@query("kmeans_cluster_summary")
+def q_kmeans_cluster_summary(spark, sf_dir):
+    """K2 + F1: size, mean coordinates and median prices of the k-means clusters (rows-only check)."""
+    return cluster_summary(kmeans_clustered(spark, sf_dir))
+
+
+@query("kmeans_synth")
+def q_kmeans_synth(spark, sf_dir):
+    """K2 + F9 + J1 + J2 + F2: training rows of each k-means cluster, and the rows interpolated inside
+    it (rows-only check)."""
+    filled = S.group_median_impute(kmeans_clustered(spark, sf_dir), "rooms", "kitchen_area")
+    train = cut_lineage(J.train_test_split(filled, "listing_id").where("split = 'train'").drop("split"))
+    return J.cluster_report(J.mark_original(train).unionByName(J.synth_interpolate(train)))
 
 
 @query("ridge", sql=_RIDGE_SQL + f"SELECT listing_id, {sig_sql('price_pred', 9)} AS price_pred FROM errs")

@@ -140,35 +140,73 @@ def test_zero_streak_covers_every_page_unless_limited(spark):
     assert crawl.zero_streak_stop(log, max_pages=100).count() == 100
 
 
-def test_kmeans_geo_takes_the_best_of_all_starts(spark, monkeypatch):
+def test_kmeans_takes_the_best_of_all_starts(spark):
     import random
 
-    from pyspark.ml.clustering import KMeans
-    from geoflat.operators import ml as K
-    from geoflat.plans import q_ml
+    import numpy as np
+
+    from geoflat.operators import clusters as C
     rng = random.Random(5)
-    df = spark.createDataFrame([(i, rng.gauss(i % 7, 0.2), rng.gauss(i % 5, 0.2)) for i in range(210)],
-                               "listing_id int, latitude double, longitude double").coalesce(1)
-    tried = []
-
-    class Counted(KMeans):
-        def fit(self, data):
-            m = super().fit(data)
-            tried.append(m.summary.trainingCost)
-            return m
-    monkeypatch.setattr(K, "KMeans", Counted)
-    monkeypatch.setattr(q_ml, "cleaned_listings", lambda *_: df)
-    rows = q_ml.q_kmeans_geo(spark, "").collect()
-    assert len(rows) == 210 and len(tried) == 20
-    z = {r["listing_id"]: (r["latitude_z"], r["longitude_z"])
-         for r in K.standardize(df, ["latitude", "longitude"]).collect()}
-    groups = {}
-    for r in rows:
-        groups.setdefault(r["geo_generation_cluster"], []).append(z[r["listing_id"]])
-    assert set(groups) == set(range(25))
-    cost = sum((x - sum(p[0] for p in g) / len(g)) ** 2 + (y - sum(p[1] for p in g) / len(g)) ** 2
-               for g in groups.values() for x, y in g)
-    assert cost <= min(tried) + 1e-6
+    places = [(rng.gauss(i % 7, 0.2), rng.gauss(i % 5, 0.2)) for i in range(2100)]
+    points = spark.createDataFrame([(x, y, 1 + i % 3) for i, (x, y) in enumerate(places)], "x double, y double, w bigint")
+    centres, costs = C.minibatch_kmeans(points, 25)
+
+    def cost(c):
+        return sum((1 + i % 3) * min((x - a) ** 2 + (y - b) ** 2 for a, b in c) for i, (x, y) in enumerate(places))
+    assert len(costs) == 20 and len(centres) == 25
+    assert cost(centres) == pytest.approx(min(costs))
+    assert len({round(c, 6) for c in costs}) > 1          # the starts differ
+    one_start = [C.minibatch_kmeans(points, 25, (s,))[1][0] for s in (42, 50)]
+    assert one_start == pytest.approx([costs[0], costs[8]])
+    again = C.minibatch_kmeans(points.repartition(5), 25)[0]
+    assert np.array_equal(centres, again)                  # not a matter of partitioning
+
+
+def test_kmeans_step_is_the_running_mean():
+    import numpy as np
+
+    from geoflat.operators import clusters as C
+    rng = np.random.default_rng(1)
+    s = C.Start(rng, np.array([[0.0, 0.0], [10.0, 10.0]]), np.zeros(2))
+    x = np.concatenate([rng.normal(0, 1, (60, 2)), rng.normal(10, 1, (60, 2))])
+    w = rng.integers(1, 4, 120).astype(float)
+    for at in range(0, 60, 20):
+        rows = np.r_[at:at + 20, 60 + at:80 + at]
+        s.step(x[rows], w[rows])
+    assert np.allclose(s.centres, [np.average(x[:60], axis=0, weights=w[:60]), np.average(x[60:], axis=0, weights=w[60:])])
+    assert list(s.counts) == [w[:60].sum(), w[60:].sum()]
+    s.counts[1] = 0.0
+    s.reset_starved(x[:5])
+    assert any(np.array_equal(s.centres[1], p) for p in x[:5]) and s.counts[1] == s.counts[0]
+
+
+def test_kmeans_labels_every_row(spark, monkeypatch):
+    from geoflat.operators import clusters as C
+    rows = [(i, 55 + i % 3, 37 + i % 3) for i in range(30)] + [(30, 56, 38)] * 500 + [(31, None, 37), (32, 55, float("nan"))]
+    df = spark.createDataFrame([(i, None if a is None else float(a), float(o)) for i, a, o in rows],
+                               "listing_id int, latitude double, longitude double")
+    got = C.kmeans_geo(df, 5).collect()
+    assert len(got) == len(rows)
+    assert {r["listing_id"]: r["geo_generation_cluster"] for r in got} == {
+        **{i: i % 3 for i in range(30)}, 30: 1, 31: None, 32: None}
+    assert C.kmeans_geo(df.where("longitude = 37 and latitude = 55"), 2).agg({"geo_generation_cluster": "max"}).first()[0] == 0
+    assert C.kmeans_geo(df.limit(0)).count() == 0
+    monkeypatch.setattr(C, "DRAW_POINTS", 2)               # draws smaller than the table
+    monkeypatch.setattr(C, "PASSES", 4)
+    assert {r["geo_generation_cluster"] for r in C.kmeans_geo(df, 1).collect()} == {0, None}
+
+
+def test_kmeans_feeds_summary_and_synthesis(spark):
+    from geoflat.plans import q_ml
+    from conftest import SF_SMALL
+    labelled = q_ml.kmeans_clustered(spark, SF_SMALL)
+    by = {r[0]: r[1] for r in labelled.groupBy("geo_generation_cluster").count().collect()}
+    summary = q_ml.q_kmeans_cluster_summary(spark, SF_SMALL).collect()
+    assert {r["geo_generation_cluster"]: r["count"] for r in summary} == by and len(by) == 25
+    assert all(r["median_price"] > 0 for r in summary)
+    report = q_ml.q_kmeans_synth(spark, SF_SMALL).collect()
+    assert {r["geo_generation_cluster"] for r in report} == set(by)
+    assert sum(r["synthetic_rows"] for r in report) > 0
 
 
 def test_ridge_equals_the_normal_equations(spark):

@@ -19,8 +19,9 @@ rounds of histogram refinement on the rank key and one ordering of the last, tin
 nothing is sorted or windowed per source.
 
 Defined cases: null text has size 0; documents without words are never taken; null sources
-form one source. Repeated rows (same id and text) share a key and are treated alike. With
-no words at all every target is 0. An empty table gives an empty result. Other columns,
+form one source. Repeated rows (same id and text) share a key and are treated alike; rows
+without an id are told apart by their place in the input, so equal ones are drawn one by
+one. With no words at all every target is 0. An empty table gives an empty result. Other columns,
 whatever their names, travel inside ``row``.
 """
 
@@ -161,10 +162,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         tilt: float = TILT, seed: int = SEED) -> DataFrame:
     """One row per input row: ``row``, ``size`` (words), ``source_size``, ``target`` (words of
     its source in the mix) and ``copies`` (times that the mix takes it, 0 to max_copies)."""
-    text = text_of(F.col("row")[text_col])
+    text, key = text_of(F.col("row")[text_col]), F.col("row")[id_col]
+    place = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
     rows = packed(docs).select(
         "row", F.col("row")[source_col].alias("src"), word_count(text).alias("size"),
-        uniform53(F.lit(seed), F.col("row")[id_col], text).alias("u"))
+        F.when(key.isNull(), uniform53(F.lit(seed), place, text))
+        .otherwise(uniform53(F.lit(seed), key, text)).alias("u"))
     rows = rows.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size"))).cast("int"))
     sizes = cut_lineage(rows.drop("row"))
     targets = cut_lineage(source_targets(sizes, weights, max_copies))

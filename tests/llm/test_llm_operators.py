@@ -197,6 +197,16 @@ def test_pareto_mix_edges(edge, spark):
     assert pareto_mix.mix(edge.limit(0)).count() == 0
 
 
+def test_pareto_mix_draws_rows_without_id_one_by_one(spark):
+    rows = [(None, "a b c d e", "s1")] * 3000 + [(k, "x y z %d" % k, "s%d" % (1 + k % 2)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    _, by = mixed(df)
+    for size, taken, target, largest in by.values():
+        assert abs(taken - target) <= largest
+    none = pareto_mix.mix(df.where("doc_id is null")).agg(F.sum(F.col("copies") * F.col("size"))).first()[0]
+    assert abs(none - 15000) <= 5
+
+
 def test_word_count(edge):
     for r in edge.select("text", word_count(F.coalesce("text", F.lit(""))).alias("n")).collect():
         assert r["n"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranks import cumulative_counts
+from ..session import bounded_row_count, cut_lineage
+
 ELEMENT_SCHEMA = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("id", T.LongType()),
@@ -106,13 +109,31 @@ FEATURE_SCHEMA = T.StructType([
     T.StructField("properties", T.MapType(T.StringType(), T.StringType()))])
 
 
+def in_file_order(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a line file with ``path`` and ``start`` of their split, numbered from 0 by path, split
+    and place in the split: the same numbers however the files are split. Only one row per split is
+    ordered; the rows are written once to the checkpoint folder, so both passes see the same ones."""
+    rows = cut_lineage(rows.withColumn("_at", F.monotonically_increasing_id()))
+    splits = rows.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
+    splits = cut_lineage(splits.select(F.struct("path", "start").alias("split"), "n", "_first"))
+    before = cumulative_counts(splits, [], "split", {"rows": F.col("n")}).select(
+        F.col("split").alias("_split"), (F.col("cum_rows") - F.col("rows")).alias("_before"))
+    before = before.join(splits, F.col("_split") == F.col("split")).select("_split", "_before", "_first")
+    small = bounded_row_count(before) is not None
+    joined = rows.join(F.broadcast(before) if small else before, F.struct("path", "start") == F.col("_split"))
+    return joined.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first")).select(
+        name, *[c for c in rows.columns if c != "_at"])
+
+
 def read_ring_geojson(spark: SparkSession, path: str, seq: bool = False) -> DataFrame:
     """FeatureCollection (or a GeoJSON text sequence with ``seq=True``) of LineString /
-    MultiLineString features -> segments (feature_id, part, seg_id, lon1, lat1, lon2, lat2).
+    MultiLineString features -> segments (feature_id, part, seg_id, lon1, lat1, lon2, lat2);
+    features are numbered in file order, files by path.
     Raises if the file holds no features."""
     if seq:
-        feats = spark.read.schema(FEATURE_SCHEMA).json(path).select(
-            F.monotonically_increasing_id().alias("feature_id"), F.struct("*").alias("f"))
+        feats = in_file_order(spark.read.schema(FEATURE_SCHEMA).json(path).select(
+            F.struct("*").alias("f"), F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("start")), "feature_id").drop("path", "start")
     else:
         schema = T.StructType([T.StructField("features", T.ArrayType(FEATURE_SCHEMA))])
         doc = spark.read.option("multiLine", True).schema(schema).json(path)

@@ -422,3 +422,20 @@ def test_exact_ks_pvalue_equals_enumeration():
             assert abs(ks_exact_pvalue(d, m, n) - want) < 1e-12
     assert ks_exact_pvalue(0.0, 5, 7) == 1.0
     assert 0 < ks_exact_pvalue(0.9, 60, 70) < 1e-15  # no cancellation in the far tail
+
+
+def test_features_keep_their_file_order_however_files_are_split(spark, tmp_path):
+    from geoflat.sources import osm
+    for name, first, count in (("b", 400, 300), ("a", 0, 400)):        # written out of order, unlike sizes
+        (tmp_path / f"{name}.json").write_text("".join(
+            '{"geometry": {"type": "LineString", "coordinates": [[%d, 1], [%d, 2]]}}\n' % (k, k)
+            for k in range(first, first + count)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "4k", "700b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            seg = osm.read_ring_geojson(spark, str(tmp_path), seq=True)
+            got = seg.select("feature_id", "lon1").collect()
+            assert len(got) == 700 and all(r["feature_id"] == r["lon1"] for r in got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)

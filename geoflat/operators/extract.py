@@ -77,10 +77,8 @@ def lower_lines(lines: Column) -> Column:
 
 
 def _first_of(low: Column, words: list[str]) -> Column:
-    """Smallest 1-based position of any of ``words`` in ``low`` (NULL if none), with
-    plain ``array_position`` calls - no lambda per word."""
-    pos = [F.when(F.array_position(low, w) > 0, F.array_position(low, w)) for w in words]
-    return (pos[0] if len(pos) == 1 else F.least(*pos)).cast("int")
+    """Smallest 1-based position of any of ``words`` in ``low`` (NULL if none), in one pass."""
+    return F.nullif(F.array_position(F.transform(low, lambda x: x.isin(*words)), True), F.lit(0)).cast("int")
 
 
 def characteristics_block(lines: Column, low: Column | None = None) -> Column:
@@ -106,6 +104,22 @@ def value_after_label(block: Column, labels: list[str], block_low: Column | None
     return F.when(pos > 0, F.trim(F.try_element_at(block, pos + 1)))
 
 
+def label_fields(block_low: Column) -> Column:
+    """For every line but the last the field whose label it is, else NULL."""
+    known = F.create_map(*[F.lit(x) for field, labels in CARD_LABELS.items()
+                           for label in labels for x in (label.lower().strip(), field)])
+    return F.transform(F.slice(block_low, 1, F.greatest(F.size(block_low) - 1, F.lit(0))),
+                       lambda x: F.try_element_at(known, x))
+
+
+def label_values(block: Column, fields: Column) -> Column:
+    """Map field -> the line after its first label. ``fields`` is ``label_fields`` of the lowered
+    block (pass a materialised column): all fields of a card come from this one pass."""
+    found = F.transform(fields, lambda f, i: F.when(f.isNotNull() & (F.array_position(fields, f) == i + 1),
+                                                    F.struct(f.alias("key"), F.trim(F.get(block, i + 1)).alias("value"))))
+    return F.map_from_entries(F.filter(found, lambda e: e.isNotNull()))
+
+
 def floor_pair(value: Column) -> tuple[Column, Column]:
     """L7: 'N из M' else 'N/M' -> (floor, floors_total)."""
     a = r"(?iu)(\d+)\s+из\s+(\d+)"
@@ -175,33 +189,32 @@ def metro_line(lines: Column, low: Column | None = None) -> Column:
     win = F.when((start > 0) & (start + 1 <= end), F.sequence(start + 1, end)).otherwise(
         F.array().cast("array<int>"))
 
+    # only lines that speak of minutes are looked at closely; lines are collapsed already
+    timed = F.filter(win, lambda i: F.try_element_at(low, i).contains("мин"))
+
     def cands(i):
-        line = F.trim(F.try_element_at(lines, i))
-        m = F.regexp_extract(F.lower(line), r"^(\d+)\s*мин", 1)
-        prev = collapse_ws(F.try_element_at(lines, i - 1))
-        a = F.when((m != "") & ~_in(F.lower(prev), METRO_BAD_STATIONS)
+        line, prev = F.trim(F.try_element_at(lines, i)), F.try_element_at(lines, i - 1)
+        m = F.regexp_extract(F.try_element_at(low, i), r"^(\d+)\s*мин", 1)
+        a = F.when((m != "") & ~_in(F.try_element_at(low, i - 1), METRO_BAD_STATIONS)
                    & F.length(prev).between(2, 40),
                    F.struct(m.cast("int").alias("minutes"), (i * 2).alias("ord"),
                             prev.alias("station")))
         pat = r"^([А-Яа-яЁёA-Za-z\-\s]+)\s+(\d+)\s*мин"
         st = collapse_ws(F.regexp_extract(line, pat, 1))
-        mm = F.regexp_extract(line, pat, 2)
-        b = F.when((mm != "") & F.length(st).between(2, 40),
-                   F.struct(mm.cast("int").alias("minutes"), (i * 2 + 1).alias("ord"),
+        b = F.when(line.rlike(pat) & F.length(st).between(2, 40),
+                   F.struct(F.regexp_extract(line, pat, 2).cast("int").alias("minutes"), (i * 2 + 1).alias("ord"),
                             st.alias("station")))
         return F.array(a, b)
 
-    found = F.filter(F.flatten(F.transform(win, cands)), lambda c: c.isNotNull())
+    found = F.filter(F.flatten(F.transform(timed, cands)), lambda c: c.isNotNull())
     return F.when(start > 0, F.array_min(found))
 
 
-def card_fields(text: Column, lines: Column, block: Column, low: Column | None = None,
-                block_low: Column | None = None) -> dict[str, Column]:
-    """L13 without link/group/html: every card field. Pass materialised columns so the
-    expression stays small."""
-    v = {k: value_after_label(block, labs, block_low) for k, labs in CARD_LABELS.items()}
+def card_fields(text: Column, lines: Column, values: Column, metro: Column) -> dict[str, Column]:
+    """L13 without link/group/html: every card field, from the text, its lines, the map of labelled
+    values and the nearest station. Pass materialised columns so the expression stays small."""
+    v = {k: F.try_element_at(values, F.lit(k)) for k in CARD_LABELS}
     floor, floors_total = floor_pair(v["floor_info"])
-    metro = metro_line(lines, low)
     return {
         "price": extract_price(text, lines),
         "area_total": to_float_first(v["area_total"]),
@@ -226,9 +239,10 @@ def card_rows(cards: DataFrame, text: str = "text", html: str | None = None) ->
     staged = (cards.withColumn("_lines", text_lines(F.col(text)))
               .withColumn("_low", lower_lines(F.col("_lines")))
               .withColumn("_block", characteristics_block(F.col("_lines"), F.col("_low")))
-              .withColumn("_block_low", lower_lines(F.col("_block"))))
-    f = card_fields(F.col(text), F.col("_lines"), F.col("_block"), F.col("_low"),
-                    F.col("_block_low"))
+              .withColumn("_fields", label_fields(lower_lines(F.col("_block"))))
+              .withColumn("_values", label_values(F.col("_block"), F.col("_fields")))
+              .withColumn("_metro", metro_line(F.col("_lines"), F.col("_low"))))
+    f = card_fields(F.col(text), F.col("_lines"), F.col("_values"), F.col("_metro"))
     coords = extract_coords(F.col(html)) if html else F.lit(None).cast(
         "struct<latitude:double,longitude:double>")
     tmp = staged.withColumns({"_f": F.struct(*[c.alias(k) for k, c in f.items()]),

@@ -65,6 +65,42 @@ def q_card_rows(spark, sf_dir):
     return E.card_rows(X.cards(spark, sf_dir))
 
 
+# A card with every label, both price forms, both address forms, stations above and beside their
+# minutes with ties, both floor forms and both names of the labels that have two.
+_FULL_CARD_TEXT = """concat_ws(chr(10), 'Купить квартиру',
+  if(k % 3 = 0, concat_ws(' ', cast(2 + k % 9 as string), lpad(cast(k % 1000 as string), 3, '0'), '000'),
+     concat('Цена ', concat_ws(' ', cast(2 + k % 9 as string), lpad(cast(k % 1000 as string), 3, '0'), '000'), ' руб.')),
+  if(k % 2 = 0, concat('Москва, ул. Тестовая, ', cast(k % 100 as string)), '2-комн. квартира, Москва, 5 этаж'),
+  'На карте', 'Станция А', concat(cast(1 + k % 20 as string), ' мин.'),
+  concat('Станция-Б ', cast(1 + k % 15 as string), ' мин'), 'Станция В', concat(cast(1 + k % 20 as string), ' мин. пешком'),
+  'Описание', 'Станция Г', '1 мин.', 'Характеристики', 'старый заголовок', 'Характеристики',
+  'Общая площадь', concat(cast(20 + k % 90 as string), ',5 м²'), 'Площадь кухни', concat(cast(5 + k % 10 as string), ' м²'),
+  if(k % 2 = 0, 'Ремонт', 'ОТДЕЛКА'), 'Евро', if(k % 2 = 0, 'Год сдачи', 'Год постройки'), concat(cast(1950 + k % 70 as string), ' год'),
+  'Стены', 'Панельный', 'Этаж/Этажность', concat(cast(1 + k % 9 as string), if(k % 4 = 0, '/', ' из '), cast(9 + k % 9 as string)),
+  'Комнатность', if(k % 5 = 0, '—', cast(1 + k % 4 as string)), 'Высота потолков', if(k % 2 = 0, '2,7 м', '3 м'),
+  'Расположение на этаже', 'Угловая', 'Лифт', 'Есть', 'Номер дома', cast(k % 50 as string), 'Двор', 'Закрытый',
+  'Парковка', 'Подземная', 'Детская площадка', if(k % 7 = 0, 'Нет', 'Да'), 'Стены', 'Кирпичный', 'История цены', 'Лифт', 'Нет')"""
+
+
+@query("card_rows_full", sql=f"""
+SELECT {LID} AS listing_id, l_returnflag AS source_group, {dict(LISTING_EXPRS)['link']} AS link,
+       CAST((2 + k % 9) * 1000000 + k % 1000 * 1000 AS BIGINT) AS price, CAST(20 + k % 90 AS DOUBLE) + 0.5e0 AS area_total,
+       CAST(CASE WHEN k % 5 <> 0 THEN 1 + k % 4 WHEN k % 2 = 1 THEN 2 END AS INTEGER) AS rooms,
+       CAST(1 + k % 9 AS INTEGER) AS floor, CAST(9 + k % 9 AS INTEGER) AS floors_total,
+       CASE WHEN k % 2 = 0 THEN 'Москва, ул. Тестовая, ' || CAST(k % 100 AS VARCHAR) ELSE '2-комн. квартира, Москва, 5 этаж' END AS address,
+       CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude,
+       CASE WHEN k % 15 < k % 20 THEN 'Станция-Б' ELSE 'Станция А' END AS metro,
+       CAST(1 + least(k % 15, k % 20) AS INTEGER) AS metro_walk_min, CAST(5 + k % 10 AS DOUBLE) AS kitchen_area,
+       'Евро' AS renovation, 'Панельный' AS walls, CAST(1950 + k % 70 AS INTEGER) AS build_year,
+       CASE WHEN k % 2 = 0 THEN 2.7e0 ELSE 3e0 END AS ceiling_height, 'Угловая' AS floor_position, 'Есть' AS elevator,
+       CAST(k % 50 AS VARCHAR) AS house_number, 'Закрытый' AS yard, 'Подземная' AS parking,
+       CASE WHEN k % 7 = 0 THEN 'Нет' ELSE 'Да' END AS playground
+FROM {_LI}""")
+def q_card_rows_full(spark, sf_dir):
+    """L13 with all 14 labels of L6, several stations (L10, F24) and the second forms of L3, L7, L8, L9."""
+    return E.card_rows(X.cards(spark, sf_dir, _FULL_CARD_TEXT))
+
+
 _PRICE_TEXT = ("concat(CASE WHEN k % 2 = 0 THEN replace(format_number(price_i, 0), ',', ' ') "
                "ELSE concat('Стоимость ', replace(format_number(price_i, 0), ',', ' '), ' руб.') END, "
                "chr(10), 'Звоните 12 34')")

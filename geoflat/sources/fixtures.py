@@ -141,12 +141,12 @@ def ring_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("feature_id", F.lit(0)))
 
 
-def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cards(spark: SparkSession, sf_dir: str, text: str = CARD_TEXT_EXPR) -> DataFrame:
     li = _k(read_table(spark, sf_dir, "lineitem"))
     return li.selectExpr(f"{dict(LISTING_EXPRS)['listing_id']} AS listing_id",
                          "l_returnflag AS source_group",
                          f"{dict(LISTING_EXPRS)['link']} AS link",
-                         f"{CARD_TEXT_EXPR} AS text")
+                         f"{text} AS text")
 
 
 def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:

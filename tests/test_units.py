@@ -316,6 +316,29 @@ def test_near_index_points_equal_brute_force_in_one_tree_and_in_tiles(spark, mon
                 assert (got[key]["ord"], got[key]["name"]) == (ord_, str(ord_)), (size, key)
 
 
+def test_near_index_memory_is_bounded_on_a_winding_line():
+    """Many boxes of a winding line lie about as near to a row; one batch must not hold them all."""
+    import tracemalloc
+
+    import numpy as np
+
+    from geoflat.operators import near_index
+    turn, far = np.arange(8001) * 2 * np.pi / 1500, 0.05 + np.arange(8001) / 4e4
+    at = np.column_stack([far * np.cos(turn), far * np.sin(turn), np.zeros(len(far))])
+    a, b = at[:-1], at[1:]
+    rows = np.random.default_rng(5).uniform(-0.3, 0.3, (4096, 3)) * [1, 1, 0]
+    tree = near_index.BoxTree(np.column_stack([a, b]))
+    tracemalloc.start()
+    row, item, found = tree.nearest(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6, peak
+    for r in range(0, len(rows), 64):
+        t = np.clip(((rows[r] - a) * (b - a)).sum(1) / ((b - a) ** 2).sum(1), 0, 1)
+        want = np.sqrt(((rows[r] - a - t[:, None] * (b - a)) ** 2).sum(1))
+        assert want.argmin() in item[row == r] and np.allclose(found[row == r], want.min(), rtol=1e-8, atol=0)
+
+
 def test_near_index_segments_equal_brute_force(spark, monkeypatch):
     import numpy as np
 

@@ -489,3 +489,76 @@ def test_stored_stages_are_compact_and_keep_every_value(spark):
                        (2, -0.0d, '', null), (3, null, null, null), (3, null, null, null) as t(id, x, s, o)""")
     assert sorted(map(str, stored(odd).collect())) == sorted(map(str, odd.collect()))
     assert stored(odd.where("id > 9")).count() == 0
+
+
+def test_quantiles_of_small_groups_need_no_ranking_of_all_values(spark, monkeypatch):
+    rows = [("big", float(i % 4001)) for i in range(12000)] + [("small", i * i / 7) for i in range(34)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    monkeypatch.setattr(R, "_ranked_quantiles", lambda *a: pytest.fail("all values were ranked"))
+    got = {r["g"]: (r["a"], r["b"]) for r in R.exact_quantiles(df, ["g"], "v", {"a": 0.01, "b": 0.99}).collect()}
+    for g, v in pd.DataFrame(rows, columns=["g", "v"]).groupby("g")["v"]:
+        assert got[g] == pytest.approx((v.quantile(0.01), v.quantile(0.99)), rel=1e-12)
+
+
+def test_row_index_null_values_have_no_position(spark):
+    df = spark.createDataFrame([(k, v, i) for k in ("a", None) for i, v in enumerate([3, None, 1, None, 2])], "k string, v int, i int")
+    got = {(r["k"], r["i"]): (r["p"], r["p_n"]) for r in S.row_index(df, ["k"], "v", "p").collect()}
+    for k in ("a", None):
+        assert [got[k, i] for i in range(5)] == [(2, 3), (None, None), (0, 3), (None, None), (1, 3)]
+
+
+def test_row_index_moves_rows_once(spark):
+    df = spark.range(1000).selectExpr("id % 3 as c", "id")
+    plan = S.row_index(df, ["c"], "id", "i")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_dedup_sorts_only_repeated_keys(spark):
+    from geoflat.operators import filters as D
+    rows = [(None, 1.0, "b", "x"), (None, 1.0, "a", "y"), (1, None, "c", "z"), (2, 2.0, None, "w"), (3, 3.0, "d", "v"),
+            (4, 4.0, None, "u"), (4, 4.0, "e", "t")]
+    df = spark.createDataFrame(rows, "p int, q double, id string, s string")
+    fast = sorted(map(str, D.dedup_keep_first(df, ["p", "q"], "id").collect()))
+    assert fast == sorted(map(str, D._dedup_all(df, ["p", "q"], "id").collect())) and len(fast) == 5
+    alone = D.dedup_keep_first(spark.range(50).selectExpr("id as p", "cast(id as string) as id"), ["p"], "id")
+    assert alone.count() == 50 and "SortAggregate" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_py_strip_equals_the_unicode_pattern(spark):
+    signs = [chr(i) for i in range(1, 0x3100) if not 0x80 <= i < 0xa0 or i == 0x85]
+    df = spark.createDataFrame([(f"{c}{c} a{c}b {c}",) for c in signs] + [("",), (" \n",), (None,)], "t string")
+    assert df.where(~T.py_strip("t").eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+
+
+def test_product_sums_are_exact():
+    import numpy as np
+    import pyarrow as pa
+    from geoflat.operators import ml as K
+    rng = np.random.default_rng(3)
+    x = [None if i % 5 == 0 else float(v) for i, v in enumerate(rng.normal(0, 1e8, 4000))]
+    y = [None if i % 7 == 0 else float(v) for i, v in enumerate(rng.normal(3, 1e-2, 4000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+    pairs = [(0, 0), (0, 1), (1, 1), (1, 2), (2, 2)]
+    cols = [[1.0] * 4000, x, y]
+    assert K.product_sums(batch, pairs) == [
+        sum(int(np.rint(a * b * 1e6)) for a, b in zip(cols[i], cols[j]) if a is not None and b is not None) for i, j in pairs]
+
+
+def test_correlations_equal_pandas(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame(rng.normal(1e3, 1.0, (500, 3)), columns=list("abc"))
+    pdf["c"] += pdf["a"]
+    pdf.loc[::3, "b"] = None
+    pdf["k"], pdf["e"] = 7.25, None
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else float(v) for v in r) for r in pdf.to_numpy()],
+                               "a double, b double, c double, k double, e double").repartition(5)
+    plan = S.corr_matrix(df, list("abcke"))
+    got = {(r["feature_x"], r["feature_y"]): r["corr"] for r in plan.collect()}
+    assert len(got) == 25 and got["a", "a"] == 1.0 and got["k", "k"] is None and got["a", "k"] is None and got["e", "a"] is None
+    want = pdf[list("abc")].corr()
+    for x in "abc":
+        for y in "abc":
+            assert abs(got[x, y] - want.loc[x, y]) < 1e-9
+    assert "corr(" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {r["corr"] for r in S.corr_matrix(df.limit(0), ["a", "b"]).collect()} == {None}

@@ -40,7 +40,7 @@ _BY_WORDS = {
     "post_processor": None,
 }
 # Signs that, after a letter or digit, form one part with no rule of their own.
-_TAIL = b".,!?;:#*$%&|()\"-"
+_TAIL = ".,!?;:#*$%&|()\"-"
 
 
 def _byte_signs() -> list[str]:
@@ -55,6 +55,16 @@ _SIGNS = _byte_signs()
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def _cores_and_tails(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each word without the signs of ``_TAIL`` at its end, and those signs; a word whose rest does
+    not end in a letter or digit of ASCII stays whole, with no tail."""
+    cores = pc.ascii_rtrim(words, characters=_TAIL)
+    cut = pc.and_(pc.not_equal(cores, words), pc.match_substring_regex(cores, "[0-9A-Za-z]$"))
+    tails = pc.replace_substring_regex(pc.filter(words, cut), "(?s)^.*[0-9A-Za-z]", "")
+    none = pa.array([""], words.type).take(pa.array(np.zeros(len(words), np.int32)))
+    return pc.if_else(cut, cores, words), pc.replace_with_mask(none, cut, tails)
+
+
 class Encoder:
     """Texts -> ids. Words are kept as places in one growing array of ids."""
 
@@ -79,7 +89,6 @@ class Encoder:
     def forget(self) -> None:
         """Empties the table of words."""
         self.words: dict[bytes, int] = {b"": 0}
-        self.cores: dict[bytes, list[int]] = {}
         self.ids, self.ends = array("I"), array("q", [0])
 
     def _part(self, part: str) -> list[int]:
@@ -96,26 +105,18 @@ class Encoder:
         parts = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))
         return [i for p, _ in parts for i in self._part(p)]
 
-    def _word(self, word: bytes) -> list[int]:
-        core = word.rstrip(_TAIL)
-        if core == word or not core or not core[-1:].isalnum():
-            return self._core(word)
-        known = self.cores
-        ids = known.get(core)
-        if ids is None:
-            ids = known[core] = self._core(core)
-        tail = word[len(core):]
-        end = known.get(tail)
-        if end is None:
-            end = known[tail] = self._core(tail)
-        return ids + end
-
-    def _place(self, word: bytes) -> int:
-        ids = self._word(word)
-        self.ids.extend(ids)
-        self.ends.append(len(self.ids))
-        place = self.words[word] = len(self.ends) - 1
-        return place
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Places of the ids of each word; words not met before are tokenised."""
+        coded, table = words.dictionary_encode(), self.words
+        found = []
+        for word in coded.dictionary.cast(pa.binary()).to_pylist():
+            place = table.get(word)
+            if place is None:
+                self.ids.extend(self._core(word))
+                self.ends.append(len(self.ids))
+                place = table[word] = len(self.ends) - 1
+            found.append(place)
+        return np.array(found, dtype=np.int64)[np.asarray(coded.indices)]
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the place after the last id of each text
@@ -136,23 +137,22 @@ class Encoder:
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(1, np.int64)
-        if len(self.words) >= TABLE_WORDS or len(self.cores) >= TABLE_WORDS:
+        if len(self.words) >= TABLE_WORDS:
             self.forget()
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = lists.flatten().dictionary_encode()
-        table = self.words
-        places = [table[w] if w in table else self._place(w)
-                  for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+        cores, tails = _cores_and_tails(coded.dictionary)
+        parts = np.stack([self._places(cores), self._places(tails)], axis=1)
         ends = np.array(self.ends, dtype=np.int64)
         ids = np.array(self.ids, dtype="<u4")
-        place = np.array(places, dtype=np.int64)[np.asarray(coded.indices)]
+        place = parts[np.asarray(coded.indices)].ravel()
         low = np.concatenate([[0], ends[:-1]])[place]
         size = ends[place] - low
         after = np.cumsum(size)
         take = np.arange(int(after[-1]) if len(after) else 0)
         take += np.repeat(low - (after - size), size)
         offsets = np.asarray(lists.offsets, dtype=np.int64)
-        return ids[take], np.concatenate([[0], after])[offsets - offsets[0]]
+        return ids[take], np.concatenate([[0], after[1::2]])[offsets - offsets[0]]
 
     def encode(self, text: str) -> bytes:
         ids, _ = self.encode_column(pa.array([text], pa.string()))

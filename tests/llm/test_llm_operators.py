@@ -697,3 +697,15 @@ def test_jacobi_on_the_cholesky_factor():
         ref = np.sort(np.linalg.svd(f, compute_uv=False) ** 2)[::-1]
         assert np.allclose(e[:3], ref[:len(e)][:3], rtol=1e-10) and np.allclose(u.T @ u, np.eye(len(e)), atol=1e-8)
     assert whitening.pivoted_cholesky(np.zeros((4, 4))).shape == (4, 0)
+
+
+def test_words_that_differ_in_their_last_signs_are_tokenised_once(monkeypatch):
+    import pyarrow as pa
+    from geoflat.llm.tokens import VOCABULARY, Encoder
+    encoder, seen = Encoder(VOCABULARY), []
+    core = encoder._core
+    monkeypatch.setattr(encoder, "_core", lambda w: seen.append(w) or core(w))
+    texts = ["planet planet. planet, (planet) don't. \u00e9. \u00e9 5!? ... x-", "planet! a_."]
+    ids, at = encoder.encode_column(pa.array(texts))
+    assert [ids[at[i]:at[i + 1]].tolist() for i in range(2)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert seen.count(b"planet") == 1 and len(seen) == len(set(seen))

@@ -55,6 +55,7 @@ SEED = 0x9E3779B97F4A7C15
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 300, 120_000, 4096
 WORD_TABLE = 150_000
 ATTEMPTS = 256
+TASK_LINKS = 50_000
 
 _U = np.uint64
 
@@ -191,24 +192,28 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) of all nodes but the smallest ones, from
     ``a, b``, by large-star and small-star steps: aggregates and joins that AQE may split. The
-    links are checkpointed after each pass, and the loop ends when one changes nothing."""
+    links are checkpointed after each pass, and the loop ends when one changes nothing. A pass runs
+    in as many tasks as its links need, not in as many as the session has shuffle partitions."""
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                         .where("u <> v").distinct())
+    least = 2 * links.sparkSession.sparkContext.defaultParallelism
 
     def state(df: DataFrame):
         return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
 
     now, before = state(edges), None
     while now != before and now["n"]:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        n = max(least, -(-now["n"] // TASK_LINKS))
+        edges = edges.coalesce(n)
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(n)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).hint("merge")
         large = (both.join(low, "u").where(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(n).distinct().coalesce(n))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = large.join(low.hint("merge"), "u")
         edges = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                             .union(low.select("u", F.col("m").alias("v")))
-                            .where("u <> v").distinct())
+                            .where("u <> v").coalesce(n).distinct().coalesce(n))
         before, now = now, state(edges)
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 

@@ -709,3 +709,37 @@ def test_words_that_differ_in_their_last_signs_are_tokenised_once(monkeypatch):
     ids, at = encoder.encode_column(pa.array(texts))
     assert [ids[at[i]:at[i + 1]].tolist() for i in range(2)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert seen.count(b"planet") == 1 and len(seen) == len(set(seen))
+
+
+def test_component_passes_run_in_as_many_tasks_as_their_links_need(spark, monkeypatch):
+    """However many shuffle partitions the session has; and the components are those of union-find."""
+    rng = random.Random(11)
+    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [
+        (rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(300)]
+    root = {n: n for ab in links for n in ab}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    parts, cut = [], minhash_oph.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+    monkeypatch.setattr(minhash_oph, "cut_lineage", counted)
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    least = 2 * spark.sparkContext.defaultParallelism
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for of_a_task, most in ((minhash_oph.TASK_LINKS, least), (7, max(least, -(-len(links) // 7)))):
+            monkeypatch.setattr(minhash_oph, "TASK_LINKS", of_a_task)
+            parts.clear()
+            found = {r["node"]: r["component"] for r in minhash_oph.components(df).collect()}
+            assert found == {n: r for n, r in root.items() if n != r}
+            assert len(parts) > 2 and max(parts[1:]) <= most
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

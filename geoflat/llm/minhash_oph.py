@@ -341,8 +341,10 @@ def _cluster_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     main_units = F.transform(F.sequence(F.lit(0), p - k), lambda o: unit("m", o, me, 1))
     units = dealt.select("cluster", "id", "component", "shingles", F.explode(
         F.when(F.col("component") == F.col("main"), main_units).otherwise(side_units)).alias("u"))
-    return units.select("cluster", "u.*", "id", "component", "shingles").groupBy(
-        "cluster", "kind", "x", "y").applyInPandas(
+    # dealt by unit: the join has left all rows of a cluster in one task
+    unit_key = ["cluster", "kind", "x", "y"]
+    return units.select("cluster", "u.*", "id", "component", "shingles").repartition(*unit_key).groupBy(
+        *unit_key).applyInPandas(
         lambda pdf: _block_links(pdf, percent), "a bigint, b bigint")
 
 

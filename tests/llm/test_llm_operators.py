@@ -743,3 +743,27 @@ def test_component_passes_run_in_as_many_tasks_as_their_links_need(spark, monkey
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_units_of_one_cluster_are_dealt_to_several_tasks(spark, monkeypatch):
+    """A cluster whose candidates meet through hidden links has many pairs of blocks; they do not all go
+    to the task of the cluster, and every link between components is found."""
+    monkeypatch.setattr(minhash_oph, "BLOCK_ROWS", 4)
+    ship_package(spark)
+    members = spark.createDataFrame([(1, k, k // 2) for k in range(40)], "bucket bigint, id bigint, component bigint")
+    sets = spark.createDataFrame([(k, list(range(k // 4 * 100, k // 4 * 100 + 20))) for k in range(40)],
+                                 "id bigint, shingles array<bigint>")
+    held = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        seen = minhash_oph._cluster_links(members, sets, 80)
+        found = {(min(r["a"] // 2, r["b"] // 2), max(r["a"] // 2, r["b"] // 2)) for r in seen.collect()}
+        assert found == {(2 * g, 2 * g + 1) for g in range(10)}
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    dealt = plan[plan.index("FlatMapGroupsInPandas"):]
+    assert re.search(r"hashpartitioning\(cluster#\d+L, kind#\d+, x#\d+, y#\d+", dealt)

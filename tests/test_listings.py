@@ -53,3 +53,27 @@ def test_flagship_filters_stay_above_the_distances(spark):
         q_spatial.clean_listings = real
     plan = seen[0].where(F.col("distance_to_mkad_km") <= 80)._jdf.queryExecution().optimizedPlan().toString()
     assert "ATAN2" not in plan.upper()
+
+
+def test_trees_are_grown_from_all_rows(spark, monkeypatch):
+    import numpy as np
+
+    from geoflat.operators import boosting as B
+    rng = np.random.default_rng(8)
+    n = 60_000
+    x = np.stack([rng.normal(size=n), rng.integers(0, 5, n), np.where(rng.random(n) < 0.4, 7.0, rng.exponential(size=n))], axis=1)
+    y = np.round(3 * x[:, 0] + (x[:, 2] > 2) * 5 + rng.normal(size=n), 3)
+    df = spark.createDataFrame(pd.DataFrame(np.column_stack([x, y]), columns=[*"abc", "y"])).repartition(5).cache()
+    for got, k in zip(B.column_borders(df, list("abc")), range(3), strict=True):
+        assert np.array_equal(got, B.quantile_borders(x[:, k]))
+    held = df.limit(2000).cache()
+    hx = held.toPandas().to_numpy()
+    want = B.fit_symmetric_trees(x, y, hx[:, :3], hx[:, 3], iterations=4, depth=3)
+    for rows, replay in ((1_000_000, 50), (9_000, 2)):
+        monkeypatch.setattr(B, "TASK_ROWS", rows)
+        monkeypatch.setattr(B, "BLOCK_ROWS", 7_000)
+        monkeypatch.setattr(B, "REPLAY", replay)
+        got = B.fit_all_rows(df, held, list("abc"), "y", iterations=4, depth=3)
+        assert got.base == want.base and np.array_equal(got.feature, want.feature) and np.array_equal(got.border, want.border)
+        assert np.allclose(got.value, want.value, rtol=0, atol=1e-12) and np.allclose(got.holdout_errors, want.holdout_errors)
+        assert np.array_equal(got.weight, want.weight) and (got.weight.sum(axis=1) == n).all()

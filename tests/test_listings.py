@@ -77,3 +77,32 @@ def test_trees_are_grown_from_all_rows(spark, monkeypatch):
         assert got.base == want.base and np.array_equal(got.feature, want.feature) and np.array_equal(got.border, want.border)
         assert np.allclose(got.value, want.value, rtol=0, atol=1e-12) and np.allclose(got.holdout_errors, want.holdout_errors)
         assert np.array_equal(got.weight, want.weight) and (got.weight.sum(axis=1) == n).all()
+
+
+def test_long_polyline_moves_no_listing(spark, monkeypatch):
+    import numpy as np
+
+    from geoflat.operators import near_index
+    from geoflat.operators import spatial as SP
+    at = tables(400, customer=pd.DataFrame({"c_custkey": range(900)}), part=pd.DataFrame({"p_partkey": range(1100)}))
+    plain = near_index.attach_nearest
+    monkeypatch.setattr(SP, "attach_nearest", lambda *a, **k: plain(*a, **{**k, "tile_items": 100}))
+    for asked in (near_index.ASKED_ROWS, 90):
+        monkeypatch.setattr(near_index, "ASKED_ROWS", asked)
+        check(spark, "point_to_long_polyline", at)
+    plan = QUERIES["point_to_long_polyline"](spark, at)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" not in plan
+    monkeypatch.setattr(near_index, "HELD_ITEMS", 0)  # more items than may be held: rows go to the tiles
+    check(spark, "point_to_long_polyline", at)
+    # keys may repeat or be null, and a point may be missing
+    seg = spark.createDataFrame([(0, 37.0 + k / 1e3, 55.5 + (k % 7) / 1e2, 37.0 + (k + 1) / 1e3, 55.5 + ((k + 1) % 7) / 1e2)
+                                 for k in range(700)], "feature_id int, lon1 double, lat1 double, lon2 double, lat2 double")
+    rows = [("a", 55.6, 37.2), ("a", 55.4, 37.5), (None, 55.55, 37.6), ("b", None, 37.0), ("c", 55.6, 37.2)]
+    left = spark.createDataFrame(rows, "listing_id string, latitude double, longitude double").repartition(3)
+    monkeypatch.setattr(near_index, "HELD_ITEMS", 20_000_000)
+    got = SP.point_to_polyline(left, seg, "d").collect()
+    monkeypatch.setattr(SP, "SEGMENT_LIMIT", 1000)
+    want = SP.point_to_polyline(left, seg, "d").collect()
+    order = lambda rows: sorted(rows, key=repr)
+    assert [r[:3] for r in order(got)] == [r[:3] for r in order(want)]
+    assert np.allclose(*[[r["d"] or -1.0 for r in order(x)] for x in (got, want)], rtol=1e-12)

@@ -106,3 +106,30 @@ def test_long_polyline_moves_no_listing(spark, monkeypatch):
     order = lambda rows: sorted(rows, key=repr)
     assert [r[:3] for r in order(got)] == [r[:3] for r in order(want)]
     assert np.allclose(*[[r["d"] or -1.0 for r in order(x)] for x in (got, want)], rtol=1e-12)
+
+
+def test_ks_ranks_only_open_intervals(spark, monkeypatch):
+    import numpy as np
+
+    from geoflat.operators import ranks as R
+    rng = np.random.default_rng(4)
+    a = pd.DataFrame({"n": rng.normal(size=20_000), "k": rng.integers(0, 9, 20_000) * 1.0, "far": rng.normal(size=20_000),
+                      "one": 3.0, "some": np.where(rng.random(20_000) < 0.5, None, rng.random(20_000)), "none": None, "lone": 1.0})
+    b = pd.DataFrame({"n": rng.normal(size=15_000) * 1.02, "k": rng.integers(0, 9, 15_000) * 1.0, "far": rng.normal(size=15_000) + 9,
+                      "one": 3.0, "some": rng.random(15_000), "none": None, "lone": None})
+    schema = ", ".join(f"{c} double" for c in a)
+    da, db = (spark.createDataFrame([tuple(None if v is None or v != v else float(v) for v in r) for r in d.itertuples(index=False)], schema)
+              for d in (a, b))
+    moved = []
+    plain = R.cumulative_counts
+    monkeypatch.setattr(R, "cumulative_counts", lambda df, *x: moved.append(df.count()) or plain(df, *x))
+    for splits in (R.KS_SPLITS, 50):
+        monkeypatch.setattr(R, "KS_SPLITS", splits)
+        got = {r[0]: r[1:] for r in R.ks_columns(da, db, list(a)).collect()}
+        assert set(got) == set(a) - {"none"} and got["lone"] == (None, 20_000, 0)
+        for c in ("n", "k", "far", "one", "some"):
+            x, y = (np.sort(d[c].dropna().to_numpy(dtype=float)) for d in (a, b))
+            z = np.concatenate([x, y])
+            d = np.abs(np.searchsorted(x, z, side="right") / len(x) - np.searchsorted(y, z, side="right") / len(y)).max()
+            assert got[c] == (d, len(x), len(y)), c
+    assert moved[0] < 1000, moved  # of some 125,000 values

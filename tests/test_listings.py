@@ -133,3 +133,12 @@ def test_ks_ranks_only_open_intervals(spark, monkeypatch):
             d = np.abs(np.searchsorted(x, z, side="right") / len(x) - np.searchsorted(y, z, side="right") / len(y)).max()
             assert got[c] == (d, len(x), len(y)), c
     assert moved[0] < 1000, moved  # of some 125,000 values
+
+
+def test_page_files_are_compressed(spark, monkeypatch, tmp_path):
+    from geoflat.plans import q_io
+    monkeypatch.setattr(q_io, "_scratch", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(q_io, "PAGES_IN_FILE", 40)
+    check(spark, "stream_ingest_cards", tables(300))
+    files = list(tmp_path.glob("in/wave*/part-*"))
+    assert len(files) > 5 and all(f.name.endswith(".json.gz") for f in files)
